@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, sharding, warc
+from . import mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_pii": pii.op4_pii,
     "op6_mixing": mixing.op6_mixing,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
 }
