@@ -53,3 +53,25 @@ def row_hash(*cols: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def rows_at_most(df: DataFrame, most: int) -> bool:
+    """Whether df has no more rows than that: the check before it is sent to all tasks."""
+    return df.limit(most + 1).count() <= most
+
+
+#: Rows of a narrow table that may be sent to all tasks; beyond it, joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has few enough rows; df should be cheap to read."""
+    return F.broadcast(df) if rows_at_most(df, most) else df
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lower_ascii(text: Column) -> Column:
+    """text with the letters A-Z in lower case."""
+    return F.translate(text, _UPPER, _UPPER.lower())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secret_scan, sharding, warc
+from . import decontamination, line_dedup, mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_pii": pii.op4_pii,
     "op6_mixing": mixing.op6_mixing,
@@ -14,6 +16,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op2_decontamination": decontamination.ORACLE,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
