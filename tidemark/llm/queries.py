@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, pii, quality, secret_scan, sharding, warc
+from . import decontamination, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op6_mixing": mixing.op6_mixing,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
 }
@@ -26,4 +27,5 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM r""",
+    "op8_ngram_join": ngram_join.ORACLE,
 }
