@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, warc
+from . import decontamination, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_pii": pii.op4_pii,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -27,5 +28,6 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM r""",
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
 }
