@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import decontamination, mixing, ngram_join, quality, sharding
 from tidemark.llm.common import documents, written
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the line labels keep."""
+    field = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.filtered(docs, field)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out until their sources meet the target weights."""
     return mixing.mixed_documents(docs)
@@ -18,7 +34,13 @@ def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.op10(docs)
 
 
-STAGES = [("mixing", mix_stage), ("sharding", shard_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", join_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mix_stage),
+    ("sharding", shard_stage),
+]
 
 #: The mix is seeded by Spark's hash, and the quality rules are a trained model; SQL can't express them.
 ORACLE_SQL = None
