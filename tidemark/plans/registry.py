@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, technicals  # noqa: F401
+from . import factors, features, portfolios, relational, streams, technicals  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
