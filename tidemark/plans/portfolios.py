@@ -234,11 +234,11 @@ def cadence(p):
 
 @query("action_card", SCORED + f", g AS (SELECT QUANTILE_CONT(gap, 0.1) AS lo, QUANTILE_CONT(gap, 0.9) AS hi FROM (SELECT close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS gap FROM sbars)), t AS (SELECT id, d, close, ROW_NUMBER() OVER (ORDER BY c2 DESC, id) AS place FROM scored WHERE d = (SELECT MAX(d) FROM scored)) SELECT place, id, {R4('close * (1 + lo)', 2)} AS buy_low, {R4('close * (1 + hi)', 2)} AS buy_high FROM t, g WHERE place <= 8")
 def action_card(p):
-    gap = p.sbars.select(S.change("close").alias("g")).agg(F.percentile("g", 0.1).alias("lo"), F.percentile("g", 0.9).alias("hi"))
+    gap = p.sbars.select(S.change("close").alias("g")).agg(F.percentile("g", 0.1).alias("g_lo"), F.percentile("g", 0.9).alias("g_hi"))
     s = scored(p)
     s = s.join(F.broadcast(s.agg(F.max("d").alias("_last"))), F.col("d") == F.col("_last"))
     top = s.withColumn("place", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("c2"), "id"))).where("place <= 8")
-    return top.join(F.broadcast(gap)).select("place", "id", r4(F.col("close") * (1 + F.col("lo")), 2).alias("buy_low"), r4(F.col("close") * (1 + F.col("hi")), 2).alias("buy_high"))
+    return top.join(F.broadcast(gap)).select("place", "id", r4(F.col("close") * (1 + F.col("g_lo")), 2).alias("buy_low"), r4(F.col("close") * (1 + F.col("g_hi")), 2).alias("buy_high"))
 
 
 @query("track_curve", COHORT + f", x AS (SELECT a.i, a.id, b.close / a.close - 1 AS r FROM (SELECT coh.i, coh.id, s.close FROM coh JOIN scored s ON s.id = coh.id AND s.d = coh.d) a JOIN (SELECT cal.i, id, close FROM scored JOIN cal USING (d)) b ON b.id = a.id AND b.i = a.i + 1), m AS (SELECT i, AVG(r) AS r FROM x GROUP BY i) SELECT i, {R4('r')} AS r, {R4('EXP(SUM(LN(1 + r)) OVER (ORDER BY i))')} AS equity FROM m")
