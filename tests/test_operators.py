@@ -169,7 +169,7 @@ def test_bootstrap_is_seeded(spark):
 
 def test_low_correlation_pool(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.1), (2, 3, 0.2), (1, 4, 0.5), (2, 4, 0.5), (3, 4, 0.9)], "a long, b long, c double")
-    assert portfolio.low_correlation_pool(pairs, [1, 2, 3, 4], 2) == [1, 3]
+    assert portfolio.low_correlation_pool(pairs, [1, 2, 3, 4], 2) == [3, 1]
 
 
 def test_rank_ic_is_spearman(spark):
