@@ -91,7 +91,7 @@ class Archive:
     def _start(self) -> None:
         where, path = fs.FileSystem.from_uri(self.uri) if "://" in self.uri or self.uri.startswith("file:") else (fs.LocalFileSystem(), self.uri)
         where.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = where.open_output_stream(path)
+        self.out = where.open_output_stream(path, compression=None)
         d = dictionary(self.held)
         d.precompute_compress(level=self.level)
         data = d.as_bytes()
@@ -194,7 +194,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for uri in b.path:
                 where, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
                 rows, held = [], 0
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
                         row = parsed(data)
                         rows.append(row if payloads else (*row[:-1], None))
