@@ -40,6 +40,8 @@ _CODES = len(ALPHABET) + 1
 #: Documents whose words train the model of ordinary identifiers, chosen by hash.
 SAMPLE_DOCS = 2000
 SMOOTHING = 0.5
+#: Weight of a character's own frequency in its probability after another.
+BACK_OFF = 10.0
 #: Least log-likelihood ratio per transition, in bits.
 THRESHOLD = 1.0
 
@@ -98,12 +100,18 @@ def transitions(tokens: DataFrame) -> dict[int, int]:
 
 
 def ratios(random: dict[int, int], ordinary: dict[int, int], smoothing: float = SMOOTHING) -> list[float]:
-    """Log-likelihood ratio of each pair, in bits: its probability after its first character, random against ordinary."""
+    """Log-likelihood ratio of each pair, in bits: its second character's probability after the first, random against ordinary.
+
+    A pair that training has not seen falls back on how often its second character was seen at all.
+    """
 
     def log_probabilities(counts: dict[int, int]) -> list[float]:
+        codes = range(_CODES)
+        into = [sum(counts.get(a * _CODES + b, 0) for a in codes) + smoothing for b in codes]
+        alone = [x / sum(into) for x in into]
         out = []
-        for a in range(_CODES):
-            row = [counts.get(a * _CODES + b, 0) + smoothing for b in range(_CODES)]
+        for a in codes:
+            row = [counts.get(a * _CODES + b, 0) + BACK_OFF * alone[b] for b in codes]
             out += [math.log2(x / sum(row)) for x in row]
         return out
 
@@ -118,11 +126,11 @@ def score(token: Column, table: list[float]) -> Column:
 
 
 def ordinary_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Words of at most sample_docs documents in which no base pattern can match."""
+    """Words too short for the method's own pattern, of at most sample_docs documents in which no base pattern can match."""
     text = F.coalesce(F.col("text"), F.lit(""))
     clean = docs.select("doc_id", text.alias("text")).where(~F.greatest(*[_may_hold(F.col("text"), k) for k in ("assign", "access", "hex")]))
     sample = clean.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs)
-    return sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token"))
+    return sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"))
 
 
 def train(spans: DataFrame, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
