@@ -79,12 +79,11 @@ def candidates(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFra
     """Distinct k1, k2, item_id, item: documents, by content, that hold a shingle of the item's sketch."""
     sketch = items.where("in_sketch").select("hash", "item_id", "item", "size_class")
     bounds = {r.size_class: r.most for r in sketch.groupBy("size_class").agg(F.max("hash").alias("most")).collect()}
-    if not bounds:
-        return docs.select(*_keys(F.col("text"))).join(items.select("item_id", "item")).limit(0)
+    most = max(bounds.values(), default=-(2**63))
     own = docs.where("text IS NOT NULL").select(*_keys(F.col("text")), words_of(lower_ascii(F.col("text"))).alias("words"))
     own = own.select("k1", "k2", F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
-    own = own.select("k1", "k2", _hashes(F.col("hashed"), lengths).alias("hashes"))
-    low = own.select("k1", "k2", F.explode(F.filter("hashes", lambda h: h <= max(bounds.values()))).alias("hash"))
+    own = own.select("k1", "k2", _hashes(F.col("hashed"), lengths or [WORDS]).alias("hashes"))
+    low = own.select("k1", "k2", F.explode(F.filter("hashes", lambda h: h <= most)).alias("hash"))
     return low.join(broadcast_small(sketch.drop("size_class")), "hash").select("k1", "k2", "item_id", "item").distinct()
 
 
