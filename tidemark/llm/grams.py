@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -33,6 +35,17 @@ def flat(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return values.view(np.uint64), np.diff(offsets).astype(np.int64)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int, column: str = "w") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most so many words (more only where one row has more)."""
+    for b in batches:
+        offsets = b.column(column).offsets.to_numpy()
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def runs(hashes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every n consecutive words of one document, index of its first word)."""
     ends = np.cumsum(lengths)

@@ -7,15 +7,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .grams import mixed
+from .grams import flat, mixed, pieces
 
 #: Words that a task holds at a time.
-UNIT_WORDS = 1 << 20
+UNIT_WORDS = 1 << 19
 Named = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _parts(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple]:
+def partitions(df: DataFrame) -> int:
+    """Buckets that packed arrays are dealt to: one for each partition of a shuffle."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_bucket(rows: DataFrame, n: int) -> DataFrame:
+    """rows with one bucket in each partition; a negative bucket b goes where -1 - b does."""
+    return rows.repartitionById(n, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
+
+
+def in_parts(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple]:
     """(bucket, its part of each array as bytes)."""
     order = np.argsort(bucket, kind="stable")
     arrays = [a[order] for a in arrays]
@@ -24,12 +35,12 @@ def _parts(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple]:
         yield int(b), *[a[cuts[b] : cuts[b + 1]].tobytes() for a in arrays]
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _read(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+def read_parts(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
     parts: dict[str, list] = {k: [] for k in kinds}
     for b in batches:
         for k, kind in kinds.items():
@@ -44,20 +55,20 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def repeated(df: DataFrame, size: Callable[[pa.RecordBatch], int], named: Callable[[list[pa.RecordBatch]], Named]) -> DataFrame:
+def repeated(df: DataFrame, named: Callable[[list[pa.RecordBatch]], Named]) -> DataFrame:
     """(key, places): of each key the sorted places, as packed 32-bit numbers, whose name is borne by another (key, place).
 
-    named: names (64 bits), keys (64 bits, not 0) and places (32 bits) of a unit of batches; size: a batch's words.
+    named: names (64 bits), keys (64 bits, not 0) and places (32 bits) of a unit of df's rows; df has a column w, an array of word hashes.
     Names travel as packed arrays, dealt out by hash. A name that a unit bears several times is counted there and
     travels once for all of them, so that a task gets no more of any name than there are units.
     """
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions(df)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in batches:
+        for b in pieces(batches, UNIT_WORDS):
             held.append(b)
-            n += size(b)
+            n += len(flat(b.column("w"))[0])
             if n >= UNIT_WORDS:
                 yield from unit(named(held))
                 held, n = [], 0
@@ -79,12 +90,12 @@ def repeated(df: DataFrame, size: Callable[[pa.RecordBatch], int], named: Callab
         rows = []
         if len(first):
             n, k, p = names[first], np.where(many, np.uint64(0), keys[first]), places[first]
-            rows += [(b, *x) for b, *x in _parts((mixed(n) % np.uint64(buckets)).astype(np.int32), buckets, n, k, p)]
+            rows += [(b, *x) for b, *x in in_parts((mixed(n) % np.uint64(buckets)).astype(np.int32), buckets, n, k, p)]
         if known.any():
             k, p = keys[known], places[known]
-            rows += [(-1 - b, b"", *x) for b, *x in _parts((mixed(k) % np.uint64(buckets)).astype(np.int32), buckets, k, p)]
+            rows += [(-1 - b, b"", *x) for b, *x in in_parts((mixed(k) % np.uint64(buckets)).astype(np.int32), buckets, k, p)]
         if rows:
-            yield _batch(rows, ["bucket", "names", "keys", "places"])
+            yield as_batch(rows, ["bucket", "names", "keys", "places"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -95,7 +106,7 @@ def repeated(df: DataFrame, size: Callable[[pa.RecordBatch], int], named: Callab
                 passed = b.take(pa.array(low))
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - x for x in passed.column("bucket").to_pylist()], pa.int32()), passed.column("keys"), passed.column("places")], ["bucket", "keys", "places"])
             held.append(b.take(pa.array(high)) if low else b)
-        x = _read(held, {"names": np.uint64, "keys": np.uint64, "places": np.uint32})
+        x = read_parts(held, {"names": np.uint64, "keys": np.uint64, "places": np.uint32})
         order = np.lexsort((x["places"], x["keys"], x["names"]))
         names, keys, places = x["names"][order], x["keys"][order], x["places"][order]
         distinct = _starts(names, keys, places) | (keys == 0)
@@ -107,12 +118,12 @@ def repeated(df: DataFrame, size: Callable[[pa.RecordBatch], int], named: Callab
         many = np.repeat((count > 1) | (keys[first] == 0), count) & (keys != 0)
         keys, places = keys[many], places[many]
         order = np.lexsort((places, keys))
-        rows = list(_parts((mixed(keys[order]) % np.uint64(buckets)).astype(np.int32), buckets, keys[order], places[order]))
+        rows = list(in_parts((mixed(keys[order]) % np.uint64(buckets)).astype(np.int32), buckets, keys[order], places[order]))
         if rows:
-            yield _batch(rows, ["bucket", "keys", "places"])
+            yield as_batch(rows, ["bucket", "keys", "places"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _read(batches, {"keys": np.uint64, "places": np.uint32})
+        x = read_parts(batches, {"keys": np.uint64, "places": np.uint32})
         order = np.lexsort((x["places"], x["keys"]))
         keys, places = x["keys"][order], x["places"][order]
         distinct = _starts(keys, places)
@@ -123,5 +134,5 @@ def repeated(df: DataFrame, size: Callable[[pa.RecordBatch], int], named: Callab
             part = range(i, min(i + 1000, len(first)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[first[i : i + 1000]].view(np.int64)), pa.array([places[cuts[j] : cuts[j + 1]].tobytes() for j in part], pa.binary())], ["key", "places"])
 
-    dealt = df.mapInArrow(deal, "bucket int, names binary, keys binary, places binary").repartition("bucket")
-    return dealt.mapInArrow(meet, "bucket int, keys binary, places binary").repartition("bucket").mapInArrow(gather, "key long, places binary")
+    dealt = by_bucket(df.mapInArrow(deal, "bucket int, names binary, keys binary, places binary"), buckets)
+    return by_bucket(dealt.mapInArrow(meet, "bucket int, keys binary, places binary"), buckets).mapInArrow(gather, "key long, places binary")

@@ -122,10 +122,6 @@ def _unit(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashes, lengths, np.cumsum(lengths) - lengths, keys
 
 
-def _size(b: pa.RecordBatch) -> int:
-    return len(b.column("w").values)
-
-
 def shared_symbols(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, places) of the texts' symbols, and windows without symbols (top bit set), that occur more than once."""
 
@@ -138,7 +134,7 @@ def shared_symbols(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         of = np.searchsorted(begin + lengths, at, side="right")
         return names, keys[of], (at - begin[of]) | (alone << 31)
 
-    return repeated(docs.where(F.size("w") >= window).select("key", "w"), _size, named)
+    return repeated(docs.where(F.size("w") >= window).select("key", "w"), named)
 
 
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -158,7 +154,7 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         of = np.searchsorted(begin + lengths, starts, side="right")
         return window_hashes(hashes, starts, window), keys[of], starts - begin[of]
 
-    return repeated(texts.select("key", "w", "places"), _size, named)
+    return repeated(texts.select("key", "w", "places"), named)
 
 
 def _covered(places, n: int, window: int) -> np.ndarray:
