@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .common import broadcast_small, written
-from .grams import flat, mixed, runs, word_hashes
+from .grams import flat, mixed, pieces, runs, word_hashes
+from .repeats import as_batch, by_bucket, in_parts, partitions, read_parts
 
 WORDS = 4
 PERCENT = 85
@@ -43,7 +44,7 @@ PERCENT = 85
 SHARD = 4096
 LEADERS = 8
 #: Words that a task holds while it deals out their shingles.
-UNIT_WORDS = 1 << 21
+UNIT_WORDS = 1 << 20
 #: The share of T that DivideSkip's long lists get, by the logarithm of the longest list.
 MU = 0.0085
 
@@ -91,7 +92,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """SETS: each row of docs with its text's and its set's 128 bits and the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, UNIT_WORDS):
             hashes, sizes = sets_of(*flat(b.column("w")), words)
             k1, k2 = keys_of(hashes, sizes)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sizes)], ["doc_id", "t1", "t2", "k1", "k2", "n"])
@@ -111,11 +112,11 @@ def _least_shared(n: F.Column, percent: int) -> F.Column:
 
 def possible(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(k1, shared): of each set's smallest hashes, how many at least may occur in other sets."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions(docs)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in batches:
+        for b in pieces(batches, UNIT_WORDS):
             held.append(flat(b.column("w")))
             n += len(held[-1][0])
             if n >= UNIT_WORDS:
@@ -144,17 +145,12 @@ def possible(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
         credited, counts = np.unique(of[many], return_counts=True)
         at = new | ~many
         names, of = names[at], np.where(many, np.uint64(0), of)[at]
-        bucket = (mixed(names) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        names, of, bucket = names[order], of[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        rows = [(int(b), names[cuts[b] : cuts[b + 1]].tobytes(), of[cuts[b] : cuts[b + 1]].tobytes()) for b in full]
+        rows = packed(names, of, buckets)
         if len(credited):
-            # spread by a bucket of their own; a negative one marks counts instead of names
-            rows.append((-1 - int(credited[0] % np.uint64(buckets)), counts.astype(np.uint64).tobytes(), credited.tobytes()))
+            # a negative bucket marks counts instead of names
+            rows += [(-1 - b, n, k) for b, k, n in packed(credited, counts.astype(np.uint64), buckets)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "names", "keys"])
+            yield as_batch(rows, ["bucket", "names", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, keys, out = [], [], []
@@ -179,11 +175,31 @@ def possible(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             known = np.logical_or.reduceat(keys == 0, np.flatnonzero(new))
             shared = np.repeat((size > 1) | known, size) & (keys != 0)
             out.append(tuple(x.astype(np.uint64) for x in np.unique(keys[shared], return_counts=True)))
-        for k, n in out:
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.view(np.int64))], ["k1", "n"])
+        rows = packed(*totals(out), buckets)
+        if rows:
+            yield as_batch(rows, ["bucket", "keys", "counts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = read_parts(batches, {"keys": np.uint64, "counts": np.uint64})
+        keys, counts = totals([(x["keys"], x["counts"])])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.view(np.int64))], ["k1", "shared"])
 
     dealt = _tokens(docs).select("w").mapInArrow(deal, DEALT)
-    return dealt.repartition("bucket").mapInArrow(meet, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("shared"))
+    met = by_bucket(dealt, buckets).mapInArrow(meet, "bucket int, keys binary, counts binary")
+    return by_bucket(met, buckets).mapInArrow(gather, "k1 long, shared long")
+
+
+def totals(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the sum of each one's counts)."""
+    keys = np.concatenate([*[x[0] for x in parts], np.zeros(0, np.uint64)])
+    counts = np.concatenate([*[x[1] for x in parts], np.zeros(0, np.uint64)])
+    found, of = np.unique(keys, return_inverse=True)
+    return found, np.bincount(of, counts, len(found)).astype(np.uint64)
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
+    """Keys and counts as packed arrays, one row for each of the keys' buckets."""
+    return list(in_parts((mixed(keys) % np.uint64(buckets)).astype(np.int32), buckets, keys, counts))
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -193,7 +209,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     rows = texts.join(nodes, ["t1", "t2"]).select("node", word_hashes(F.col("text"), lower=True).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, UNIT_WORDS):
             hashes, sizes = sets_of(*flat(b.column("w")), words)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sizes), lists], ["node", "n", "shingles"])
@@ -229,8 +245,7 @@ class Index:
         n = len(query)
         t = needed(n, percent)
         at = np.searchsorted(self.names, query)
-        at = at[(at < len(self.names))]
-        at = at[np.isin(self.names[at], query, assume_unique=True)]
+        at = at[self.names[np.minimum(at, len(self.names) - 1)] == query] if len(self.names) else at[:0]
         if len(at) < t:
             return np.zeros(0, np.int64)
         length = self.cuts[at + 1] - self.cuts[at]
@@ -288,7 +303,7 @@ def searched(index: DataFrame, queries: DataFrame, percent: int = PERCENT) -> Da
                     root[r] = top(me)
         return pd.DataFrame(links, columns=["a", "b"], dtype=str)
 
-    return index.select("bin", "node", "shingles").groupBy("bin").cogroup(queries.select("bin", "node", "shingles").groupBy("bin")).applyInPandas(run, "a string, b string")
+    return index.select("bin", "node", "shingles").groupBy("bin").cogroup(queries.select(*[F.col(c).alias(c) for c in ("bin", "node", "shingles")]).groupBy("bin")).applyInPandas(run, "a string, b string")
 
 
 def links(full: DataFrame, percent: int = PERCENT, shard: int = SHARD) -> DataFrame:
