@@ -59,7 +59,7 @@ def identified(rows: DataFrame) -> DataFrame:
 def shared(variants: DataFrame) -> DataFrame:
     """The variants whose key another line has, too."""
     keys = variants.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
-    return variants.join(keys, "key", "left_semi")
+    return variants.join(broadcast_small(written(keys, "line-keys")), "key", "left_semi")
 
 
 def _halves(texts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def earliest(rows: DataFrame, min_near: int = MIN_NEAR) -> tuple[DataFrame, Data
     slim = written(rows.select("doc_id", "line_no", "h1", "h2", "place", n.alias("n"), *[v.alias(k) for k, v in keys.items()]), "lines")
     texts = slim.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", *keys)])
     texts = written(texts, "line-texts")
-    close = near(texts, rows, min_near)
+    close = broadcast_small(written(near(texts, rows, min_near), "line-near"))
     return slim, texts.select("h1", "h2", "place").join(close, ["h1", "h2"], "left").select("h1", "h2", F.least("place", "near").alias("earliest"))
 
 
