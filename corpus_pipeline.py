@@ -8,6 +8,10 @@ from tidemark.llm import decontamination, mixing, ngram_join, quality, sharding
 from tidemark.llm.common import documents, written
 
 
+#: Near copies of the join stage: Jaccard similarity of at least NEAR_PERCENT hundredths over shingles of NEAR_WORDS words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line labels keep."""
     field = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -16,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

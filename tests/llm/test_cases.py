@@ -9,6 +9,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import decontamination, graph, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row long, size long, key long, component string, kept string"
@@ -202,6 +203,18 @@ def test_ngram_join_keeps_one_of_each(spark):
     assert out.columns == docs.columns and Counter(texts) == Counter(want)
 
 
+def test_pipeline_joins_near_copies_of_five_words(spark):
+    base = prose(77, 150, 4000).split()
+    scattered = ["new" if i in (30, 75, 120) else w for i, w in enumerate(base)]
+    added = [*base, *prose(78, 33, 4000).split()]
+    rows = [r for r in near_rows() if r[0] is not None and r != (9, prose(4, 45))]
+    rows += [(5000, " ".join(base)), (5001, " ".join(scattered)), (5002, " ".join(added))]
+    assert {c for d, _, c in expected_components(rows) if d in (5000, 5001, 5002)} == {5000, 5001, 5002}
+    want = {c for _, n, c in expected_components(rows, 5, 80) if n}
+    out = corpus_pipeline.join_stage(spark, table(spark, rows), "")
+    assert Counter(r.doc_id for r in out.collect() if words(r.text)) == Counter(want) and not {5001, 5002} & want
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(1, 60)] + [(100, 200), (200, 300), (5, 5)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
