@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,44 @@ def correlation(a: str, b: str) -> Column:
     return (n * xy - x * y) / F.nullif(F.sqrt((n * xx - x * x) * (n * yy - y * y)), F.lit(0.0))
 
 
+def pair_correlations(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
+    """(a, b, n, c): Pearson correlation of each pair of names, a < b, over the `least` days or more that both have.
+
+    Names are dealt to blocks of about `block`, and every two blocks meet as matrices of names by days, whose products
+    are the sums of all their pairs. A task holds two blocks over the calendar, however many names there are. c is null
+    where one doesn't vary.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
+    blocks = max(1, -(-held.select("name").distinct().count() // block))
+    own, other = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = held.withColumn("own", own).withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    kind = dict(held.dtypes)["name"]
+
+    def run(key, x: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        names, of = np.unique(x["name"].to_numpy(), return_inverse=True)
+        at = np.unique(x["day"].to_numpy(), return_inverse=True)[1]
+        block_of = np.zeros(len(names), np.int64)
+        block_of[of] = x["own"].to_numpy()
+        v, m = np.zeros((len(names), at.max() + 1)), np.zeros((len(names), at.max() + 1))
+        r = x["v"].to_numpy()
+        # means drop out of a correlation; without them the sums lose no digits
+        v[of, at], m[of, at] = r - (np.bincount(of, r) / np.bincount(of))[of], 1
+        a, b = block_of == low, block_of == high
+        n = m[a] @ m[b].T
+        va, vb, ma, mb = v[a], v[b], m[a], m[b]
+        sa, sb, saa, sbb = va @ mb.T, ma @ vb.T, (va * va) @ mb.T, ma @ (vb * vb).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            xx, yy = saa - sa * sa / n, sbb - sb * sb / n
+            c = np.where((xx > 1e-12 * saa) & (yy > 1e-12 * sbb), (va @ vb.T - sa * sb / n) / np.sqrt(xx * yy), np.nan)
+        i, j = np.nonzero((n >= least) & ((low != high) | (names[a][:, None] < names[b][None, :])))
+        left, right = names[a][i], names[b][j]
+        swap = left > right
+        return pd.DataFrame({"a": np.where(swap, right, left), "b": np.where(swap, left, right), "n": n[i, j].astype(np.int64), "c": c[i, j]})
+
+    return met.groupBy("low", "high").applyInPandas(run, f"a {kind}, b {kind}, n long, c double")
+
+
 def ic_summary(ic: DataFrame, *by: str) -> DataFrame:
     """(*by, days, mean, sd, icir, t, positive) of daily ICs."""
     m, s, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")

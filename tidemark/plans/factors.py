@@ -174,6 +174,13 @@ def avg_pair_corr(p):
     return pairs.agg(F.count("*").alias("pairs"), r4(F.avg("c")).alias("mean"))
 
 
+@query("avg_pair_corr_all")
+def avg_pair_corr_all(p):
+    """avg_pair_corr over all entities."""
+    pairs = X.pair_correlations(p.sbars.select("id", "d", S.change("close").alias("r")))
+    return pairs.agg(F.count("*").alias("pairs"), r4(F.avg("c")).alias("mean"))
+
+
 @query("gap_band", f", g AS (SELECT (open / LAG(close, 2) OVER (PARTITION BY id ORDER BY d) - 1) * 100 AS g FROM sbars) SELECT {R4('QUANTILE_CONT(g, 0.1)')} AS p10, {R4('QUANTILE_CONT(g, 0.5)')} AS p50, {R4('QUANTILE_CONT(g, 0.9)')} AS p90 FROM g")
 def gap_band(p):
     g = p.sbars.select(((F.col("open") / S.lag("close", 2) - 1) * 100).alias("g"))

@@ -79,11 +79,22 @@ def episodes(p):
 
 @query("asof_regime", LADDER + ", ix AS (SELECT d AS known, id, state FROM s200 WHERE id = 1), o AS (SELECT id, d FROM sbars WHERE id <= 5) SELECT o.id, o.d, COALESCE(ix.state, false) AS up FROM o ASOF LEFT JOIN ix ON o.d >= ix.known")
 def asof_regime(p):
+    return p.sbars.where("id <= 5").select("id", "d").join(regime_by_day(p), "d").select("id", "d", "up")
+
+
+def regime_by_day(p):
+    """d, up: the index's state on each day that any entity has; one row a day, so its one partition is bounded by the calendar."""
     from tidemark.operators.asof import asof_join
 
     one = K.exposure_ladder(p.sbars.where("id = 1")).select(F.lit(1).alias("k"), F.col("d").alias("known"), F.col("above200").alias("state"))
-    probes = p.sbars.where("id <= 5").select(F.lit(1).alias("k"), "id", "d")
-    return asof_join(probes, one, ["k"], "d", "known").select("id", "d", F.coalesce("state", F.lit(False)).alias("up"))
+    days = p.sbars.select(F.lit(1).alias("k"), "d").distinct()
+    return asof_join(days, one, ["k"], "d", "known").select("d", F.coalesce("state", F.lit(False)).alias("up"))
+
+
+@query("asof_regime_all")
+def asof_regime_all(p):
+    """asof_regime for all entities."""
+    return p.sbars.select("id", "d").join(regime_by_day(p), "d").select("id", "d", "up")
 
 
 @query("bull_attr", OBS + f", b AS (SELECT d, CASE WHEN AVG(mom) > 3 THEN 'bull' WHEN AVG(mom) < -3 THEN 'bear' ELSE 'neutral' END AS regime FROM obs WHERE mom IS NOT NULL GROUP BY d), {ic_sql('hi')} SELECT regime, {IC_COLS} FROM ic JOIN b USING (d) WHERE NOT ISNAN(ic) GROUP BY regime")
