@@ -57,3 +57,38 @@ def test_asof_regime_probes_all_entities(spark):
     got = sorted((r.id, r.d, r.up) for r in portfolios.asof_regime_all(p).collect())
     assert got == sorted((i, d, at(d)) for i, d in zip(x.id, x.d, strict=True))
     assert sorted((r.id, r.d, r.up) for r in portfolios.asof_regime(p).collect()) == [r for r in got if r[0] <= 5]
+
+
+def raw_bars(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, DAY + dt.timedelta(days=k), int(rng.integers(1, 200)) * 100, int(rng.integers(1, 9))) for i in (1, 2) for k in range(700) if rng.random() < 0.3]
+    return SimpleNamespace(bars=spark.createDataFrame(rows, "id long, d date, cents long, volume long")), rows
+
+
+def test_yoy_nearest_takes_all_bars(spark):
+    p, rows = raw_bars(spark)
+
+    def earlier(i, d):
+        near = [(abs((d - e).days - 365), e, c) for j, e, c, _ in rows if i == j and abs((d - e).days - 365) <= 60]
+        return min(near)[2] if near else None
+
+    got = sorted((r.id, r.d, r.cents, r.earlier) for r in relational.yoy_nearest_all(p).collect())
+    assert got == sorted((i, d, c, earlier(i, d)) for i, d, c, _ in rows)
+
+
+def test_split_adjust_takes_later_splits(spark):
+    p, rows = raw_bars(spark)
+    want = {}
+    for i in (1, 2):
+        log, after = 0.0, None
+        for _, d, c, v in sorted((r for r in rows if r[0] == i), reverse=True):
+            if after is not None and after / (c / v / 100) < 0.5:
+                log += math.log(max(round(c / v / 100 / after), 1))
+            want[i, d], after = round(log, 4), c / v / 100
+    assert {(r.id, r.d): r.split_log for r in technicals.split_adjust_all(p).collect()} == pytest.approx(want, abs=1e-4)
+
+
+def test_exposure_json_has_all_days(spark):
+    p, x = series(spark, 6, 30)
+    got = {r.d: json.loads(r.snapshot) for r in relational.exposure_json_all(p).collect()}
+    assert got == {d: {"n": len(g), "ids": sorted(g.id)} for d, g in x.groupby("d")}

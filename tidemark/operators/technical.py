@@ -124,10 +124,15 @@ def back_adjusted(prices: DataFrame, value: str = "close", low: float = 0.7, hig
 
 def split_adjusted(prices: DataFrame, value: str = "close") -> DataFrame:
     """split_factor: product of the whole ratios of all splits (falls of more than half) still to come."""
+    return split_logs(prices, value).withColumn("split_factor", F.bround(F.exp("split_log"))).drop("split_log")
+
+
+def split_logs(prices: DataFrame, value: str = "close") -> DataFrame:
+    """split_log: natural logarithm of that product, which may pass any integer over a long series."""
     jump = F.col(value) / S.lag(value)
     rows = prices.withColumn("_ln", F.when(jump < 0.5, F.ln(F.greatest(F.bround(1 / jump), F.lit(1.0)))).otherwise(0.0))
     later = S.w.rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("split_factor", F.bround(F.exp(F.coalesce(F.sum("_ln").over(later), F.lit(0.0))))).drop("_ln")
+    return rows.withColumn("split_log", F.coalesce(F.sum("_ln").over(later), F.lit(0.0))).drop("_ln")
 
 
 def scale_guard(prices: DataFrame, value: str = "close") -> DataFrame:

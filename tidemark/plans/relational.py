@@ -201,6 +201,12 @@ def yoy_nearest(p):
     return nearest_join(p.bars.where(F.dayofmonth("d") <= 3).select("id", "d", "cents"), ["id"], "d", "cents")
 
 
+@query("yoy_nearest_all")
+def yoy_nearest_all(p):
+    """yoy_nearest with all bars as rows and as candidates."""
+    return nearest_join(p.bars.select("id", "d", "cents"), ["id"], "d", "cents")
+
+
 @query(
     "t_plus_k",
     """, cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM bars))
@@ -317,6 +323,13 @@ def exposure_json(p):
     return day.select("d", F.to_json(F.struct("n", "ids")).alias("snapshot"))
 
 
+@query("exposure_json_all")
+def exposure_json_all(p):
+    """exposure_json on all days."""
+    day = p.sbars.groupBy("d").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return day.select("d", F.to_json(F.struct("n", "ids")).alias("snapshot"))
+
+
 @query("latest_yoy", f""", y AS (SELECT a.id, a.m, a.known_date, a.revenue::DOUBLE / NULLIF(b.revenue, 0)::DOUBLE - 1::DOUBLE AS yoy FROM revm a LEFT JOIN revm b ON a.id = b.id AND b.m = a.m - INTERVAL 1 YEAR)
     SELECT id, m, {R4("yoy")} AS yoy FROM y WHERE known_date <= DATE '2000-06-15' QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY m DESC) = 1""")
 def latest_yoy(p):

@@ -206,6 +206,13 @@ def split_adjust(p):
     return T.split_adjusted(raw).select("id", "d", F.col("split_factor").cast("long").alias("split_factor"))
 
 
+@query("split_adjust_all")
+def split_adjust_all(p):
+    """split_adjust over all bars, as logarithms: years of these prices' falls multiply to more than a BIGINT holds."""
+    raw = p.bars.select("id", "d", (F.col("cents").cast("double") / F.col("volume") / 100).alias("close"))
+    return T.split_logs(raw).select("id", "d", r4(F.col("split_log")).alias("split_log"))
+
+
 @query(
     "scale_guard",
     f""", c AS (SELECT id, d, cents::DOUBLE / volume / 100 AS close FROM bars), j AS (SELECT *, LAG(close) OVER w AS b, QUANTILE_CONT(close, 0.5) OVER ({P} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS md FROM c {W})
