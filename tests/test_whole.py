@@ -12,7 +12,7 @@ import pytest
 
 from tidemark.operators import factors as X
 from tidemark.operators import regime as K
-from tidemark.plans import factors, portfolios, relational, technicals
+from tidemark.plans import factors, portfolios, relational, supplements, technicals
 
 DAY = dt.date(1995, 1, 1)
 
@@ -92,3 +92,45 @@ def test_exposure_json_has_all_days(spark):
     p, x = series(spark, 6, 30)
     got = {r.d: json.loads(r.snapshot) for r in relational.exposure_json_all(p).collect()}
     assert got == {d: {"n": len(g), "ids": sorted(g.id)} for d, g in x.groupby("d")}
+
+
+def expected_exits(entries, x):
+    out = []
+    bars = {i: list(zip(g.t, g.open, g.close, strict=True)) for i, g in x.sort_values("t").groupby("id")}
+    for e in entries:
+        peak, done = e.close0, None
+        path = bars[e.id][e.t0 : e.t0 + 20]
+        for t, _, c in path:
+            peak = max(peak, c)
+            reason = "support" if c < e.support else "trailing" if c < peak * (1 - e.buffer / 100) else None
+            if reason:
+                after = bars[e.id][t : t + 1]
+                done = (e.id, e.t0, t, reason, (after[0][1] if after else c) / e.close0 - 1)
+                break
+        if path:
+            out.append(done or (e.id, e.t0, path[-1][0], "time", path[-1][2] / e.close0 - 1))
+    return out
+
+
+def test_exits_start_at_every_bar(spark):
+    p, x = series(spark, 3, 150)
+    p.sbars = p.sbars.selectExpr("*", "greatest(open, close) * 1.01 AS high", "least(open, close) * 0.99 AS low")
+    starts = portfolios.entries(p, "true").collect()
+    known = x.groupby("id").close.transform(lambda c: c.pct_change().rolling(60, min_periods=20).std()).notna()
+    assert {(e.id, e.t0) for e in starts} == set(zip(x.id[known], x.t[known], strict=True))
+    want = {(i, a, b, why): r for i, a, b, why, r in expected_exits(starts, x)}
+    got = {(r.id, r.t0, r.t, r.reason): r.ret for r in portfolios.exit_trailing_all(p).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and {k[3] for k in got} == {"support", "trailing", "time"}
+    full = supplements.exit_full(p).collect()
+    assert {(r.id, r.t0) for r in full} == {k[:2] for k in want}
+
+
+def test_fills_are_sold_ten_bars_later(spark):
+    p, x = series(spark, 3, 60)
+    fee = lambda v: max(v * 0.0006, 1.0)
+    want = {}
+    for i, g in x.sort_values("t").groupby("id"):
+        for d, c, v, s in zip(g.d, g.close, g.volume, g.close.shift(-10), strict=True):
+            if not math.isnan(s):
+                want[i, d] = (s - c) * v - fee(c * v) - fee(s * v) - s * v * 0.003
+    assert {(r.id, r.d): r.pnl for r in portfolios.fills_pnl_all(p).collect()} == pytest.approx(want, abs=0.01)

@@ -61,7 +61,8 @@ def exits(entries: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFrame:
     close since the entry, ends the trade at the next bar's open (its own close if it is the last); else time does.
     """
     b = bars.select("id", "t", "close", F.lead("open").over(Window.partitionBy("id").orderBy("t")).alias("_next"))
-    path = entries.join(b, "id").where((F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t0") + horizon))
+    # the bars that an entry can see make it an equality join
+    path = entries.withColumn("t", F.explode(F.sequence(F.col("t0") + 1, F.col("t0") + horizon))).join(b, ["id", "t"])
     peak = F.greatest(F.col("close0"), F.max("close").over(Window.partitionBy("id", "t0").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
     path = path.withColumn("_peak", peak)
     reason = F.when(F.col("close") < F.col("support"), "support").when(F.col("close") < F.col("_peak") * (1 - F.col("buffer") / 100), "trailing")

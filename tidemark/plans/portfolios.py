@@ -211,9 +211,10 @@ def reweight(p):
 _ENTRY = f", v AS (SELECT id, d, t, close, close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM sbars), s AS (SELECT *, {roll('STDDEV_SAMP', 'r', 60, 20)} * 100 AS sd, {roll('MIN', 'close', 20, 1)} AS lo FROM v), ent AS MATERIALIZED (SELECT id, t AS t0, d AS d0, close AS close0, lo * 0.97::DOUBLE AS support, LEAST(2.5::DOUBLE * sd, 15::DOUBLE) AS buffer FROM s WHERE t % 40 = 30 AND sd IS NOT NULL)"
 
 
-def entries(p):
+def entries(p, where="t % 40 = 30"):
+    """Entries at the bars that `where` takes, of those whose deviation is known."""
     rows = p.sbars.withColumn("r", S.change("close"))
-    rows = rows.withColumns({"sd": S.std("r", 60, 20) * 100, "lo": S.lowest("close", 20, 1)}).where("t % 40 = 30 AND sd IS NOT NULL")
+    rows = rows.withColumns({"sd": S.std("r", 60, 20) * 100, "lo": S.lowest("close", 20, 1)}).where(f"({where}) AND sd IS NOT NULL")
     return rows.select("id", F.col("t").alias("t0"), F.col("close").alias("close0"), (F.col("lo") * 0.97).alias("support"), F.least(F.col("sd") * 2.5, F.lit(15.0)).alias("buffer"))
 
 
@@ -224,6 +225,12 @@ def exit_trailing(p):
     return B.exits(entries(p), p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
 
 
+@query("exit_trailing_all")
+def exit_trailing_all(p):
+    """exit_trailing with an entry at every bar."""
+    return B.exits(entries(p, "true"), p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
+
+
 @query("lag_excess", OBS + f", k AS (SELECT id, t, d FROM obs), n AS (SELECT id, t, LEAD(close, 21) OVER w / LEAD(close, 1) OVER w - 1 AS lagged, LEAD(close, 20) OVER w / close - 1 AS now FROM sbars WINDOW w AS (PARTITION BY id ORDER BY d)) SELECT d, {R4('AVG(now) * 100')} AS now, {R4('AVG(lagged) * 100')} AS lagged FROM k JOIN n USING (id, t) WHERE now IS NOT NULL AND lagged IS NOT NULL GROUP BY d")
 def lag_excess(p):
     n = p.sbars.select("id", "t", (S.lead("close", 21) / S.lead("close", 1) - 1).alias("lagged"), (S.lead("close", 20) / F.col("close") - 1).alias("now")).where("now IS NOT NULL AND lagged IS NOT NULL")
@@ -263,7 +270,17 @@ def track_curve(p):
 
 @query("fills_pnl", f", f AS (SELECT id, d, close, volume, LEAD(close, 10) OVER (PARTITION BY id ORDER BY d) AS sell FROM sbars WHERE t % 10 = 1) SELECT id, d, {R4('(sell - close) * volume - GREATEST(close * volume * 0.0006::DOUBLE, 1) - GREATEST(sell * volume * 0.0006::DOUBLE, 1) - sell * volume * 0.003::DOUBLE', 2)} AS pnl FROM f WHERE sell IS NOT NULL")
 def fills_pnl(p):
-    f = p.sbars.where("t % 10 = 1").select("id", "d", "close", "volume", S.lead("close", 10).alias("sell")).where("sell IS NOT NULL")
+    return fills(p.sbars.where("t % 10 = 1"))
+
+
+@query("fills_pnl_all")
+def fills_pnl_all(p):
+    """fills_pnl with a fill at every bar, sold 10 bars later."""
+    return fills(p.sbars)
+
+
+def fills(bars):
+    f = bars.select("id", "d", "close", "volume", S.lead("close", 10).alias("sell")).where("sell IS NOT NULL")
     fee = lambda v: F.greatest(v * 0.0006, F.lit(1.0))
     pnl = (F.col("sell") - F.col("close")) * F.col("volume") - fee(F.col("close") * F.col("volume")) - fee(F.col("sell") * F.col("volume")) - F.col("sell") * F.col("volume") * 0.003
     return f.select("id", "d", r4(pnl, 2).alias("pnl"))

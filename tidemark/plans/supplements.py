@@ -86,8 +86,9 @@ def advice_text(p):
 
 @query("exit_full")
 def exit_full(p):
+    """Exits of an entry at every bar, by the narrower of the two buffers."""
     band = T.chase_band(p.sbars).select("id", F.col("t").alias("t0"), "band")
-    e = entries(p).join(band, ["id", "t0"]).withColumn("buffer", F.least("buffer", "band")).drop("band")
+    e = entries(p, "true").join(band, ["id", "t0"]).withColumn("buffer", F.least("buffer", "band")).drop("band")
     return B.exits(e, p.sbars)
 
 
