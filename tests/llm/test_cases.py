@@ -194,6 +194,24 @@ def test_ngram_join_is_brute_force(spark, shard):
     assert got == expected_components(rows)
 
 
+def test_ngram_join_bounds_both_sides_of_a_search(spark, monkeypatch):
+    # a template family: all sets share 70 % of it, few link with any other
+    rng = random.Random(15)
+    base = prose(500, 120, 4000).split()
+    rows = [(i, " ".join([*base, *(f"own{rng.randrange(10**9)}" for _ in range(20 if i % 10 else 2))])) for i in range(240)]
+    bins = []
+
+    def spied(index, queries, percent=85):
+        bins.append([max([r["count"] for r in x.groupBy("bin").count().collect()] or [0]) for x in (index, queries)])
+        return searched(index, queries, percent)
+
+    searched = ngram_join.searched
+    monkeypatch.setattr(ngram_join, "searched", spied)
+    got = Counter(tuple(r) for r in ngram_join.components_of(table(spark, rows), shard=20).collect())
+    assert got == expected_components(rows)
+    assert len(bins) == 3 and all(n <= 40 for n in bins[-1]), bins
+
+
 def test_ngram_join_keeps_one_of_each(spark):
     rows = [r for r in near_rows() if r[0] is not None and r != (9, prose(4, 45))]  # two texts share the id 9
     docs = table(spark, rows)

@@ -13,7 +13,8 @@ query against the inverted lists of all others.
    short ones, and probes the long ones by binary search for what the short ones leave possible.
 4. A group of more than `SHARD` sets is divided into shards of its index. Its links to each of a few leaders are
    searched first; the sets linked to the best leader are one class already and need no search among themselves, so
-   only the others are sent to every shard. No link between two classes is lost.
+   only the others are sent to every shard, in blocks of about `SHARD`, each of which meets its own copy of the shard:
+   a task holds one shard and one block, however large the group. No link between two classes is lost.
 
 The lists are merged by numpy (a stable sort of sorted runs) instead of a heap, which comes to the same counts.
 
@@ -332,7 +333,12 @@ def links(full: DataFrame, percent: int = PERCENT, shard: int = SHARD) -> DataFr
         best = of.groupBy("component", "a").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
         done = led.join(best, "a", "left_semi").select(F.col("b").alias("node")).unionByName(best.select(F.col("a").alias("node")))
         rest = large.join(done, "node", "left_anti")
-        out = out.unionByName(led).unionByName(searched(index, everywhere(rest), percent))
+        counted = rest.groupBy("component").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
+        copied = index.join(counted, "component").withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.concat_ws(":", "bin", i.cast("string")))))
+        # salted, so that a block is not dealt by the hash of the shards
+        block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("string")
+        asked = everywhere(rest.join(counted, "component")).withColumn("bin", F.concat_ws(":", "bin", block))
+        out = out.unionByName(led).unionByName(searched(copied, asked, percent))
     return out.where("a <> b")
 
 
