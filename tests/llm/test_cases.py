@@ -322,6 +322,18 @@ def test_pii_finds_disclosing_terms(spark):
     assert all("<email>" in masked[i] and "Zanzibaro" not in masked[i] for i in range(8))
 
 
+def test_pii_finds_terms_far_from_their_entity(spark):
+    far = "\n\n".join(prose(40 + k, 60) for k in range(4))
+    rows = [(i, f"Zanzibaro writes\n{prose(i, 20)}\n{far}\nask {i} ann@example.org") for i in range(8)] + [(50, f"seen: ZANZIBARO, {prose(50, 30)}")]
+    rows += [(60 + i, f"Quibbleton {far} bob@example.org") for i in range(8)] + [(100 + i, f"{prose(900 + i, 60)} writes") for i in range(200)]
+    out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.found(table(spark, rows)).collect()}
+    texts = dict(rows)
+    marked = {d: [texts[d][a:b].lower() for k, a, b in x if k == "term"] for d, x in out.items()}
+    assert all(marked[i] == ["zanzibaro"] for i in [*range(8), 50])
+    # copies of one page prove nothing
+    assert not any(marked[d] for d in marked if d > 50)
+
+
 # --- mixing ---
 
 

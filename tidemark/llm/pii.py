@@ -1,13 +1,12 @@
-"""Personal data: base patterns, and information-theoretic sanitisation of what stands around them.
+"""Personal data: base patterns, and information-theoretic sanitisation of what else gives them away.
 
 The base patterns find email addresses, IP addresses, card and phone numbers. These are the protected entities.
-A term that stands near an entity may give it away even when the entity itself is masked: over the corpus, the
-pointwise mutual information of term t and entity e, log2(N n(e,t) / (n(e) n(t))) with n counting documents,
-says how many bits of e's information content log2(N / n(e)) the term reveals. Terms that reveal more than the
-share `disclosure` of it become spans too and are generalised (to their kind) or removed.
+A term may give an entity away even when the entity itself is masked: over the corpus, the pointwise mutual information of term t and entity e, log2(N n(e,t) / (n(e) n(t))) with n counting documents, says how many
+bits of e's information content log2(N / n(e)) the term reveals. All counts are over whole texts and all documents,
+wherever in a text the two stand. Terms that reveal more than the share `disclosure` of an entity's information become
+spans too, at every occurrence in every document, and are generalised (to their kind) or removed.
 
-Evidence is counted over distinct surroundings of an entity, so that copies of one page prove nothing, and a term
-needs `min_support` of them. Every count covers all documents.
+A term needs `min_support` distinct texts that hold both as evidence, so that copies of one page prove nothing.
 
 Defined cases: null and blank texts have no spans; equal rows get equal results (each row has its own key from
 its first pass on, whatever its id); an empty table gives no rows; extra columns are ignored; no text is so
@@ -18,22 +17,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_small, written
 
 #: Kinds in the order in which spans that start together are listed; "term" is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity that may disclose it.
-WINDOW = 8
-WINDOW_CHARS = 160
 MIN_SUPPORT = 3
 DISCLOSURE = 0.85
 MIN_TERM = 4
@@ -90,41 +87,37 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def around(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> Iterator[dict]:
-    """The terms among the window words (of WINDOW_CHARS characters at most) before and after each span."""
-    ends = [e for _, _, e in spans]
-    reach = list(accumulate(ends, max))  # the furthest end so far
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The matches of the terms of a text that overlap no span."""
+    reach = list(accumulate((e for _, _, e in spans), max))  # the furthest end so far
     starts = [s for _, s, _ in spans]
-    for kind, start, end in spans:
-        low = max(0, start - WINDOW_CHARS)
-        left = [m.start() for m in _WORD.finditer(text, low, start)]
-        if low and left and left[0] == low and text[low - 1] not in " \t\n\x0b\f\r":
-            left = left[1:]  # the bound cuts a word in two
-        right = [m.end() for m in islice(_WORD.finditer(text, end, end + WINDOW_CHARS), window)]
-        if right and right[-1] == end + WINDOW_CHARS:
-            right = right[:-1]
-        low, high = (left[-window:] or [start])[0], (right or [end])[-1]
-        entity = f"{kind}:{text[start:end].lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', text[start:end])}"
-        near = hashlib.blake2b(f"{text[low:start]}\0{text[end:high]}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        for m in _TERM.finditer(text, low, high):
-            before = bisect_left(starts, m.end()) - 1  # the last span that starts before the term's end
-            if before < 0 or reach[before] <= m.start():
-                yield {"entity": entity, "term": m[0].lower(), "start": m.start(), "end": m.end(), "near": near}
-
-
-SCAN = "ordinal long, doc_id long, base array<struct<kind string, start int, end int>>, near array<struct<entity string, term string, start int, end int, near string>>"
-
-
-def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: its base spans, and the terms around them. `ordinal` is taken from docs if it has one."""
-    ordinal = F.col("ordinal") if "ordinal" in docs.columns else F.monotonically_increasing_id().alias("ordinal")
+    for m in _TERM.finditer(text):
+        before = bisect_left(starts, m.end()) - 1  # the last span that starts before the term's end
+        if before < 0 or reach[before] <= m.start():
+            yield m
+
+
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    return {f"{k}:{text[s:e].lower() if k in ('email', 'ip') else _NOT_DIGIT.sub('', text[s:e])}" for k, s, e in spans}
+
+
+SCAN = "ordinal long, page string, entities array<string>, terms array<string>"
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per document with base spans: its text's hash, and its distinct entities and terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            base = [base_spans(t) for t in b.text]
-            yield pd.DataFrame({"ordinal": b.ordinal, "doc_id": b.doc_id.astype("Int64"), "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base], "near": [list(around(t, s, window)) if s else [] for t, s in zip(b.text, base, strict=True)]})
+            rows = []
+            for ordinal, text in zip(b.ordinal, b.text, strict=True):
+                spans = base_spans(text)
+                if spans:
+                    page = hashlib.blake2b(" ".join(_WORD.findall(text)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                    rows.append((ordinal, page, sorted(entities_of(text, spans)), sorted({m[0].lower() for m in terms_of(text, spans)})))
+            yield pd.DataFrame(rows, columns=["ordinal", "page", "entities", "terms"])
 
-    return docs.select(ordinal, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCAN)
+    return docs.select(F.monotonically_increasing_id().alias("ordinal"), "text").mapInPandas(run, SCAN)
 
 
 def document_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
@@ -141,7 +134,7 @@ def document_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
         for b in batches:
             for t in b.text:
                 if t:
-                    counts.update(set(_TERM.findall(t.lower())))
+                    counts.update({x.lower() for x in set(_TERM.findall(t))})
                     if len(counts) >= flush:
                         yield out()
         if counts:
@@ -152,26 +145,61 @@ def document_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
 
 def disclosing(scanned: DataFrame, docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, revealed): the terms that reveal more than the share `disclosure` of an entity's information."""
-    near = scanned.select("ordinal", F.explode("near").alias("x")).select("ordinal", "x.entity", "x.term", "x.near")
-    # an entity with too few distinct surroundings can't support any term
-    entities = near.select("ordinal", "entity", "near").distinct().groupBy("entity").agg(F.countDistinct("near").alias("about"), F.countDistinct("ordinal").alias("n_entity"))
-    pairs = near.join(entities.where(F.col("about") >= min_support).select("entity"), "entity", "left_semi")
-    both = pairs.groupBy("entity", "term").agg(F.countDistinct("ordinal").alias("n_both"), F.countDistinct("near").alias("support")).where(F.col("support") >= min_support)
-    n = float(scanned.count())
+    each = scanned.select("ordinal", "page", F.explode("entities").alias("entity"))
+    # an entity with too few distinct texts can't support any term
+    entities = each.groupBy("entity", "page").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("about"), F.sum("n").alias("n_entity"))
+    entities = written(entities.where(F.col("about") >= min_support).select("entity", "n_entity"), "pii-entities")
+    held = each.join(broadcast_small(entities.select("entity")), "entity", "left_semi").groupBy("ordinal").agg(F.collect_list("entity").alias("held"))
+    pairs = scanned.select("ordinal", "page", "terms").join(held, "ordinal").select("page", "held", F.explode("terms").alias("term")).select("page", "term", F.explode("held").alias("entity"))
+    both = pairs.groupBy("entity", "term", "page").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
+    both = written(both.where(F.col("support") >= min_support).join(entities, "entity"), "pii-pairs")
+    n = float(docs.count())
     terms = document_counts(docs).join(both.select("term").distinct(), "term", "left_semi")
     bits = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("docs")))
     total = F.log2(n / F.col("n_entity"))
-    joined = both.join(entities, "entity").join(terms, "term")
+    joined = both.join(terms, "term")
     return joined.withColumn("revealed", bits / total).where((total > 0) & (F.col("revealed") >= disclosure)).select("entity", "term", "revealed")
 
 
-def found(docs: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+MARKED = "ordinal long, doc_id long, base array<struct<kind string, start int, end int>>, may array<struct<term string, start int, end int>>"
+
+
+def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per row of docs: its base spans, and the occurrences of the terms (term) outside of them, and of few others.
+
+    `ordinal` is taken from docs if it has one. The terms go to the tasks as bits of their checksums, of a bounded number.
+    """
+    ordinal = F.col("ordinal") if "ordinal" in docs.columns else F.monotonically_increasing_id().alias("ordinal")
+    # so many bits a term that of the other words, which are far more, hardly any pass
+    size = 1 << min(27, max(16, (terms.count() << 14).bit_length()))
+    bits = bytearray(size >> 3)
+    for r in terms.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size)).alias("at")).distinct().toLocalIterator():
+        bits[r["at"] >> 3] |= 1 << (r["at"] & 7)
+    known = bytes(bits)
+
+    def listed_in(word: str) -> bool:
+        at = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & (size - 1)
+        return bool(known[at >> 3] >> (at & 7) & 1)
+
+    def one(text: str | None, spans: list) -> list[dict]:
+        words = {w for w in set(_TERM.findall(text or "")) if listed_in(w)}
+        return [{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in terms_of(text, spans) if m[0] in words] if words else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            base = [base_spans(t) for t in b.text]
+            yield pd.DataFrame({"ordinal": b.ordinal, "doc_id": b.doc_id.astype("Int64"), "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base], "may": [one(t, s) for t, s in zip(b.text, base, strict=True)]})
+
+    return docs.select(ordinal, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, MARKED)
+
+
+def found(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """ordinal, doc_id, base and spans (both arrays of kind, start, end), one row per row of docs."""
-    scanned = written(scan(docs, window), "pii-scan")
-    terms = written(disclosing(scanned, docs, min_support, disclosure), "pii-terms")
-    near = scanned.where(F.size("near") > 0).select("ordinal", F.explode("near").alias("x")).select("ordinal", "x.entity", "x.term", "x.start", "x.end")
-    spans = near.join(terms, ["entity", "term"], "left_semi").groupBy("ordinal").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms"))
-    return scanned.select("ordinal", "doc_id", "base").join(spans, "ordinal", "left").withColumn("spans", F.concat("base", F.coalesce("terms", F.expr("cast(array() as array<struct<kind string, start int, end int>>)"))))
+    terms = written(disclosing(written(scan(docs), "pii-scan"), docs, min_support, disclosure).select("term").distinct(), "pii-terms")
+    rows = written(marked(docs, terms), "pii-marked")
+    may = rows.where(F.size("may") > 0).select("ordinal", F.explode("may").alias("x")).select("ordinal", "x.*")
+    spans = may.join(broadcast_small(terms), "term", "left_semi").groupBy("ordinal").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms"))
+    return rows.select("ordinal", "doc_id", "base").join(spans, "ordinal", "left").withColumn("spans", F.concat("base", F.coalesce("terms", F.expr("cast(array() as array<struct<kind string, start int, end int>>)"))))
 
 
 def listed(spans: F.Column) -> F.Column:
