@@ -11,21 +11,24 @@ query against the inverted lists of all others.
 3. The sets left are searched in groups that hold all their possible links: the components under shared prefixes,
    rarest shingles first. Within a group, DivideSkip puts the longest of a query's inverted lists aside, merges the
    short ones, and probes the long ones by binary search for what the short ones leave possible.
-4. A group of more than `SHARD` sets is divided into shards of its index. Its links to each of a few leaders are
-   searched first; the sets linked to the best leader are one class already and need no search among themselves, so
-   only the others are sent to every shard, in blocks of about `SHARD`, each of which meets its own copy of the shard:
-   a task holds one shard and one block, however large the group. No link between two classes is lost.
+4. A group of more than `SHARD` sets is searched for the links of a few leaders first; the sets linked to the best
+   leader are one class already and need no search among themselves. The others are dealt out by the shingles of their
+   prefixes, with the sets that share them: two sets without a common prefix shingle never meet, however large the
+   group. The sets of a prefix shingle that more than `SHARD` sets have are dealt by size besides (sets that link differ
+   by one size class at most), then in blocks, so that a task holds one shard and one block. No link between two
+   classes is lost.
 
 The lists are merged by numpy (a stable sort of sorted runs) instead of a heap, which comes to the same counts.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are their own component (its id
 is their doc_id); fewer words than a shingle are one shingle; equal rows are linked; null doc ids link like others,
 but are no component's id unless all of it has none; an empty table gives no rows; extra columns are ignored by
-`components_of` and pass through `one_of_each`.
+`components_of` and pass through `one_of_each`, whatever their names; a text of any length is one set, held whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import broadcast_small, written
+from .common import broadcast_small, own_columns, written
 from .grams import flat, mixed, pieces, runs, word_hashes
-from .repeats import as_batch, by_bucket, in_parts, partitions, read_parts
+from .repeats import as_batch, buckets_for, by_bucket, in_parts, one_by_one, read_parts
 
 WORDS = 4
 PERCENT = 85
-#: Sets that one task searches at a time.
-SHARD = 4096
+#: Sets that one task searches at a time, and the sets of small groups that are searched together.
+SHARD = 2048
+BIN = 512
 LEADERS = 8
 #: Words that a task holds while it deals out their shingles.
 UNIT_WORDS = 1 << 20
@@ -111,9 +115,8 @@ def _least_shared(n: F.Column, percent: int) -> F.Column:
     return F.greatest(F.lit(1), F.floor(other / 8))
 
 
-def possible(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def possible(docs: DataFrame, buckets: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(k1, shared): of each set's smallest hashes, how many at least may occur in other sets."""
-    buckets = partitions(docs)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -154,36 +157,42 @@ def possible(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             yield as_batch(rows, ["bucket", "names", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, keys, out = [], [], []
-        for b in batches:
-            for k, x, y in zip(b.column("bucket").to_pylist(), b.column("names"), b.column("keys"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if k < 0:
-                    out.append((y, x))
-                else:
-                    names.append(x)
-                    keys.append(y)
-        if names:
-            names, keys = np.concatenate(names), np.concatenate(keys)
-            order = np.lexsort((keys, names))
-            names, keys = names[order], keys[order]
-            other = np.ones(len(names), bool)
-            other[1:] = (names[1:] != names[:-1]) | (keys[1:] != keys[:-1])
-            names, keys = names[other], keys[other]
-            new = np.ones(len(names), bool)
-            new[1:] = names[1:] != names[:-1]
-            size = np.diff(np.append(np.flatnonzero(new), len(names)))
-            known = np.logical_or.reduceat(keys == 0, np.flatnonzero(new))
-            shared = np.repeat((size > 1) | known, size) & (keys != 0)
-            out.append(tuple(x.astype(np.uint64) for x in np.unique(keys[shared], return_counts=True)))
-        rows = packed(*totals(out), buckets)
-        if rows:
-            yield as_batch(rows, ["bucket", "keys", "counts"])
+        for rows in one_by_one(batches):
+            names, keys, out = [], [], []
+            for b in rows:
+                for k, x, y in zip(b.column("bucket").to_pylist(), b.column("names"), b.column("keys"), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    if k < 0:
+                        out.append((y, x))
+                    else:
+                        names.append(x)
+                        keys.append(y)
+            if names:
+                out.append(borne(np.concatenate(names), np.concatenate(keys)))
+            parts = packed(*totals(out), buckets)
+            if parts:
+                yield as_batch(parts, ["bucket", "keys", "counts"])
+
+    def borne(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, how many of each one's names are other keys', too)."""
+        order = np.lexsort((keys, names))
+        names, keys = names[order], keys[order]
+        other = np.ones(len(names), bool)
+        other[1:] = (names[1:] != names[:-1]) | (keys[1:] != keys[:-1])
+        names, keys = names[other], keys[other]
+        new = np.ones(len(names), bool)
+        new[1:] = names[1:] != names[:-1]
+        size = np.diff(np.append(np.flatnonzero(new), len(names)))
+        known = np.logical_or.reduceat(keys == 0, np.flatnonzero(new))
+        shared = np.repeat((size > 1) | known, size) & (keys != 0)
+        found, counts = np.unique(keys[shared], return_counts=True)
+        return found, counts.astype(np.uint64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = read_parts(batches, {"keys": np.uint64, "counts": np.uint64})
-        keys, counts = totals([(x["keys"], x["counts"])])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.view(np.int64))], ["k1", "shared"])
+        for rows in one_by_one(batches):
+            x = read_parts(rows, {"keys": np.uint64, "counts": np.uint64})
+            keys, counts = totals([(x["keys"], x["counts"])])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.view(np.int64))], ["k1", "shared"])
 
     dealt = _tokens(docs).select("w").mapInArrow(deal, DEALT)
     met = by_bucket(dealt, buckets).mapInArrow(meet, "bucket int, keys binary, counts binary")
@@ -219,7 +228,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(full: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, shingle): the rarest n - T + 1 shingles of each set, of those that occur in two sets at least."""
+    """(node, n, shingle): the rarest n - T + 1 shingles of each set, of those that occur in two sets at least."""
     each = full.select("node", "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     known = each.join(often, "shingle")
@@ -227,7 +236,7 @@ def prefixes(full: DataFrame, percent: int = PERCENT) -> DataFrame:
     # shingles of no other set are rarer than all others
     rank = F.row_number().over(of.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(of)
     least = F.floor((F.col("n") * percent + 99) / 100)
-    return known.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - least + 1).select("node", "shingle")
+    return known.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - least + 1).select("node", "n", "shingle")
 
 
 class Index:
@@ -307,6 +316,35 @@ def searched(index: DataFrame, queries: DataFrame, percent: int = PERCENT) -> Da
     return index.select("bin", "node", "shingles").groupBy("bin").cogroup(queries.select(*[F.col(c).alias(c) for c in ("bin", "node", "shingles")]).groupBy("bin")).applyInPandas(run, "a string, b string")
 
 
+def _range(n: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def dealt(prefix: DataFrame, rest: DataFrame, percent: int = PERCENT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(bin, node) of the index and of the queries: the nodes of rest meet all those that share a prefix shingle with them."""
+    asked = prefix.join(rest.select("node"), "node", "left_semi")
+    held = written(prefix.join(asked.select("shingle").distinct(), "shingle", "left_semi"), "ngram-held")
+    # shingles of the same sets count as one
+    alike = held.groupBy("shingle").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
+    one = written(alike.where("members > 1").groupBy("members", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", "members"), "ngram-shingles")
+    bins = max(1, -(-(one.where(F.col("members") <= shard).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]) // shard))
+    few = F.col("members") <= shard
+    index, queries = held.join(one, "shingle"), asked.join(one, "shingle")
+    together = lambda x: x.where(few).select(F.concat(F.lit("t"), F.pmod(F.xxhash64("shingle"), F.lit(bins)).cast("string")).alias("bin"), "node").distinct()
+    # a little more than the ratio of two sizes that may link: their classes are neighbours
+    size = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-6) * (1 + 1e-9)))
+    many = index.where(~few).withColumn("class", size)
+    ask = queries.where(~few).withColumn("class", F.explode(F.array(size - 1, size, size + 1)))
+    shards = many.groupBy("shingle", "class").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    blocks = ask.groupBy("shingle", "class").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
+    grid = shards.join(blocks, ["shingle", "class"])
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
+    place = F.concat_ws(":", "shingle", "class", "i", "j").alias("bin")
+    many = many.join(grid, ["shingle", "class"]).select("*", own("shard", "shards").alias("i"), _range(F.col("blocks")).alias("j")).select(place, "node")
+    ask = ask.join(grid, ["shingle", "class"]).select("*", own("block", "blocks").alias("j"), _range(F.col("shards")).alias("i")).select(place, "node")
+    return together(index).unionByName(many), together(queries).unionByName(ask)
+
+
 def links(full: DataFrame, percent: int = PERCENT, shard: int = SHARD) -> DataFrame:
     """(a, b): links between the sets (node, n, shingles), enough of them to give all components."""
     prefix = written(prefixes(full, percent), "prefixes")
@@ -315,7 +353,7 @@ def links(full: DataFrame, percent: int = PERCENT, shard: int = SHARD) -> DataFr
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     placed = written(groups.join(sizes, "component").join(full, "node").select("node", "shingles", "component", "size"), "ngram-groups")
     small = placed.where(F.col("size") <= shard)
-    bins = max(1, -(-small.count() // (shard // 2)))
+    bins = max(1, -(-small.count() // min(BIN, shard)))
     small = small.withColumn("bin", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")))
     out = searched(small, small, percent)
     large = placed.where(F.col("size") > shard)
@@ -323,22 +361,16 @@ def links(full: DataFrame, percent: int = PERCENT, shard: int = SHARD) -> DataFr
         shards = F.ceil(F.col("size") / shard).cast("int")
         name = lambda i: F.concat_ws(":", "component", i.cast("string"))
         index = large.withColumn("bin", name(F.pmod(F.xxhash64("node"), shards)))
-        everywhere = lambda q: q.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), shards - 1), name)))
-        tops = large.groupBy("component").agg(F.min_by("node", F.xxhash64("node")).alias("node"))
-        for i in range(1, LEADERS):
-            tops = tops.unionByName(large.groupBy("component").agg(F.min_by("node", F.xxhash64(F.lit(i), "node")).alias("node")))
-        leaders = large.join(tops.distinct(), ["component", "node"], "left_semi")
-        led = written(searched(index, everywhere(leaders), percent).where("a <> b"), "led")
+        tops = large.groupBy("component").agg(*[F.min_by("node", F.xxhash64(F.lit(i), "node")).alias(f"l{i}") for i in range(LEADERS)])
+        tops = tops.select("component", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("node"))
+        leaders = large.join(tops, ["component", "node"], "left_semi").withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), shards - 1), name)))
+        led = written(searched(index, leaders, percent).where("a <> b"), "led")
         of = led.join(large.select(F.col("node").alias("a"), "component"), "a")
         best = of.groupBy("component", "a").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
         done = led.join(best, "a", "left_semi").select(F.col("b").alias("node")).unionByName(best.select(F.col("a").alias("node")))
         rest = large.join(done, "node", "left_anti")
-        counted = rest.groupBy("component").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
-        copied = index.join(counted, "component").withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.concat_ws(":", "bin", i.cast("string")))))
-        # salted, so that a block is not dealt by the hash of the shards
-        block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("string")
-        asked = everywhere(rest.join(counted, "component")).withColumn("bin", F.concat_ws(":", "bin", block))
-        out = out.unionByName(led).unionByName(searched(copied, asked, percent))
+        index, queries = (x.join(large.select("node", "shingles"), "node") for x in dealt(prefix, rest, percent, shard))
+        out = out.unionByName(led).unionByName(searched(index, queries, percent))
     return out.where("a <> b")
 
 
@@ -346,7 +378,9 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     """doc_id, n_shingles, component_id, one row per row of docs."""
     own = written(sets(docs, words), "ngram-sets")
     node = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
-    kept = possible(docs, words, percent)
+    # 8 bytes for each hash of a text's words
+    buckets = buckets_for(docs, 8 * own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    kept = possible(docs, buckets, words, percent)
     nodes = own.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"))
     nodes = nodes.join(kept, "k1").where(F.col("shared") >= _least_shared(F.col("n"), percent)).select(node.alias("node"), "t.t1", "t.t2")
     full = written(_full_sets(docs, written(nodes, "ngram-nodes"), words), "ngram-full")
@@ -364,10 +398,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     Of rows that share that id, one stays; rows without an id and rows that link with nothing all stay.
     """
-    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-docs")
-    found = components_of(own.select(F.col("_row").alias("doc_id"), "text"), words, percent)
-    first = own.join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row").groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    return own.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    own = written(docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("row")), "ngram-docs")
+    found = components_of(own.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), words, percent)
+    ids = own.select("row", F.col("doc.doc_id").alias("doc_id"))
+    first = ids.join(found.select(F.col("doc_id").alias("row"), "component_id"), "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    return own.join(first.select("row"), "row", "left_semi").select("doc.*")
 
 
 def op8_ngram_join(spark, sf_dir):

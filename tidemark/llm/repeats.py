@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +15,53 @@ from .grams import flat, mixed, pieces
 
 #: Words that a task holds at a time.
 UNIT_WORDS = 1 << 19
-Named = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Bytes of text whose names stand in one bucket, which a task holds at a time.
+BUCKET_BYTES = 48 << 20
+#: Names (one array or several, that are equal together), keys and places.
+Named = tuple[list[np.ndarray], np.ndarray, np.ndarray]
 
 
 def partitions(df: DataFrame) -> int:
-    """Buckets that packed arrays are dealt to: one for each partition of a shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(df: DataFrame, text_bytes: int) -> int:
+    """Buckets that packed arrays are dealt to: one a partition of a shuffle at least, more where the text needs more."""
+    return max(partitions(df), -(-text_bytes // BUCKET_BYTES))
+
+
 def by_bucket(rows: DataFrame, n: int) -> DataFrame:
-    """rows with one bucket in each partition; a negative bucket b goes where -1 - b does."""
-    return rows.repartitionById(n, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
+    """rows dealt by bucket; a partition with several has them one after another. A negative bucket b goes where -1 - b does."""
+    at = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+    parts = min(n, partitions(rows))
+    dealt = rows.repartitionById(parts, (at % parts).cast("int"))
+    return dealt if n == parts else dealt.sortWithinPartitions(at)
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each bucket, of rows that stand in the order of buckets."""
+    held, now = [], None
+    for b in batches:
+        at = b.column("bucket").to_numpy()
+        at = np.where(at < 0, -1 - at, at)
+        for start, end in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]):
+            if end > start:
+                if held and at[start] != now:
+                    yield held
+                    held = []
+                now = at[start]
+                held.append(b.slice(start, end - start))
+    if held:
+        yield held
 
 
 def in_parts(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple]:
     """(bucket, its part of each array as bytes)."""
     order = np.argsort(bucket, kind="stable")
-    arrays = [a[order] for a in arrays]
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        yield int(b), *[a[cuts[b] : cuts[b + 1]].tobytes() for a in arrays]
+    bucket, arrays = bucket[order], [a[order] for a in arrays]
+    first = np.flatnonzero(_starts(bucket))
+    for i, j in pairwise([*first.tolist(), len(bucket)]):
+        yield int(bucket[i]), *[a[i:j].tobytes() for a in arrays]
 
 
 def as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -55,14 +84,15 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def repeated(df: DataFrame, named: Callable[[list[pa.RecordBatch]], Named]) -> DataFrame:
+def repeated(df: DataFrame, named: Callable[[list[pa.RecordBatch]], Named], buckets: int, width: int = 1) -> DataFrame:
     """(key, places): of each key the sorted places, as packed 32-bit numbers, whose name is borne by another (key, place).
 
-    named: names (64 bits), keys (64 bits, not 0) and places (32 bits) of a unit of df's rows; df has a column w, an array of word hashes.
-    Names travel as packed arrays, dealt out by hash. A name that a unit bears several times is counted there and
-    travels once for all of them, so that a task gets no more of any name than there are units.
+    named: names (`width` arrays of 64 bits), keys (64 bits, not 0) and places (32 bits) of a unit of df's rows; df has a
+    column w, an array of word hashes. Names travel as packed arrays, dealt out by hash. A name that a unit bears several
+    times is counted there and travels once for all of them, so that a task gets no more of any name than there are units.
     """
-    buckets = partitions(df)
+    columns = [f"names{i}" for i in range(width)]
+    which = lambda x: (mixed(x) % np.uint64(buckets)).astype(np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -77,9 +107,9 @@ def repeated(df: DataFrame, named: Callable[[list[pa.RecordBatch]], Named]) -> D
 
     def unit(found: Named) -> Iterator[pa.RecordBatch]:
         names, keys, places = found
-        order = np.argsort(names, kind="stable")
-        names, keys, places = names[order], keys[order], places[order].astype(np.uint32)
-        new = _starts(names)
+        order = np.lexsort(names[::-1])
+        names, keys, places = [x[order] for x in names], keys[order], places[order].astype(np.uint32)
+        new = _starts(*names)
         first = np.flatnonzero(new)
         # equal texts of one unit bear the same names at the same places: they are one text
         group = np.cumsum(new) - 1
@@ -89,50 +119,53 @@ def repeated(df: DataFrame, named: Callable[[list[pa.RecordBatch]], Named]) -> D
         known = many[group]
         rows = []
         if len(first):
-            n, k, p = names[first], np.where(many, np.uint64(0), keys[first]), places[first]
-            rows += [(b, *x) for b, *x in in_parts((mixed(n) % np.uint64(buckets)).astype(np.int32), buckets, n, k, p)]
+            n, k, p = [x[first] for x in names], np.where(many, np.uint64(0), keys[first]), places[first]
+            rows += list(in_parts(which(n[0]), buckets, *n, k, p))
         if known.any():
             k, p = keys[known], places[known]
-            rows += [(-1 - b, b"", *x) for b, *x in in_parts((mixed(k) % np.uint64(buckets)).astype(np.int32), buckets, k, p)]
+            rows += [(-1 - b, *[b""] * width, *x) for b, *x in in_parts(which(k), buckets, k, p)]
         if rows:
-            yield as_batch(rows, ["bucket", "names", "keys", "places"])
+            yield as_batch(rows, ["bucket", *columns, "keys", "places"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            low = [i for i, x in enumerate(b.column("bucket").to_pylist()) if x < 0]
-            high = [i for i in range(b.num_rows) if i not in set(low)] if low else None
-            if low:
-                passed = b.take(pa.array(low))
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - x for x in passed.column("bucket").to_pylist()], pa.int32()), passed.column("keys"), passed.column("places")], ["bucket", "keys", "places"])
-            held.append(b.take(pa.array(high)) if low else b)
-        x = read_parts(held, {"names": np.uint64, "keys": np.uint64, "places": np.uint32})
-        order = np.lexsort((x["places"], x["keys"], x["names"]))
-        names, keys, places = x["names"][order], x["keys"][order], x["places"][order]
-        distinct = _starts(names, keys, places) | (keys == 0)
-        names, keys, places = names[distinct], keys[distinct], places[distinct]
-        if not len(names):
-            return
-        first = np.flatnonzero(_starts(names))
-        count = np.diff(np.append(first, len(names)))
+        for rows in one_by_one(batches):
+            for b in rows:
+                passed = b.filter(pc.less(b.column("bucket"), 0))
+                if passed.num_rows:
+                    yield pa.RecordBatch.from_arrays([pc.subtract(pa.scalar(-1, pa.int32()), passed.column("bucket")), passed.column("keys"), passed.column("places")], ["bucket", "keys", "places"])
+            met = as_parts(read_parts((b.filter(pc.greater_equal(b.column("bucket"), 0)) for b in rows), {c: np.uint64 for c in columns} | {"keys": np.uint64, "places": np.uint32}))
+            if met:
+                yield as_batch(met, ["bucket", "keys", "places"])
+
+    def as_parts(x: dict[str, np.ndarray]) -> list[tuple]:
+        """The places, dealt by key, whose name another place bears."""
+        names, keys, places = [x[c] for c in columns], x["keys"], x["places"]
+        order = np.lexsort((places, keys, *names[::-1]))
+        names, keys, places = [n[order] for n in names], keys[order], places[order]
+        distinct = _starts(*names, keys, places) | (keys == 0)
+        names, keys, places = [n[distinct] for n in names], keys[distinct], places[distinct]
+        if not len(keys):
+            return []
+        first = np.flatnonzero(_starts(*names))
+        count = np.diff(np.append(first, len(keys)))
         many = np.repeat((count > 1) | (keys[first] == 0), count) & (keys != 0)
         keys, places = keys[many], places[many]
         order = np.lexsort((places, keys))
-        rows = list(in_parts((mixed(keys[order]) % np.uint64(buckets)).astype(np.int32), buckets, keys[order], places[order]))
-        if rows:
-            yield as_batch(rows, ["bucket", "keys", "places"])
+        return list(in_parts(which(keys[order]), buckets, keys[order], places[order])) if len(keys) else []
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = read_parts(batches, {"keys": np.uint64, "places": np.uint32})
-        order = np.lexsort((x["places"], x["keys"]))
-        keys, places = x["keys"][order], x["places"][order]
-        distinct = _starts(keys, places)
-        keys, places = keys[distinct], places[distinct]
-        first = np.flatnonzero(_starts(keys)) if len(keys) else np.zeros(0, np.int64)
-        cuts = np.append(first, len(keys))
-        for i in range(0, len(first), 1000):
-            part = range(i, min(i + 1000, len(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first[i : i + 1000]].view(np.int64)), pa.array([places[cuts[j] : cuts[j + 1]].tobytes() for j in part], pa.binary())], ["key", "places"])
-
-    dealt = by_bucket(df.mapInArrow(deal, "bucket int, names binary, keys binary, places binary"), buckets)
+        for rows in one_by_one(batches):
+            x = read_parts(rows, {"keys": np.uint64, "places": np.uint32})
+            order = np.lexsort((x["places"], x["keys"]))
+            keys, places = x["keys"][order], x["places"][order]
+            distinct = _starts(keys, places)
+            keys, places = keys[distinct], places[distinct]
+            first = np.flatnonzero(_starts(keys)) if len(keys) else np.zeros(0, np.int64)
+            cuts = np.append(first, len(keys))
+            for i in range(0, len(first), 1000):
+                part = range(i, min(i + 1000, len(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first[i : i + 1000]].view(np.int64)), pa.array([places[cuts[j] : cuts[j + 1]].tobytes() for j in part], pa.binary())], ["key", "places"])
+
+    packed = ", ".join(f"{c} binary" for c in (*columns, "keys", "places"))
+    dealt = by_bucket(df.mapInArrow(deal, f"bucket int, {packed}"), buckets)
     return by_bucket(dealt.mapInArrow(meet, "bucket int, keys binary, places binary"), buckets).mapInArrow(gather, "key long, places binary")

@@ -11,37 +11,38 @@ a left one. What is left between the edges after all rounds is the window's inte
 
 1. All symbols of the last round are counted over the corpus (a window without an interior is counted itself). A
    window of whose interior any symbol is borne once in the corpus is no repeat.
-2. The windows left are verified: their 35-word hashes are counted in the same way.
+2. The windows left are verified: the 128-bit hashes of their words are counted in the same way.
 3. The texts that have repeats are written anew.
 
-Texts that occur several times are one text in all this; every window of theirs is a repeat.
+Texts that occur several times are one text in all this; every window of theirs is a repeat. A text's key has 64 bits;
+keys that two texts share (told by 128 bits) are given out anew, so that no text is taken for another.
 
 Defined cases: null, empty and blank texts have no words; texts shorter than a window lose nothing; equal rows lose
 everything; null and repeated ids get a row each; an empty table gives no rows; extra columns are ignored by
-`removed`, and pass through `deduplicated`. Names and windows are compared by 64 bits, the windows by the bits of the
-partition that they are dealt to besides.
+`removed`, and pass through `deduplicated`, whatever their names; a text of any length is compressed whole, in the
+memory of one task. Symbols are compared by 64 bits, which only lets windows through to their verification.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_small, words_of, written
+from .common import broadcast_small, own_columns, own_name, words_of, written
 from .grams import flat, mixed, word_hashes
-from .repeats import repeated
+from .repeats import buckets_for, repeated
 
 WINDOW = 35
 ROUNDS = 6
 #: Words from which on a symbol is not paired.
 FROZEN = 6
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd numbers, one for each 64 bits of a window's hash.
+_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -50,10 +51,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int, base: np.uint64 = _BASES[0]) -> np.ndarray:
     """Hash of the window words from each start."""
-    total = np.append(np.uint64(0), np.cumsum(mixed(hashes) * _powers(_BASE, len(hashes))[:-1]))
-    return mixed((total[starts + window] - total[starts]) * _powers(_INVERSE, len(hashes))[starts])
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    total = np.append(np.uint64(0), np.cumsum(mixed(hashes ^ base) * _powers(base, len(hashes))[:-1]))
+    return mixed((total[starts + window] - total[starts]) * _powers(inverse, len(hashes))[starts])
 
 
 class Recompressed:
@@ -122,7 +124,30 @@ def _unit(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashes, lengths, np.cumsum(lengths) - lengths, keys
 
 
-def shared_symbols(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def text_keys(docs: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -> tuple[Callable[[Column], Column], DataFrame]:
+    """(the 64-bit key of a text, and key, copies, bytes of every text that is not null).
+
+    Of n texts about n**2 / 2**65 pairs share a hash (two of 10**10 texts); those hashes, and no others, come to the driver.
+    """
+    shared: list[list[int]] = []
+
+    def key(text: Column) -> Column:
+        out = hashed(text)
+        for i, known in enumerate(shared):
+            out = F.when(out.isin(known), F.xxhash64(F.lit(i), text)).otherwise(out)
+        return out
+
+    rows = docs.where("text IS NOT NULL").select("text")
+    while True:
+        own = rows.select(key(F.col("text")).alias("key"), F.xxhash64(F.lit(7), "text").alias("second"), F.octet_length("text").cast("long").alias("bytes"))
+        seen = written(own.groupBy("key").agg(F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.min("second").alias("least"), F.max("second").alias("most")), "text-keys")
+        more = [r.key for r in seen.where("least <> most").select("key").collect()]
+        if not more:
+            return key, seen.select("key", "copies", "bytes")
+        shared.append(more)
+
+
+def shared_symbols(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(key, places) of the texts' symbols, and windows without symbols (top bit set), that occur more than once."""
 
     def named(batches):
@@ -132,12 +157,12 @@ def shared_symbols(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         alone = at >> 62
         at = at & ((1 << 62) - 1)
         of = np.searchsorted(begin + lengths, at, side="right")
-        return names, keys[of], (at - begin[of]) | (alone << 31)
+        return [names], keys[of], (at - begin[of]) | (alone << 31)
 
-    return repeated(docs.where(F.size("w") >= window).select("key", "w"), named)
+    return repeated(docs.where(F.size("w") >= window).select("key", "w"), named, buckets)
 
 
-def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeats(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     """(key, places): starts of the repeats of the texts (key, w, places of their shared symbols)."""
 
     def named(batches):
@@ -152,9 +177,9 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 alone[place[key] + (at[top] & np.uint32(0x7FFFFFFF)).astype(np.int64)] = True
         starts = Recompressed(hashes, lengths, window).possible(shared, alone)
         of = np.searchsorted(begin + lengths, starts, side="right")
-        return window_hashes(hashes, starts, window), keys[of], starts - begin[of]
+        return [window_hashes(hashes, starts, window, base) for base in _BASES], keys[of], starts - begin[of]
 
-    return repeated(texts.select("key", "w", "places"), named)
+    return repeated(texts.select("key", "w", "places"), named, buckets, len(_BASES))
 
 
 def _covered(places, n: int, window: int) -> np.ndarray:
@@ -166,14 +191,14 @@ def _covered(places, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def rewritten(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """(key, n_removed, kept_sha256, and kept if keep_text) of the texts, by content, that hold repeats of any text."""
-    key = F.xxhash64("text")
-    keyed = docs.where("text IS NOT NULL").select(key.alias("key"), "text")
-    symbols = written(shared_symbols(keyed.select("key", word_hashes(F.col("text")).alias("w")), window), "symbols")
+def rewritten(docs: DataFrame, key: Callable[[Column], Column], seen: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+    """(key, n_removed, kept_sha256, and kept if keep_text) of the texts, by key, that hold repeats of any text."""
+    buckets = buckets_for(docs, seen.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    keyed = docs.where("text IS NOT NULL").select(key(F.col("text")).alias("key"), "text")
+    symbols = written(shared_symbols(keyed.select("key", word_hashes(F.col("text")).alias("w")), window, buckets), "symbols")
     texts = keyed.join(broadcast_small(symbols.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = written(texts.join(symbols, "key"), "repeat-texts")
-    found = repeats(texts.select("key", word_hashes(F.col("text")).alias("w"), "places"), window)
+    found = repeats(texts.select("key", word_hashes(F.col("text")).alias("w"), "places"), window, buckets)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,17 +213,13 @@ def rewritten(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) ->
     return texts.select("key", "text").join(found, "key").mapInArrow(rewrite, "key long, n_removed long, kept_sha256 string, kept string")
 
 
-def _copied(docs: DataFrame) -> DataFrame:
-    """(key, copies) of the texts that occur several times."""
-    return docs.where("text IS NOT NULL").groupBy(F.xxhash64("text").alias("key")).agg(F.count("*").alias("copies")).where("copies > 1")
-
-
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    narrow = written(rewritten(docs, window).drop("kept"), "rewritten")
-    copied = written(_copied(docs).select("key"), "copied")
+    key, seen = text_keys(docs)
+    narrow = written(rewritten(docs, key, seen, window).drop("kept"), "rewritten")
+    copied = written(seen.where("copies > 1").select("key"), "copied")
     words = words_of(F.col("text"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("whole"))
+    rows = docs.select("doc_id", F.when(F.col("text").isNotNull(), key(F.col("text"))).alias("key"), F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("whole"))
     rows = rows.join(broadcast_small(narrow), "key", "left").join(broadcast_small(copied).withColumn("again", F.lit(True)), "key", "left")
     gone = F.coalesce("again", F.lit(False)) & (F.col("n_words") >= window)
     return rows.select(
@@ -209,13 +230,15 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, in its columns; texts that hold repeats are their kept words, joined by spaces."""
-    texts = written(rewritten(docs, window, keep_text=True).select("key", "kept"), "rewritten")
-    copied = written(_copied(docs).select("key"), "copied")
-    own = docs.withColumn("_key", F.xxhash64("text")).withColumn("_n", F.size(words_of(F.col("text"))))
-    own = own.join(texts.withColumnRenamed("key", "_key").withColumnRenamed("kept", "_kept"), "_key", "left")
-    own = own.join(copied.select(F.col("key").alias("_key"), F.lit(True).alias("_again")), "_key", "left")
-    gone = F.coalesce("_again", F.lit(False)) & (F.col("_n") >= window)
-    return own.withColumn("text", F.when(gone, "").otherwise(F.coalesce("_kept", "text"))).select(*docs.columns)
+    key, seen = text_keys(docs)
+    texts = rewritten(docs, key, seen, window, keep_text=True).select("key", "kept")
+    again = written(seen.where("copies > 1").select("key"), "copied").withColumn("again", F.lit(True))
+    changes = written(texts.join(again, "key", "full"), "rewritten")
+    own = docs.select(F.struct(*own_columns(docs)).alias("doc"), "text", F.when(F.col("text").isNotNull(), key(F.col("text"))).alias("key"))
+    own = own.join(changes, "key", "left")
+    gone = F.coalesce("again", F.lit(False)) & (F.size(words_of(F.col("text"))) >= window)
+    text = F.when(gone, "").otherwise(F.coalesce("kept", "text"))
+    return own.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
 
 
 def op5_substring_dedup(spark, sf_dir):
