@@ -3,19 +3,21 @@
 A document is contaminated by a test item if it holds at least `threshold` of the item's distinct shingles of five
 words (letters A-Z in lower case; an item of fewer words is one shingle).
 
-Banded sketches compare sets by Jaccard similarity, which a 30-shingle item within a document of 20,000 words
-doesn't have. So only the items are sketched, by their smallest hashes: a document that holds a share t of an item
-with q shingles misses q - ceil(tq) of them at most, so it holds one of the q - ceil(tq) + 1 with the smallest
-hashes. Items are partitioned by size in powers of two, and each partition has its own largest hash that any of its
-sketches uses; the documents' shingles above all of them need not be looked up. The search therefore misses nothing,
-at any document length; what it finds is verified with the shingles themselves.
+Items are partitioned by size, in powers of two. Each partition has parameters of its own: h, the hits that a document
+must have (an eighth of the partition's least size, 1 at least), and a bound, the largest hash in any of its sketches.
+An item of q shingles is sketched by its q - ceil(tq) + h smallest hashes: what holds a share t of the item misses
+q - ceil(tq) shingles at most, so h of the sketch at least are in it. A document's sketch for a partition is all its
+hashes up to the partition's bound (at any length of the document, unlike a sketch of fixed size, in which a short item
+would drown); the sketches for all partitions are nested, so one pass makes them. A document with h hits of an item's
+sketch is a candidate, and the search misses nothing; candidates are verified with the shingles themselves.
 
 Everything is DataFrame functions. Documents are told apart by content, so that copies are verified once. The
 items' sketches and shingles go to all tasks only up to `BROADCAST_ROWS` rows.
 
 Defined cases: null and blank texts and items have no shingles and match nothing; repeated items give one row per
 item id and text; repeated rows of docs each get their rows; null ids are kept; empty tables give no rows; extra
-columns are ignored by `contaminated` and pass through `clean`.
+columns are ignored by `contaminated` and pass through `clean`, whatever their names; a text of any length is one
+array of words in one row.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_small, lower_ascii, words_of, written
+from .common import broadcast_small, lower_ascii, own_columns, words_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -60,6 +62,11 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
+def hits_needed(size_class: Column) -> Column:
+    """h of a partition: how many hashes of an item's sketch a document must have."""
+    return F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), size_class) / 8)).cast("int")
+
+
 def sketched(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[int]]:
     """(item, item_id, length, n_item, size_class, shingle, hash, in_sketch by shingle of each item; the lengths that occur)."""
     words = words_of(lower_ascii(F.col("text")))
@@ -68,23 +75,29 @@ def sketched(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     n = F.size("shingles")
     missed = n - F.ceil(n * F.lit(threshold) - 1e-9)
     rows = own.select("item_id", "item", F.least(F.size("words"), F.lit(WORDS)).alias("length"), parts.alias("shingles"))
-    rows = rows.withColumns({"n_item": n.cast("long"), "size_class": F.floor(F.log2(n.cast("double"))).cast("int"), "kept": (missed + 1).cast("int")})
+    rows = rows.withColumns({"n_item": n.cast("long"), "size_class": F.floor(F.log2(n.cast("double")) + 1e-12).cast("int")})
+    rows = rows.withColumn("kept", (missed + hits_needed(F.col("size_class"))).cast("int"))
     hashed = F.array_sort(F.transform("shingles", lambda s: F.struct(_hash_of(s).alias("hash"), s.alias("shingle"))))
     each = rows.select("item_id", "item", "length", "n_item", "size_class", "kept", F.posexplode(hashed).alias("rank", "s"))
     table = written(each.select("item_id", "item", "length", "n_item", "size_class", "s.shingle", "s.hash", (F.col("rank") < F.col("kept")).alias("in_sketch")), "items")
     return table, sorted(r[0] for r in table.select("length").distinct().collect())
 
 
+def partitions(items: DataFrame) -> dict[int, int]:
+    """The bound of each size partition: the largest hash of its sketches. At most one row per power of two."""
+    return {r.size_class: r.bound for r in items.where("in_sketch").groupBy("size_class").agg(F.max("hash").alias("bound")).collect()}
+
+
 def candidates(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
-    """Distinct k1, k2, item_id, item: documents, by content, that hold a shingle of the item's sketch."""
+    """Distinct k1, k2, item_id, item: documents, by content, that have the hits of an item's sketch that its partition asks for."""
     sketch = items.where("in_sketch").select("hash", "item_id", "item", "size_class")
-    bounds = {r.size_class: r.most for r in sketch.groupBy("size_class").agg(F.max("hash").alias("most")).collect()}
-    most = max(bounds.values(), default=-(2**63))
+    most = max(partitions(items).values(), default=-(2**63))
     own = docs.where("text IS NOT NULL").select(*_keys(F.col("text")), words_of(lower_ascii(F.col("text"))).alias("words"))
     own = own.select("k1", "k2", F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
     own = own.select("k1", "k2", _hashes(F.col("hashed"), lengths or [WORDS]).alias("hashes"))
     low = own.select("k1", "k2", F.explode(F.filter("hashes", lambda h: h <= most)).alias("hash"))
-    return low.join(broadcast_small(sketch.drop("size_class")), "hash").select("k1", "k2", "item_id", "item").distinct()
+    hits = low.join(broadcast_small(sketch), "hash").groupBy("k1", "k2", "item_id", "item", "size_class").agg(F.count_distinct("hash").alias("hits"))
+    return hits.where(F.col("hits") >= hits_needed(F.col("size_class"))).select("k1", "k2", "item_id", "item")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,10 +124,8 @@ def found(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that no item contaminates, in its columns."""
     bad = written(contaminated(docs, items, threshold).select("k1", "k2").distinct(), "leaking")
-    k1, k2 = _keys(docs["text"])
-    own = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
-    bad = broadcast_small(bad)
-    return own.join(bad, (own["_k1"] == bad["k1"]) & (own["_k2"] == bad["k2"]) & own["text"].isNotNull(), "left_anti").select(*[own[c] for c in docs.columns])
+    own = docs.select(F.struct(*own_columns(docs)).alias("doc"), *[F.when(F.col("text").isNotNull(), k).alias(n) for k, n in zip(_keys(F.col("text")), ("k1", "k2"), strict=True)])
+    return own.join(broadcast_small(bad), ["k1", "k2"], "left_anti").select("doc.*")
 
 
 def op2_decontamination(spark, sf_dir):
@@ -126,9 +137,10 @@ ORACLE = r"""
         SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
         UNION ALL
         SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-    places AS (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5),
-    shingles AS (SELECT DISTINCT side, id, array_to_string(w[i : i + 4], ' ') AS s FROM places),
-    items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE side = 'i')
+    lengths AS (SELECT DISTINCT least(len(w), 5) AS n FROM words WHERE side = 'i' AND len(w) > 0),
+    places AS (SELECT side, id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n AND (side = 'd' OR n = least(len(w), 5))),
+    shingles AS (SELECT DISTINCT side, id, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM places),
+    items AS (SELECT id AS item_id, n, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE side = 'i')
     SELECT d.id AS doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
-    FROM items JOIN shingles d ON d.side = 'd' AND d.s = items.s
+    FROM items JOIN shingles d ON d.side = 'd' AND d.n = items.n AND d.s = items.s
     GROUP BY d.id, item_id, n_item HAVING count(*) >= 0.8 * n_item"""
