@@ -2,13 +2,19 @@
 
 A linear-chain conditional random field marks each line of a text as content or boilerplate, decoded by
 Viterbi; a document is retained if enough of its words stand in content lines and no base rule rejects it.
-The field is trained here on the lines of labelled documents (a line takes its document's label), at most
-`SAMPLE_DOCS` of them, chosen by hash; everything else covers all lines of all documents.
+
+Labels are given for documents, not lines, so the field is trained with latent line labels: a first guess from the
+line features that good and bad documents have in common, then, in turn, the field is fitted to the guess and the
+guess is made anew by the field, held to the documents' labels (of a good one most words are content, of a bad one few
+are; which lines these are is the field's choice). So lines of both kinds are learnt within one document, and what
+follows what. At most `SAMPLE_DOCS` labelled documents are used, chosen by hash, and of each at most `SAMPLE_LINES`
+lines, in stretches spread over the whole; everything else covers all lines of all documents.
 
 Defined cases: a null or blank text has no lines, no words and fails the base rule; lines without a word are
 not in the sequence; without labels of both kinds every line is content, and only the base rules decide;
-several labels of one document: the smallest counts; null doc ids carry no label; repeated rows get equal
-results; an empty table gives no rows; further columns pass through `filtered` unread.
+several labels of one document: the smallest counts; several texts of one labelled id: one of them, by hash, is
+trained on; null doc ids carry no label; repeated rows get equal results; an empty table gives no rows; further
+columns pass through `filtered` unread, whatever their names; texts and lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,10 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 2000
+SAMPLE_LINES = 500
 MIN_WORDS = 50
 MIN_CONTENT = 0.5
 #: Longest run of lines that training sees as one sequence; decoding has no such bound.
 TRAIN_LINES = 50
+#: Least share of content words in a good document, and greatest in a bad one, that the line labels are held to.
+GOOD_CONTENT, BAD_CONTENT = 0.6, 0.4
+#: Turns of fitting and labelling, and steps of the ascent in each.
+SWEEPS, STEPS = 6, 40
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, content_words long, base_failed boolean, kept boolean"
@@ -160,68 +171,133 @@ class Field:
         return labels
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood of the sequences by gradient ascent (Adam), each with one label for all its lines."""
-    cut = [(s[i : i + TRAIN_LINES], y) for s, y in zip(sequences, labels, strict=True) for i in range(0, len(s), TRAIN_LINES)]
-    if len({y for _, y in cut}) < 2:
-        return Field.all_content()
-    cut.sort(key=lambda x: -len(x[0]))
-    lengths, y = np.array([len(s) for s, _ in cut]), np.array([v for _, v in cut])
-    features = np.concatenate([s for s, _ in cut])
-    begin = np.cumsum(lengths) - lengths
-    line_y = np.repeat(y, lengths)
-    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    # each kind weighs the same
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    line_weight = np.repeat(weight, lengths)
-    params = [np.zeros((N_FEATURES, 2)), np.zeros(2), np.zeros((2, 2))]
-    one, two = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    seen = [np.zeros_like(p) for p in params]
-    for c in (0, 1):
-        seen[0][:, c] = np.bincount(features.ravel(), np.repeat(line_weight * (line_y == c), features.shape[1]), N_FEATURES)
-        seen[1][c] = weight[y == c].sum()
-        seen[2][c, c] = (weight * (lengths - 1))[y == c].sum()
-    for step in range(1, rounds + 1):
-        score = params[0][features].sum(1)
-        forward, backward = np.zeros((len(features), 2)), np.zeros((len(features), 2))
+@dataclass
+class Sequences:
+    """Lines of documents in pieces: features of each line, begin and length of each piece (longest first), weight of each line's piece."""
+
+    features: np.ndarray
+    begin: np.ndarray
+    lengths: np.ndarray
+    line_weight: np.ndarray
+
+    def marginals(self, params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability of each line's labels, of the labels of each line and the one before it, log of each line's piece's sum), by forward-backward."""
+        active = np.searchsorted(-self.lengths, -np.arange(1, self.lengths[0] + 1), side="right")
+        score = params[0][self.features].sum(1)
+        forward, backward = np.zeros((len(score), 2)), np.zeros((len(score), 2))
         for t, n in enumerate(active):
-            at = begin[:n] + t
+            at = self.begin[:n] + t
             forward[at] = score[at] + (params[1] if t == 0 else np.logaddexp.reduce(forward[at - 1][:, :, None] + params[2], axis=1))
         for t in range(len(active) - 2, -1, -1):
-            n = active[t + 1]
-            at = begin[:n] + t
+            at = self.begin[: active[t + 1]] + t
             backward[at] = np.logaddexp.reduce(params[2] + (score[at + 1] + backward[at + 1])[:, None, :], axis=2)
-        whole = np.repeat(np.logaddexp.reduce(forward[begin] + backward[begin], axis=1), lengths)
-        share = np.exp(forward + backward - whole[:, None]) * line_weight[:, None]
-        expected = [np.zeros_like(p) for p in params]
-        for c in (0, 1):
-            expected[0][:, c] = np.bincount(features.ravel(), np.repeat(share[:, c], features.shape[1]), N_FEATURES)
-        expected[1] = share[begin].sum(0)
-        inner = np.setdiff1d(np.arange(len(features)), begin)
+        whole = np.zeros(len(score))
+        for b, n, z in zip(self.begin, self.lengths, np.logaddexp.reduce(forward[self.begin] + backward[self.begin], axis=1), strict=True):
+            whole[b : b + n] = z
+        inner = self.inner
         pair = np.exp(forward[inner - 1][:, :, None] + params[2] + (score[inner] + backward[inner])[:, None, :] - whole[inner][:, None, None])
-        expected[2] = (pair * line_weight[inner][:, None, None]).sum(0)
-        for k, p in enumerate(params):
-            g = seen[k] - expected[k] - ridge * p
+        return np.exp(forward + backward - whole[:, None]), pair, whole
+
+    @property
+    def inner(self) -> np.ndarray:
+        """The lines that have one before them in their piece."""
+        return np.setdiff1d(np.arange(len(self.features)), self.begin)
+
+    def counts(self, share: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+        """Weighted sums of the features by label, of the first labels and of the moves."""
+        weighted = share * self.line_weight[:, None]
+        by_label = [np.bincount(self.features.ravel(), np.repeat(weighted[:, c], self.features.shape[1]), N_FEATURES) for c in (0, 1)]
+        return [np.stack(by_label, 1), weighted[self.begin].sum(0), (pair * self.line_weight[self.inner][:, None, None]).sum(0)]
+
+    def observed(self, y: np.ndarray) -> list[np.ndarray]:
+        share = np.stack([y == 0, y == 1], 1).astype(float)
+        return self.counts(share, share[self.inner - 1][:, :, None] * share[self.inner][:, None, :])
+
+    def gradient(self, params: list[np.ndarray], y: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+        """(weighted log-likelihood of the line labels y, its gradient)."""
+        share, pair, whole = self.marginals(params)
+        seen, expected = self.observed(y), self.counts(share, pair)
+        value = sum((p * s).sum() for p, s in zip(params, seen, strict=True)) - (whole * self.line_weight)[self.begin].sum()
+        value -= ridge / 2 * sum((p**2).sum() for p in params)
+        return value, [s - e - ridge * p for p, s, e in zip(params, seen, expected, strict=True)]
+
+
+def ascend(x: Sequences, y: np.ndarray, params: list[np.ndarray], steps: int = STEPS, rate: float = 0.15, ridge: float = 1e-3) -> None:
+    """Adam, in place."""
+    one, two = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, steps + 1):
+        for k, g in enumerate(x.gradient(params, y, ridge)[1]):
             one[k] = 0.9 * one[k] + 0.1 * g
             two[k] = 0.999 * two[k] + 0.001 * g * g
-            p += rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+            params[k] += rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+
+
+def held_to(margin: np.ndarray, words: np.ndarray, good: bool) -> np.ndarray:
+    """Labels of a document's lines: content where the margin is positive, but for the nearest lines that its label claims."""
+    y = margin > 0
+    total = words.sum()
+    if good:
+        order = np.argsort(-margin, kind="stable")
+        y[order[np.cumsum(words[order]) - words[order] < GOOD_CONTENT * total]] = True
+    else:
+        order = np.argsort(margin, kind="stable")
+        y[order[np.cumsum(words[order]) - words[order] < (1 - BAD_CONTENT) * total]] = False
+    return y.astype(np.int64)
+
+
+def fit(sequences: list[np.ndarray], words: list[np.ndarray], labels: list[int], sweeps: int = SWEEPS, steps: int = STEPS) -> Field:
+    """The field of documents (the features and the words of their lines) with a label each; see the module."""
+    if len(set(labels)) < 2:
+        return Field.all_content()
+    sizes = np.array([len(s) for s in sequences])
+    ends = np.cumsum(sizes)
+    spans = [slice(e - n, e) for e, n in zip(ends, sizes, strict=True)]
+    features, good = np.concatenate(sequences), np.array(labels) == 1
+    # each kind of document weighs the same
+    weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
+    begin = np.concatenate([np.arange(e - n, e, TRAIN_LINES) for e, n in zip(ends, sizes, strict=True)])
+    lengths = np.minimum(TRAIN_LINES, ends[np.searchsorted(ends, begin, side="right")] - begin)
+    order = np.argsort(-lengths, kind="stable")
+    x = Sequences(features, begin[order], lengths[order], np.repeat(weight, sizes))
+    # the first guess: how much more often each feature stands in lines of good documents than of bad ones
+    often = [np.bincount(features.ravel(), np.repeat(x.line_weight * (np.repeat(good, sizes) == kind), features.shape[1]), N_FEATURES) for kind in (False, True)]
+    often = [(o / max(o.sum(), 1e-12)) + 1e-4 for o in often]
+    margin = np.log(often[1] / often[0])[features].sum(1)
+    params = [np.zeros((N_FEATURES, 2)), np.zeros(2), np.zeros((2, 2))]
+    for _ in range(sweeps):
+        y = np.concatenate([held_to(margin[s], w, g) for s, w, g in zip(spans, words, good, strict=True)])
+        ascend(x, y, params, steps)
+        share = x.marginals(params)[0]
+        margin = np.log((share[:, 1] + 1e-12) / (share[:, 0] + 1e-12))
     return Field(*params)
 
 
+def stretches(n: int, most: int = SAMPLE_LINES) -> np.ndarray:
+    """The lines of n that training sees: all, or stretches of TRAIN_LINES spread over the whole."""
+    if n <= most:
+        return np.arange(n)
+    parts = most // TRAIN_LINES
+    return np.concatenate([(n - TRAIN_LINES) * i // (parts - 1) + np.arange(TRAIN_LINES) for i in range(parts)])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """The field from at most sample_docs labelled documents; their lines' features, not their texts, come to the driver."""
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    width = len(_SIZES)
 
     @F.pandas_udf("array<int>")
     def features(texts: pd.Series) -> pd.Series:
         lines = Lines(list(texts))
+        rows = np.column_stack([lines.features, lines.line_words])
         ends = np.cumsum(lines.lengths)
-        return pd.Series([lines.features[e - n : e].ravel().astype(np.int32) for e, n in zip(ends, lines.lengths, strict=True)])
+        return pd.Series([rows[e - n : e][stretches(n)].ravel().astype(np.int32) for e, n in zip(ends, lines.lengths, strict=True)])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", features("text").alias("f")).collect()
-    rows = sorted((r for r in rows if r.f), key=lambda r: (r.doc_id, r.f))
-    return fit([np.array(r.f, np.int64).reshape(-1, len(_SIZES)) for r in rows], [int(r.label) for r in rows])
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.select("doc_id", "label", features("text").alias("f")).collect()
+    rows = sorted((r for r in rows if r.f), key=lambda r: r.doc_id)
+    lines = [np.array(r.f, np.int64).reshape(-1, width + 1) for r in rows]
+    return fit([x[:, :width] for x in lines], [x[:, width] for x in lines], [int(r.label) for r in rows])
 
 
 def judged(field: Field, min_words: int = MIN_WORDS, min_content: float = MIN_CONTENT):
