@@ -10,7 +10,8 @@ lists are read, so lost executors leave no half or double records.
 
 Defined cases: null html is an empty payload; a null url is written as `about:blank` and null ids as `null`;
 rows that share the smallest page id of their payload are all responses; payloads under `min_revisit` bytes
-are never revisits; an empty table makes no archives; extra columns are ignored.
+are never revisits; an empty table makes no archives; extra columns are ignored; a page of any length is one
+record, which is held whole while it is written and read.
 """
 
 from __future__ import annotations
@@ -205,7 +206,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return manifest.select("path").repartition(F.col("path")).mapInPandas(read, RECORDS)
+    # a number, so that the archives aren't merged into one task for their names' few bytes
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInPandas(read, RECORDS)
 
 
 def op3_warc(spark, sf_dir):
