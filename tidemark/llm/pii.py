@@ -3,14 +3,17 @@
 The base patterns find email addresses, IP addresses, card and phone numbers. These are the protected entities.
 A term may give an entity away even when the entity itself is masked: over the corpus, the pointwise mutual information of term t and entity e, log2(N n(e,t) / (n(e) n(t))) with n counting documents, says how many
 bits of e's information content log2(N / n(e)) the term reveals. All counts are over whole texts and all documents,
-wherever in a text the two stand. Terms that reveal more than the share `disclosure` of an entity's information become
-spans too, at every occurrence in every document, and are generalised (to their kind) or removed.
+wherever in a text the two stand. A term is a run of letters and digits, of any length. Terms that reveal at least the
+share `disclosure` of an entity's information become spans too, at every occurrence in every document. `sanitised`
+replaces entities by their kind, and terms by the kinds of what they reveal (`<email-related>`); terms that reveal at
+least the share `removal` are left out.
 
-A term needs `min_support` distinct texts that hold both as evidence, so that copies of one page prove nothing.
+A term needs `min_support` distinct texts that hold both as evidence: of one text, every word would reveal its entities
+wholly. Copies of one page are one text, so they prove nothing.
 
 Defined cases: null and blank texts have no spans; equal rows get equal results (each row has its own key from
-its first pass on, whatever its id); an empty table gives no rows; extra columns are ignored; no text is so
-long that a pattern is not linear in it.
+its first pass on, whatever its id); an empty table gives no rows; extra columns are ignored, whatever their names,
+and pass through `sanitised`; no text is so long that a pattern is not linear in it.
 """
 
 from __future__ import annotations
@@ -27,13 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_small, written
+from .common import broadcast_small, own_columns, written
 
 #: Kinds in the order in which spans that start together are listed; "term" is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
 MIN_SUPPORT = 3
-DISCLOSURE = 0.85
-MIN_TERM = 4
+DISCLOSURE, REMOVAL = 0.85, 0.999
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{%d,}" % MIN_TERM)
+_TERM = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -105,7 +107,7 @@ SCAN = "ordinal long, page string, entities array<string>, terms array<string>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document with base spans: its text's hash, and its distinct entities and terms."""
+    """One row per document (ordinal, text) with base spans: its text's hash, and its distinct entities and terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,7 +119,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     rows.append((ordinal, page, sorted(entities_of(text, spans)), sorted({m[0].lower() for m in terms_of(text, spans)})))
             yield pd.DataFrame(rows, columns=["ordinal", "page", "entities", "terms"])
 
-    return docs.select(F.monotonically_increasing_id().alias("ordinal"), "text").mapInPandas(run, SCAN)
+    return docs.select("ordinal", "text").mapInPandas(run, SCAN)
 
 
 def document_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
@@ -158,18 +160,22 @@ def disclosing(scanned: DataFrame, docs: DataFrame, min_support: int = MIN_SUPPO
     bits = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("docs")))
     total = F.log2(n / F.col("n_entity"))
     joined = both.join(terms, "term")
-    return joined.withColumn("revealed", bits / total).where((total > 0) & (F.col("revealed") >= disclosure)).select("entity", "term", "revealed")
+    return joined.withColumn("revealed", bits / total).where((total > 0) & (F.col("revealed") >= disclosure - 1e-12)).select("entity", "term", "revealed")
+
+
+def by_term(pairs: DataFrame) -> DataFrame:
+    """(term, revealed, of): the most that each term reveals, and the kinds of the entities that it reveals, joined by +."""
+    kinds = F.array_sort(F.collect_set(F.substring_index("entity", ":", 1)))
+    return pairs.groupBy("term").agg(F.max("revealed").alias("revealed"), F.array_join(kinds, "+").alias("of"))
 
 
 MARKED = "ordinal long, doc_id long, base array<struct<kind string, start int, end int>>, may array<struct<term string, start int, end int>>"
 
 
 def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row per row of docs: its base spans, and the occurrences of the terms (term) outside of them, and of few others.
-
-    `ordinal` is taken from docs if it has one. The terms go to the tasks as bits of their checksums, of a bounded number.
+    """One row per row of docs (ordinal, doc_id, text): its base spans, and the occurrences of the terms (term) outside of them, and of few others.
+ The terms go to the tasks as bits of their checksums, of a bounded number.
     """
-    ordinal = F.col("ordinal") if "ordinal" in docs.columns else F.monotonically_increasing_id().alias("ordinal")
     # so many bits a term that of the other words, which are far more, hardly any pass
     size = 1 << min(27, max(16, (terms.count() << 14).bit_length()))
     bits = bytearray(size >> 3)
@@ -190,16 +196,26 @@ def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
             base = [base_spans(t) for t in b.text]
             yield pd.DataFrame({"ordinal": b.ordinal, "doc_id": b.doc_id.astype("Int64"), "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base], "may": [one(t, s) for t, s in zip(b.text, base, strict=True)]})
 
-    return docs.select(ordinal, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, MARKED)
+    return docs.select("ordinal", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, MARKED)
+
+
+SPAN = "struct<kind string, start int, end int>"
 
 
 def found(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """ordinal, doc_id, base and spans (both arrays of kind, start, end), one row per row of docs."""
-    terms = written(disclosing(written(scan(docs), "pii-scan"), docs, min_support, disclosure).select("term").distinct(), "pii-terms")
-    rows = written(marked(docs, terms), "pii-marked")
+    return _found(docs.select(F.monotonically_increasing_id().alias("ordinal"), "doc_id", "text"), min_support, disclosure)
+
+
+def _found(own: DataFrame, min_support: int, disclosure: float) -> DataFrame:
+    """`found`, of rows with ordinals; and terms: array of start, end, of and revealed of the disclosing terms."""
+    terms = written(by_term(disclosing(written(scan(own), "pii-scan"), own, min_support, disclosure)), "pii-terms")
+    rows = written(marked(own, terms), "pii-marked")
     may = rows.where(F.size("may") > 0).select("ordinal", F.explode("may").alias("x")).select("ordinal", "x.*")
-    spans = may.join(broadcast_small(terms), "term", "left_semi").groupBy("ordinal").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms"))
-    return rows.select("ordinal", "doc_id", "base").join(spans, "ordinal", "left").withColumn("spans", F.concat("base", F.coalesce("terms", F.expr("cast(array() as array<struct<kind string, start int, end int>>)"))))
+    each = may.join(broadcast_small(terms), "term").groupBy("ordinal").agg(F.collect_list(F.struct("start", "end", "of", "revealed")).alias("terms"))
+    spans = F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    joined = rows.select("ordinal", "doc_id", "base").join(each, "ordinal", "left")
+    return joined.withColumn("spans", F.concat("base", F.coalesce(spans, F.expr(f"cast(array() as array<{SPAN}>)"))))
 
 
 def listed(spans: F.Column) -> F.Column:
@@ -209,26 +225,31 @@ def listed(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
-def sanitised(docs: DataFrame, generalise: bool = True, **options) -> DataFrame:
-    """doc_id and text with every span generalised to its kind in angle brackets, or removed."""
-    own = written(docs.select(F.monotonically_increasing_id().alias("ordinal"), "doc_id", "text"), "pii-docs")
-    marked = found(own, **options).where(F.size("spans") > 0).select("ordinal", "spans")
+def sanitised(docs: DataFrame, generalise: bool = True, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+    """docs, in its columns, with every span generalised, or removed where it reveals too much or nothing is generalised."""
+    own = written(docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("ordinal")), "pii-docs")
+    marks = _found(own.select("ordinal", "doc.doc_id", "doc.text"), min_support, disclosure).where(F.size("spans") > 0)
+    mask = lambda x, name: F.struct(x["start"].alias("start"), x["end"].alias("end"), name.alias("mask"))
+    base = F.transform("base", lambda x: mask(x, F.concat(F.lit("<"), x["kind"], F.lit(">"))))
+    terms = F.transform("terms", lambda x: mask(x, F.when(x["revealed"] < removal, F.concat(F.lit("<"), x["of"], F.lit("-related>"))).otherwise("")))
+    marks = marks.select("ordinal", F.array_sort(F.concat(base, F.coalesce(terms, F.expr("cast(array() as array<struct<start int, end int, mask string>>)")))).alias("marks"))
 
     @F.pandas_udf("string")
-    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def masked(texts: pd.Series, marks: pd.Series) -> pd.Series:
         def one(text, marks):
             if text is None or marks is None:
                 return text
             out, at = [], 0
-            for m in sorted((m["start"], m["end"], m["kind"]) for m in marks):
-                if m[0] >= at:
-                    out += [text[at : m[0]], f"<{m[2]}>" if generalise else ""]
-                at = max(at, m[1])
+            for m in marks:
+                if m["start"] >= at:
+                    out += [text[at : m["start"]], m["mask"] if generalise else ""]
+                at = max(at, m["end"])
             return "".join([*out, text[at:]])
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
+        return pd.Series([one(t, s) for t, s in zip(texts, marks, strict=True)])
 
-    return own.join(marked, "ordinal", "left").select("doc_id", masked("text", "spans").alias("text"))
+    whole = own.join(marks, "ordinal", "left").select("doc", masked("doc.text", "marks").alias("text"))
+    return whole.select(F.col("doc").withField("text", F.col("text")).alias("doc")).select("doc.*")
 
 
 def op4_pii(spark, sf_dir):
