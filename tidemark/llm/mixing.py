@@ -9,7 +9,7 @@ than one document).
 Defined cases: a null text has size 0 and is taken like any other; a null source is a source of its own,
 sorted last; repeated rows are separate documents, told apart by an ordinal that breaks ties in the seeded
 order (which of two equal rows is taken is arbitrary, the multiset of rows isn't); an empty table gives no
-rows; columns called like the operator's own (`_size`, `target`, ...) are not read from the input.
+rows; extra columns pass through `mixed_documents`, whatever their names; a text of any length is only counted.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import broadcast_small, n_words, own_columns, written
 
 #: Hash ranges into which a source is dealt for its running sum; a source of any size has so many tasks.
 RANGES = 4096
@@ -50,13 +50,14 @@ def cycled_weights(source: str = "source", weights: tuple[int, ...] = (1, 2, 3))
     return F.element_at(F.array(*map(F.lit, weights)), (i % len(weights) + 1).cast("int"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, at (the seeded hash) for every row of docs (doc_id, text, source)."""
-    thin = written(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("at"), F.monotonically_increasing_id().alias("ordinal")),
-        "mix",
-    )
-    sums = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
+def thin(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """doc_id, source, size, at (the seeded hash) and row of every row of docs (doc_id, text, source)."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("at"), F.monotonically_increasing_id().alias("row"))
+
+
+def decided(rows: DataFrame, weight: Column | None = None, max_epochs: float = 3.0) -> DataFrame:
+    """rows (see `thin`, written) with source_size, target, whole (repetitions of every row) and extra (1 for the rows that get one more)."""
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     weighted = written(sums.withColumn("weight", weight if weight is not None else cycled_weights()), "mix-sources")
     targets = water_fill(weighted, max_epochs=max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -64,15 +65,25 @@ def mix(docs: DataFrame, weight: Column | None = None, max_epochs: float = 3.0,
         F.col("source").alias("of"), "source_size", "target", F.floor(rate + 1e-12).cast("long").alias("whole"), ((rate - F.floor(rate + 1e-12)) * F.col("source_size")).alias("rest")
     )
     # the running sum in the seeded order: over the ranges first, then within each
-    thin = thin.withColumn("range", F.pmod(F.shiftrightunsigned("at", 40), F.lit(RANGES)).cast("int"))
-    ranges = thin.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    before = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("at", "doc_id", "size", "ordinal").rowsBetween(Window.unboundedPreceding, 0))
-    placed = thin.withColumn("within", within)
-    placed = placed.join(before, placed["source"].eqNullSafe(F.col("s")) & (placed["range"] == F.col("r"))).join(targets, placed["source"].eqNullSafe(F.col("of")))
-    reached = F.col("before") + F.col("within")
-    extra = F.when(reached - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).alias("repeats"), "at")
+    rows = rows.withColumn("range", F.pmod(F.shiftrightunsigned("at", 40), F.lit(RANGES)).cast("int"))
+    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    before = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "n", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    both = before.join(targets, before["s"].eqNullSafe(F.col("of")))
+    # a range that is wholly taken or wholly left needs no order
+    placed = rows.join(broadcast_small(written(both, "mix-ranges")), rows["source"].eqNullSafe(F.col("s")) & (rows["range"] == F.col("r")))
+    edge = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest"))
+    keep = [*rows.columns, "source_size", "target", "whole"]
+    clear = placed.where(~edge).select(*keep, F.when(F.col("before") < F.col("rest"), 1).otherwise(0).alias("extra"))
+    within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    cut = placed.where(edge).withColumn("reached", F.col("before") + within)
+    cut = cut.select(*keep, F.when(F.col("reached") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0).alias("extra"))
+    return clear.unionByName(cut).drop("range")
+
+
+def mix(docs: DataFrame, weight: Column | None = None, max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats, at (the seeded hash) for every row of docs (doc_id, text, source)."""
+    rows = decided(written(thin(docs, seed), "mix"), weight, max_epochs)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("repeats"), "at")
 
 
 def op6_mixing(spark, sf_dir):
@@ -80,13 +91,20 @@ def op6_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs with every row repeated as often as the mix takes it, in the columns of docs."""
-    decided = mix(docs, **options).groupBy(F.col("at").alias("_of")).agg(F.sum("repeats").alias("_copies"), F.count("*").alias("_rows"))
-    own = docs.withColumn("_at", F.xxhash64(F.lit(options.get("seed", 42)), "doc_id", "text"))
-    joined = own.join(decided, own["_at"] == F.col("_of"))
-    # equal rows share their copies out in turn
-    turn = F.row_number().over(Window.partitionBy("_at").orderBy("_at"))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    copies = joined.withColumn("_each", each.cast("int")).where("_each > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[docs[c] for c in docs.columns])
+def mixed_documents(docs: DataFrame, weight: Column | None = None, max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
+    """The mix itself: docs with every row repeated as often as the mix takes it, in the columns of docs.
+
+    Rows are decided on without their texts; what differs within a source, the rows that get one repetition more, comes
+    before one place of the seeded order. So each source's place and whole repetitions are joined to the texts, which
+    are not shuffled.
+    """
+    own = docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    own = written(own, "mix-docs")
+    order = F.struct("at", "doc_id", "size", "row")
+    facts = [F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("size"), F.xxhash64(F.lit(seed), "doc.doc_id", "doc.text").alias("at"), F.col("row")]
+    rows = own.select(*facts)
+    last = decided(written(rows, "mix"), weight, max_epochs).groupBy("source", "whole").agg(F.max(F.when(F.col("extra") == 1, order)).alias("last"))
+    last = broadcast_small(written(last.withColumnRenamed("source", "of"), "mix-last"))
+    joined = own.select("doc", *facts).join(last, F.col("source").eqNullSafe(F.col("of")))
+    times = F.col("whole") + F.when(F.col("last").isNotNull() & (order <= F.col("last")), 1).otherwise(0)
+    return joined.withColumn("times", times.cast("int")).where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")
