@@ -5,8 +5,11 @@ whose bytes exceed the limit is split on the next bit, and only that one, until
 equal rows are told apart by a second word of bits (a row ordinal, hashed), so that a key that holds a third of
 all rows splits like any other. A single document above the limit has a shard of its own.
 
+`write_shards` deals the rows out by shard and writes each as Parquet, in a folder of its own.
+
 Defined cases: a null text has 0 bytes; null ids hash like a value; equal rows are spread by ordinal; an empty
-table gives no rows; extra columns are not read.
+table gives no rows; extra columns are not read by `shard` and are written with the rest by `write_shards`, whatever
+their names; a text above the limit, however long, is a shard of its own.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import broadcast_small, new_path, own_columns, own_name, written
 
 SHARD_BYTES = 8 << 20
 #: Bits of the directory below the expected depth; a bucket that needs still more gets a directory of its own.
@@ -44,11 +48,20 @@ def directory(thin: DataFrame, limit: int, base: int, depth: int) -> DataFrame:
     return best.select("fine", "b.*")
 
 
+def thin(docs: DataFrame, row: F.Column | None = None) -> DataFrame:
+    """doc_id, bytes, address and row (an ordinal) of every row of docs (doc_id, text)."""
+    row = row if row is not None else F.monotonically_increasing_id()
+    both = F.concat(*[F.lpad(F.bin(h), WORD_BITS, "0") for h in (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), row))])
+    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), both.alias("address"), row.alias("row"))
+
+
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, depth: int | None = None) -> DataFrame:
-    """doc_id, bytes, shard (the bucket's prefix of bits), depth, shard_bytes, shard_docs, one row per row of docs."""
-    both = F.concat(*[F.lpad(F.bin(h), WORD_BITS, "0") for h in (F.xxhash64("doc_id", "text"), F.xxhash64(F.monotonically_increasing_id()))])
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    left = written(docs.select("doc_id", size.alias("bytes"), both.alias("address"), F.xxhash64("doc_id", "text").alias("content")), "shard")
+    """doc_id, bytes, shard (the bucket's prefix of bits), depth, shard_bytes, shard_docs, row, one row per row of docs."""
+    return assigned(written(thin(docs), "shard"), limit, depth)
+
+
+def assigned(left: DataFrame, limit: int = SHARD_BYTES, depth: int | None = None) -> DataFrame:
+    """The shard of every row of a written table (see `thin`)."""
     total = left.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth = depth if depth is not None else min(24, max(1, math.ceil(math.log2(max(total, 1) / limit + 1)) + SPARE_BITS))
     out, base = [], 0
@@ -62,15 +75,35 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, depth: int | None = None) -
         base += depth
         if not over or base >= 2 * WORD_BITS:
             break
-        left = written(placed.where(~F.col("fits")).select("doc_id", "bytes", "address", "content"), "shard-deeper")
+        left = written(placed.where(~F.col("fits")).select("doc_id", "bytes", "address", "row"), "shard-deeper")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole.select("doc_id", "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", "content")
+    return whole.select("doc_id", "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", "row")
+
 
+def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs as read from the shards, with their shard; depth, shard_bytes and shard_docs of each shard) after writing them under folder.
 
-def op10(docs: DataFrame) -> DataFrame:
-    return shard(docs).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
+    The shard's column is `shard`, with underscores before it where docs has such a column.
+    """
+    name = own_name(docs, "shard")
+    own = written(docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("row")), "shard-docs")
+    of = written(assigned(written(thin(own.select("doc.doc_id", "doc.text", "row"), F.col("row")), "shard"), limit, depth), "shard-rows")
+    dealt = own.join(of.select("row", F.col("shard").alias("own_shard")), "row").repartition("own_shard")
+    # a letter before the bits, as the only shard of a small table has none
+    dealt.select("doc.*", F.concat(F.lit("b"), "own_shard").alias(name)).write.partitionBy(name).parquet(folder)
+    sizes = of.groupBy("shard").agg(F.first("depth").alias("depth"), F.first("shard_bytes").alias("shard_bytes"), F.first("shard_docs").alias("shard_docs"))
+    rows = docs.sparkSession.read.schema(T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])).parquet(folder)
+    return rows.withColumn(name, F.expr(f"substring({name}, 2)")), sizes
+
+
+def op10(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, bytes, shard, depth, shard_bytes, shard_docs of every row, as read from the shards written."""
+    name = own_name(docs, "shard")
+    rows, sizes = write_shards(docs, new_path(docs.sparkSession, "shards"), limit)
+    rows = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.col(name).alias("shard"))
+    return rows.join(broadcast_small(written(sizes, "shard-sizes")), "shard").select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
 def op10_sharding(spark, sf_dir):
