@@ -57,7 +57,7 @@ def within_one_edit(a, b):
     return a[p + 1 :] == b[p + (len(a) == len(b)) :]
 
 
-def expected_lines(rows, least=10):
+def expected_lines(rows, least=0):
     each = [((d is None, d or 0, i), x.strip(" \t\n\x0b\f\r"), d, i) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
     each = [x for x in each if x[1]]
     out = []

@@ -14,9 +14,10 @@ the earliest of them is found by one aggregation, not by pairs, and its edit dis
 Everything is DataFrame functions. Each text is handled once, whatever the number of its copies.
 
 Defined cases: null and empty texts have no lines; white space around a line does not count; blank lines are
-neither matched nor dropped; lines under `min_near` characters match equal lines only; lines of rows that share
-document id and line number are not earlier than each other, so all of them stay; an empty table gives no rows;
-extra columns are ignored by `judged` and pass through `deduplicated`.
+neither matched nor dropped; lines of one character are all within one edit of each other (`min_near`, 0 unless
+given, lets lines under so many characters match equal lines only); lines of rows that share document id and line
+number are not earlier than each other, so all of them stay; an empty table gives no rows; extra columns are ignored
+by `judged` and pass through `deduplicated`, whatever their names; a line of any length has 16 variants a round.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ASCII_SPACE, broadcast_small, written
+from .common import _ASCII_SPACE, broadcast_small, own_columns, written
 
-MIN_NEAR = 10
+MIN_NEAR = 0
 FAN = 16
 #: Stands for a null document id: after all others.
 _LAST = str(2**63)
@@ -130,13 +131,13 @@ def judged(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     """docs, in its columns, without the dropped lines; a text whose lines are all dropped is empty."""
-    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "line-docs")
-    _, first = earliest(identified(lines(own)), min_near)
-    each = own.select("_row", F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("line", _trimmed(F.col("raw")))
-    drops = identified(each.where("line <> ''")).join(first, ["h1", "h2"]).where(F.col("place") > F.col("earliest")).select("_row", "line_no")
-    kept = each.join(drops, ["_row", "line_no"], "left_anti").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_lines"))
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.coalesce(F.col("_lines.raw"), F.array().cast("array<string>")), "\n"))
-    return own.join(kept, "_row", "left").withColumn("text", text).select(*docs.columns)
+    own = written(docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("row")), "line-docs")
+    _, first = earliest(identified(lines(own.select("doc.doc_id", "doc.text"))), min_near)
+    each = own.select("row", F.col("doc.doc_id").alias("doc_id"), F.posexplode(F.split("doc.text", "\n")).alias("line_no", "raw")).withColumn("line", _trimmed(F.col("raw")))
+    drops = identified(each.where("line <> ''")).join(first, ["h1", "h2"]).where(F.col("place") > F.col("earliest")).select("row", "line_no")
+    kept = each.join(drops, ["row", "line_no"], "left_anti").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("lines"))
+    text = F.when(F.col("doc.text").isNotNull(), F.array_join(F.coalesce(F.col("lines.raw"), F.array().cast("array<string>")), "\n"))
+    return own.join(kept, "row", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -150,7 +151,7 @@ ORACLE = r"""
     lines AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM each),
     ranked AS (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS LAST, line_no) AS place FROM lines WHERE line <> ''),
     texts AS (SELECT line, length(line) AS n, min(place) AS place FROM ranked GROUP BY line),
-    halves AS (SELECT line, n, place, n + more AS longer, half FROM texts, (VALUES (0), (1)) a(more), (VALUES (0), (1)) b(half) WHERE n >= 10),
+    halves AS (SELECT line, n, place, n + more AS longer, half FROM texts, (VALUES (0), (1)) a(more), (VALUES (0), (1)) b(half)),
     keyed AS (SELECT *, CASE half WHEN 0 THEN right(line, longer - longer // 2) ELSE left(line, longer // 2) END AS rest FROM halves),
     pairs AS (
         SELECT DISTINCT a.line, b.place, b.line AS other, greatest(a.n, b.n) AS longer
