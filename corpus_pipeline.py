@@ -1,11 +1,16 @@
-"""A corpus pipeline of five of the operators: each stage's rows are written as Parquet and read by the next."""
+"""A corpus pipeline of five of the operators: each stage's rows are written as Parquet and read by the next.
+
+Defined cases, in every stage: null, empty and very long texts, null and repeated ids, repeated rows, an empty table and
+extra columns of any name crash nothing; extra columns pass through with their values up to the last stage. A null or
+blank text fails the quality rules; what each stage does with the others stands in its operator's module.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, mixing, ngram_join, quality, sharding
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents, new_path, scratch, written_at
 
 
 #: Near copies of the join stage: Jaccard similarity of at least NEAR_PERCENT hundredths over shingles of NEAR_WORDS words.
@@ -34,7 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
+    """Writes the documents in shards; the shard of every document, as read from them."""
     return sharding.op10(docs)
 
 
@@ -51,9 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, on documents. What a stage writes besides its rows is deleted once they are written, but for the last."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            docs = written_at(stage(spark, docs, sf_dir), path)
+    return STAGES[-1][1](spark, docs, sf_dir)
