@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +46,37 @@ def bucket_slice(r: Column, n: Column, q: int) -> Column:
     return sum(cuts[1:], cuts[0]).cast("int")
 
 
+def _by_range(rows: DataFrame, value: str, width: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with the range `_b` of the value, ranges with `_before` and `_in`: the rows of lower ranges and of their own)."""
+    binned = rows.withColumn("_b", F.floor(F.col(value) / width))
+    counts = binned.groupBy("_b").agg(F.count("*").alias("_in"))
+    # one row for each range of the values' span
+    before = F.coalesce(F.sum("_in").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return binned, counts.select("_b", "_in", before.alias("_before"))
+
+
+def pooled_rank(rows: DataFrame, value: str, width: float, *ties: str) -> DataFrame:
+    """rows (value not null) with `_r`, the rank from 1 over all rows, and `_n`, their number; a task ranks one range of `width`."""
+    binned, ranges = _by_range(rows, value, width)
+    ranges = ranges.withColumn("_n", F.sum("_in").over(Window.partitionBy()))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(value, *ties)) + F.col("_before")
+    return binned.join(F.broadcast(ranges), "_b").withColumn("_r", rank).drop("_b", "_in", "_before")
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], width: float) -> DataFrame:
+    """One row with the exact quantile of each share, linear between values: only the ranges that hold the ranks are sorted."""
+    binned, ranges = _by_range(rows.where(F.col(value).isNotNull()).select(value), value, width)
+    ranges = ranges.withColumn("_n", F.sum("_in").over(Window.partitionBy()))
+    at = {k: q * (F.col("_n") - 1) for k, q in shares.items()}
+    ranks = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
+    held = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for r in ranks])
+    near = binned.join(F.broadcast(ranges.where(held)), "_b")
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(value)) - 1 + F.col("_before"))
+    pick = lambda r: F.max(F.when(F.col("_r") == r, F.col(value)))
+    out = near.agg(F.max("_n").alias("_n"), *[pick(f(x)).alias(f"_{k}{i}") for k, x in at.items() for i, f in enumerate((F.floor, F.ceil))])
+    return out.select(*[(F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * (x - F.floor(x))).alias(k) for k, x in at.items()])
+
+
 def in_tail(r: Column, n: Column, q: float) -> Column:
     """-1 for the floor(n q) lowest, 1 for as many highest, else 0."""
     k = F.floor(n * q)

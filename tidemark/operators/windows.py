@@ -83,21 +83,33 @@ def latest_row(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
 def runs(rows: DataFrame, by: list[str], order: str, breaks: Column, name: str = "run") -> DataFrame:
     """rows with the length so far of the run since the last break; a row that breaks starts a run of its own."""
     w = Window.partitionBy(*by).orderBy(order)
-    marked = rows.withColumn("_of", F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_of").orderBy(order))).drop("_of")
+    i = F.row_number().over(w)
+    # in the entity's own order: the row less the last break, without a sort by run
+    since = F.coalesce(F.max(F.when(breaks, F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
+    return rows.withColumn("_i", i).withColumn(name, F.col("_i") - since + 1).drop("_i")
 
 
 def expanding_pct(rows: DataFrame, by: str, order: str, value: str, least: int = 60) -> DataFrame:
     """rows with `pct`: the share of an entity's positive values so far that are below the present one, times 100.
 
-    Null for values that are null or not positive, and where fewer than `least` positive values are known.
+    Null for values that are null or not positive, and where fewer than `least` positive values are known. An entity has
+    one row for each value of `order`.
     """
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(by).orderBy(order)
     v = F.col(value)
-    known = F.collect_list(F.when(v > 0, v)).over(w)
-    below = F.size(F.filter("_known", lambda x: x < v))
-    n = F.size("_known")
-    return rows.withColumn("_known", known).withColumn("pct", F.when((v > 0) & (n >= least), below * 100.0 / n)).drop("_known")
+    # the n-th known value of an entity (from 0) is compared with the earlier ones by levels, as in a merge sort: at level
+    # k, values in the right half of a block of 2^(k + 1) count the lower ones in its left half. n log n rows, one sort.
+    known = F.when(v > 0, 1).otherwise(0)
+    numbered = rows.withColumns({"_i": F.sum(known).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_m": F.sum(known).over(Window.partitionBy(by))})
+    levels = F.when(v > 0, F.sequence(F.lit(0), F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))).cast("int"))).otherwise(F.array(F.lit(0)))
+    each = numbered.select(F.struct(*rows.columns).alias("_row"), F.col(by).alias("_by"), F.col(order).alias("_order"), F.when(v > 0, v).alias("_v"), "_i", F.explode(levels).alias("_k"))
+    each = each.withColumns({"_block": F.expr("shiftright(_i, _k + 1)"), "_left": F.when(F.expr("_v IS NOT NULL AND shiftright(_i, _k) % 2 = 0"), 1).otherwise(0)})
+    block = Window.partitionBy("_by", "_k", "_block")
+    upto = F.sum("_left").over(block.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum("_left").over(Window.partitionBy("_by", "_k", "_block", "_v"))
+    met = each.withColumn("_below", F.when((F.col("_left") == 0) & F.col("_v").isNotNull(), upto - ties).otherwise(0))
+    done = met.groupBy("_by", "_order").agg(F.first("_row").alias("_row"), F.sum("_below").alias("_below"), F.first("_i").alias("_i"), F.first("_v").alias("_v"))
+    return done.select("_row.*", F.when(F.col("_v").isNotNull() & (F.col("_i") + 1 >= least), F.col("_below") * 100.0 / (F.col("_i") + 1)).alias("pct"))
 
 
 def debounced(rows: DataFrame, by: list[str], order: str, raw: str, up: int, down: int, name: str = "state") -> DataFrame:

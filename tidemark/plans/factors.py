@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import folded, mean_of_present, ratio
-from tidemark.functions.ranks import pct_rank
+from tidemark.functions.ranks import pct_rank, pooled_rank, quantiles
 from tidemark.operators import factors as X
 from tidemark.operators.asof import asof_join
 from tidemark.operators.windows import Series, latest_row
@@ -80,11 +80,9 @@ def ls_spread(p):
 
 @query("quantile_ladder", OBS + f", q AS (SELECT *, ROW_NUMBER() OVER (ORDER BY hi, id, d) AS r, COUNT(*) OVER () AS n FROM obs WHERE hi IS NOT NULL AND fwd IS NOT NULL) SELECT LEAST(5, GREATEST(1, CEIL(r / n * 5)))::INT AS bucket, COUNT(*) AS n, {R4('AVG(fwd)')} AS mean, {R4('AVG((fwd > 0)::INT)')} AS win FROM q GROUP BY 1")
 def quantile_ladder(p):
-    known = observations(p).where("hi IS NOT NULL AND fwd IS NOT NULL").withColumn("_one", F.lit(1))
-    # pooled: month-end observations of all entities are one order
-    w = Window.partitionBy("_one")
-    ranked = known.withColumns({"_r": F.row_number().over(w.orderBy("hi", "id", "d")), "_n": F.count("*").over(w)})
-    b = ranked.withColumn("bucket", X.bucket_share(F.col("_r"), F.col("_n"), 5))
+    known = observations(p).where("hi IS NOT NULL AND fwd IS NOT NULL")
+    # pooled: month-end observations of all entities are one order, dealt to tasks by the value's range
+    b = pooled_rank(known, "hi", 0.1, "id", "d").withColumn("bucket", X.bucket_share(F.col("_r"), F.col("_n"), 5))
     return b.groupBy("bucket").agg(F.count("*").alias("n"), r4(F.avg("fwd")).alias("mean"), r4(F.avg((F.col("fwd") > 0).cast("int"))).alias("win"))
 
 
@@ -165,18 +163,10 @@ def rank_agree(p):
 
 @query(
     "avg_pair_corr",
-    f""", r AS (SELECT id, d, close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM sbars), p AS (SELECT a.id AS a, b.id AS b, COUNT(*) AS n, CORR(a.r, b.r) AS c FROM r a JOIN r b ON a.d = b.d AND a.id < b.id WHERE a.r IS NOT NULL AND b.r IS NOT NULL AND a.id <= 12 AND b.id <= 12 GROUP BY ALL HAVING COUNT(*) >= 20)
+    f""", r AS (SELECT id, d, close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM sbars), p AS (SELECT a.id AS a, b.id AS b, COUNT(*) AS n, CORR(a.r, b.r) AS c FROM r a JOIN r b ON a.d = b.d AND a.id < b.id WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL HAVING COUNT(*) >= 20)
     SELECT COUNT(*) AS pairs, {R4("AVG(c)")} AS mean FROM p""",
 )
 def avg_pair_corr(p):
-    r = p.sbars.select("id", "d", S.change("close").alias("r")).where("id <= 12 AND r IS NOT NULL")
-    pairs = r.alias("a").join(r.alias("b"), F.expr("a.d = b.d AND a.id < b.id")).groupBy("a.id", "b.id").agg(F.count("*").alias("n"), F.corr("a.r", "b.r").alias("c")).where("n >= 20")
-    return pairs.agg(F.count("*").alias("pairs"), r4(F.avg("c")).alias("mean"))
-
-
-@query("avg_pair_corr_all")
-def avg_pair_corr_all(p):
-    """avg_pair_corr over all entities."""
     pairs = X.pair_correlations(p.sbars.select("id", "d", S.change("close").alias("r")))
     return pairs.agg(F.count("*").alias("pairs"), r4(F.avg("c")).alias("mean"))
 
@@ -184,7 +174,7 @@ def avg_pair_corr_all(p):
 @query("gap_band", f", g AS (SELECT (open / LAG(close, 2) OVER (PARTITION BY id ORDER BY d) - 1) * 100 AS g FROM sbars) SELECT {R4('QUANTILE_CONT(g, 0.1)')} AS p10, {R4('QUANTILE_CONT(g, 0.5)')} AS p50, {R4('QUANTILE_CONT(g, 0.9)')} AS p90 FROM g")
 def gap_band(p):
     g = p.sbars.select(((F.col("open") / S.lag("close", 2) - 1) * 100).alias("g"))
-    return g.agg(*[r4(F.percentile("g", q)).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
+    return quantiles(g, "g", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, 0.05).select(*[r4(F.col(c)).alias(c) for c in ("p10", "p50", "p90")])
 
 
 ERAS = [("early", "1995-01-01", "1997-12-31"), ("middle", "1998-01-01", "1999-12-31"), ("late", "2000-01-01", "2001-12-31")]
@@ -402,10 +392,9 @@ COHORT = SCORED + ", cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS i FROM
 
 def cohorts(p, k=8):
     """i (number of the date), d, id, c2, fwd of each date's top k."""
-    s = scored(p)
-    cal = s.select("d").distinct().withColumn("i", F.row_number().over(Window.orderBy("d")))
-    top = s.withColumn("_n", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("c2"), "id"))).where(F.col("_n") <= k)
-    return top.join(F.broadcast(cal), "d").select("i", "d", "id", "c2", "fwd")
+    top = scored(p).withColumn("_n", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("c2"), "id"))).where(F.col("_n") <= k)
+    # every date has a top: the k rows of each date are numbered, in one task of a size that the calendar bounds
+    return top.select(F.dense_rank().over(Window.orderBy("d")).alias("i"), "d", "id", "c2", "fwd")
 
 
 @query("digest_diff", COHORT + ", l AS (SELECT MAX(i) AS l FROM coh) SELECT 'new' AS side, id FROM coh, l WHERE i = l AND id NOT IN (SELECT id FROM coh, l WHERE i = l - 1) UNION ALL SELECT 'dropped', id FROM coh, l WHERE i = l - 1 AND id NOT IN (SELECT id FROM coh, l WHERE i = l)")

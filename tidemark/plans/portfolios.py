@@ -9,6 +9,8 @@ from tidemark.operators import portfolio as B
 from tidemark.operators import regime as K
 from tidemark.operators.windows import Series, debounced
 
+from tidemark.functions.ranks import quantiles
+
 from .base import R4, query, r4
 from .factors import _ERA_SQL, COHORT, OBS, SCORED, cohorts, eras, finite, ic_sql, observations, scored, summary, IC_COLS
 from .technicals import _EW, ew_index, roll
@@ -77,9 +79,9 @@ def episodes(p):
     return K.episodes(months, "id", "k")
 
 
-@query("asof_regime", LADDER + ", ix AS (SELECT d AS known, id, state FROM s200 WHERE id = 1), o AS (SELECT id, d FROM sbars WHERE id <= 5) SELECT o.id, o.d, COALESCE(ix.state, false) AS up FROM o ASOF LEFT JOIN ix ON o.d >= ix.known")
+@query("asof_regime", LADDER + ", ix AS (SELECT d AS known, id, state FROM s200 WHERE id = 1), o AS (SELECT id, d FROM sbars) SELECT o.id, o.d, COALESCE(ix.state, false) AS up FROM o ASOF LEFT JOIN ix ON o.d >= ix.known")
 def asof_regime(p):
-    return p.sbars.where("id <= 5").select("id", "d").join(regime_by_day(p), "d").select("id", "d", "up")
+    return p.sbars.select("id", "d").join(regime_by_day(p), "d").select("id", "d", "up")
 
 
 def regime_by_day(p):
@@ -91,12 +93,6 @@ def regime_by_day(p):
     return asof_join(days, one, ["k"], "d", "known").select("d", F.coalesce("state", F.lit(False)).alias("up"))
 
 
-@query("asof_regime_all")
-def asof_regime_all(p):
-    """asof_regime for all entities."""
-    return p.sbars.select("id", "d").join(regime_by_day(p), "d").select("id", "d", "up")
-
-
 @query("bull_attr", OBS + f", b AS (SELECT d, CASE WHEN AVG(mom) > 3 THEN 'bull' WHEN AVG(mom) < -3 THEN 'bear' ELSE 'neutral' END AS regime FROM obs WHERE mom IS NOT NULL GROUP BY d), {ic_sql('hi')} SELECT regime, {IC_COLS} FROM ic JOIN b USING (d) WHERE NOT ISNAN(ic) GROUP BY regime")
 def bull_attr(p):
     o = observations(p)
@@ -208,13 +204,13 @@ def reweight(p):
 
 # --- trades ---
 
-_ENTRY = f", v AS (SELECT id, d, t, close, close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM sbars), s AS (SELECT *, {roll('STDDEV_SAMP', 'r', 60, 20)} * 100 AS sd, {roll('MIN', 'close', 20, 1)} AS lo FROM v), ent AS MATERIALIZED (SELECT id, t AS t0, d AS d0, close AS close0, lo * 0.97::DOUBLE AS support, LEAST(2.5::DOUBLE * sd, 15::DOUBLE) AS buffer FROM s WHERE t % 40 = 30 AND sd IS NOT NULL)"
+_ENTRY = f", v AS (SELECT id, d, t, close, close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM sbars), s AS (SELECT *, {roll('STDDEV_SAMP', 'r', 60, 20)} * 100 AS sd, {roll('MIN', 'close', 20, 1)} AS lo FROM v), ent AS MATERIALIZED (SELECT id, t AS t0, d AS d0, close AS close0, lo * 0.97::DOUBLE AS support, LEAST(2.5::DOUBLE * sd, 15::DOUBLE) AS buffer FROM s WHERE sd IS NOT NULL)"
 
 
-def entries(p, where="t % 40 = 30"):
-    """Entries at the bars that `where` takes, of those whose deviation is known."""
+def entries(p):
+    """An entry at every bar whose deviation is known."""
     rows = p.sbars.withColumn("r", S.change("close"))
-    rows = rows.withColumns({"sd": S.std("r", 60, 20) * 100, "lo": S.lowest("close", 20, 1)}).where(f"({where}) AND sd IS NOT NULL")
+    rows = rows.withColumns({"sd": S.std("r", 60, 20) * 100, "lo": S.lowest("close", 20, 1)}).where("sd IS NOT NULL")
     return rows.select("id", F.col("t").alias("t0"), F.col("close").alias("close0"), (F.col("lo") * 0.97).alias("support"), F.least(F.col("sd") * 2.5, F.lit(15.0)).alias("buffer"))
 
 
@@ -225,12 +221,6 @@ def exit_trailing(p):
     return B.exits(entries(p), p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
 
 
-@query("exit_trailing_all")
-def exit_trailing_all(p):
-    """exit_trailing with an entry at every bar."""
-    return B.exits(entries(p, "true"), p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
-
-
 @query("lag_excess", OBS + f", k AS (SELECT id, t, d FROM obs), n AS (SELECT id, t, LEAD(close, 21) OVER w / LEAD(close, 1) OVER w - 1 AS lagged, LEAD(close, 20) OVER w / close - 1 AS now FROM sbars WINDOW w AS (PARTITION BY id ORDER BY d)) SELECT d, {R4('AVG(now) * 100')} AS now, {R4('AVG(lagged) * 100')} AS lagged FROM k JOIN n USING (id, t) WHERE now IS NOT NULL AND lagged IS NOT NULL GROUP BY d")
 def lag_excess(p):
     n = p.sbars.select("id", "t", (S.lead("close", 21) / S.lead("close", 1) - 1).alias("lagged"), (S.lead("close", 20) / F.col("close") - 1).alias("now")).where("now IS NOT NULL AND lagged IS NOT NULL")
@@ -252,7 +242,7 @@ def cadence(p):
 
 @query("action_card", SCORED + f", g AS (SELECT QUANTILE_CONT(gap, 0.1) AS lo, QUANTILE_CONT(gap, 0.9) AS hi FROM (SELECT close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS gap FROM sbars)), t AS (SELECT id, d, close, ROW_NUMBER() OVER (ORDER BY c2 DESC, id) AS place FROM scored WHERE d = (SELECT MAX(d) FROM scored)) SELECT place, id, {R4('close * (1 + lo)', 2)} AS buy_low, {R4('close * (1 + hi)', 2)} AS buy_high FROM t, g WHERE place <= 8")
 def action_card(p):
-    gap = p.sbars.select(S.change("close").alias("g")).agg(F.percentile("g", 0.1).alias("g_lo"), F.percentile("g", 0.9).alias("g_hi"))
+    gap = quantiles(p.sbars.select(S.change("close").alias("g")), "g", {"g_lo": 0.1, "g_hi": 0.9}, 0.0005)
     s = scored(p)
     s = s.join(F.broadcast(s.agg(F.max("d").alias("_last"))), F.col("d") == F.col("_last"))
     top = s.withColumn("place", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("c2"), "id"))).where("place <= 8")
@@ -268,14 +258,9 @@ def track_curve(p):
     return B.curve(r).select("i", r4(F.col("net")).alias("r"), r4(F.col("equity")).alias("equity"))
 
 
-@query("fills_pnl", f", f AS (SELECT id, d, close, volume, LEAD(close, 10) OVER (PARTITION BY id ORDER BY d) AS sell FROM sbars WHERE t % 10 = 1) SELECT id, d, {R4('(sell - close) * volume - GREATEST(close * volume * 0.0006::DOUBLE, 1) - GREATEST(sell * volume * 0.0006::DOUBLE, 1) - sell * volume * 0.003::DOUBLE', 2)} AS pnl FROM f WHERE sell IS NOT NULL")
+@query("fills_pnl", f", f AS (SELECT id, d, close, volume, LEAD(close, 10) OVER (PARTITION BY id ORDER BY d) AS sell FROM sbars) SELECT id, d, {R4('(sell - close) * volume - GREATEST(close * volume * 0.0006::DOUBLE, 1) - GREATEST(sell * volume * 0.0006::DOUBLE, 1) - sell * volume * 0.003::DOUBLE', 2)} AS pnl FROM f WHERE sell IS NOT NULL")
 def fills_pnl(p):
-    return fills(p.sbars.where("t % 10 = 1"))
-
-
-@query("fills_pnl_all")
-def fills_pnl_all(p):
-    """fills_pnl with a fill at every bar, sold 10 bars later."""
+    """A fill at every bar, sold 10 bars later."""
     return fills(p.sbars)
 
 

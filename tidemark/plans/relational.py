@@ -192,18 +192,12 @@ def yoy_month(p):
 
 @query(
     "yoy_nearest",
-    """, s AS (SELECT id, d, cents FROM bars WHERE DAYOFMONTH(d) <= 3), c AS (
+    """, s AS (SELECT id, d, cents FROM bars), c AS (
         SELECT a.id, a.d, a.cents, b.cents AS earlier, ROW_NUMBER() OVER (PARTITION BY a.id, a.d ORDER BY ABS(a.d - b.d - 365), b.d) AS n
         FROM s a LEFT JOIN s b ON a.id = b.id AND ABS(a.d - b.d - 365) <= 60)
     SELECT id, d, cents, earlier FROM c WHERE n = 1""",
 )
 def yoy_nearest(p):
-    return nearest_join(p.bars.where(F.dayofmonth("d") <= 3).select("id", "d", "cents"), ["id"], "d", "cents")
-
-
-@query("yoy_nearest_all")
-def yoy_nearest_all(p):
-    """yoy_nearest with all bars as rows and as candidates."""
     return nearest_join(p.bars.select("id", "d", "cents"), ["id"], "d", "cents")
 
 
@@ -290,7 +284,12 @@ def first_seen(p):
 @query("price_on", "SELECT c.d, s.id, s.close FROM (SELECT DISTINCT LAST_DAY(d) AS d FROM sbars) c CROSS JOIN (SELECT DISTINCT id FROM sbars) i ASOF JOIN sbars s ON s.id = i.id AND c.d >= s.d")
 def price_on(p):
     s = p.sbars.select("id", "d", "close")
-    ends = s.select(F.last_day("d").alias("at")).distinct().join(s.select("id").distinct())
+    # each entity's own months, from its first day on, of those that any entity has
+    months = s.groupBy(F.last_day("d").alias("at")).agg(F.max("d").alias("_d")).select("at")
+    last = months.agg(F.max("at").alias("_last"))
+    own = s.groupBy("id").agg(F.min("d").alias("_first")).join(F.broadcast(last))
+    own = own.select("id", F.explode(F.sequence(F.trunc("_first", "month"), F.col("_last"), F.expr("INTERVAL 1 MONTH"))).alias("_m")).select("id", F.last_day("_m").alias("at"))
+    ends = own.join(F.broadcast(months), "at", "left_semi")
     return asof_join(ends, s.withColumnRenamed("d", "known"), ["id"], "at", "known").where("close IS NOT NULL").select(F.col("at").alias("d"), "id", "close")
 
 
@@ -317,15 +316,8 @@ def eav_series(p):
     return p.stmt.where("type = 'gross'").select("id", "q", F.expr("try_cast(replace(format_number(value, 0), ',', '') AS DOUBLE)").alias("value"))
 
 
-@query("exposure_json", "SELECT d, to_json({'n': n, 'ids': ids}) AS snapshot FROM (SELECT d, COUNT(*) AS n, LIST(id ORDER BY id) AS ids FROM sbars WHERE d >= DATE '2001-10-01' GROUP BY d)")
+@query("exposure_json", "SELECT d, to_json({'n': n, 'ids': ids}) AS snapshot FROM (SELECT d, COUNT(*) AS n, LIST(id ORDER BY id) AS ids FROM sbars GROUP BY d)")
 def exposure_json(p):
-    day = p.sbars.where("d >= DATE '2001-10-01'").groupBy("d").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return day.select("d", F.to_json(F.struct("n", "ids")).alias("snapshot"))
-
-
-@query("exposure_json_all")
-def exposure_json_all(p):
-    """exposure_json on all days."""
     day = p.sbars.groupBy("d").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
     return day.select("d", F.to_json(F.struct("n", "ids")).alias("snapshot"))
 

@@ -197,18 +197,12 @@ def back_adjust(p):
 
 @query(
     "split_adjust",
-    f""", c AS (SELECT id, d, cents::DOUBLE / volume / 100 AS close FROM bars WHERE d < DATE '1995-03-01'), j AS (SELECT *, close / LAG(close) OVER w AS j FROM c {W}),
+    f""", c AS (SELECT id, d, cents::DOUBLE / volume / 100 AS close FROM bars), j AS (SELECT *, close / LAG(close) OVER w AS j FROM c {W}),
     l AS (SELECT *, CASE WHEN j < 0.5 THEN LN(GREATEST(ROUND_EVEN(1 / j, 0), 1)) ELSE 0 END AS ln FROM j)
-    SELECT id, d, CAST(ROUND_EVEN(EXP(COALESCE(SUM(ln) OVER ({P} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)), 0) AS BIGINT) AS split_factor FROM l""",
+    SELECT id, d, {R4(f"COALESCE(SUM(ln) OVER ({P} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)")} AS split_log FROM l""",
 )
 def split_adjust(p):
-    raw = p.bars.where("d < DATE '1995-03-01'").select("id", "d", (F.col("cents").cast("double") / F.col("volume") / 100).alias("close"))
-    return T.split_adjusted(raw).select("id", "d", F.col("split_factor").cast("long").alias("split_factor"))
-
-
-@query("split_adjust_all")
-def split_adjust_all(p):
-    """split_adjust over all bars, as logarithms: years of these prices' falls multiply to more than a BIGINT holds."""
+    """As logarithms: years of these prices' falls multiply to more than a BIGINT holds."""
     raw = p.bars.select("id", "d", (F.col("cents").cast("double") / F.col("volume") / 100).alias("close"))
     return T.split_logs(raw).select("id", "d", r4(F.col("split_log")).alias("split_log"))
 
