@@ -45,6 +45,15 @@ REGIME_FACTORS = {
     "neutral": (1.00, 1.00, 1.00, 1.00, 1.00),
     "bear": (1.00, 0.60, 0.30, 1.50, 0.30),
 }
+#: Gates by mode: overheated RSI, chased bias, least whale score, and what counts as hot momentum, whale, revenue and technical.
+GATES = ("rsi_extreme", "bias_chase", "chip_min", "mom_hot", "whale_hot", "rev_hot", "tech_hot")
+PROFILES = {
+    "conservative": (72.0, 12.0, 45.0, 52.0, 48.0, 15.0, 70.0),
+    "aggressive": (82.0, 18.0, 30.0, 42.0, 36.0, 10.0, 60.0),
+    "balanced": (78.0, 15.0, 30.0, 46.0, 42.0, 12.0, 65.0),
+}
+#: In a bear market: added to the least score, and factors of chip_min and whale_hot.
+BEAR_GATES = (10.0, 1.5, 1.4)
 HORIZON_WEIGHTS = {1: 0.10, 3: 0.15, 5: 0.25, 10: 0.25, 20: 0.25}
 
 
@@ -82,14 +91,15 @@ def technical_score(c=F.col) -> Column:
 
 
 def momentum_score(c=F.col) -> Column:
-    """From m6, m3, rs6, rs3, accel, cum_yoy, rev_streak, volume, spike, bias, divergence, obv_rising, j."""
+    """An unknown or zero spike counts as 1. From m6, m3, rs6, rs3, accel, cum_yoy, rev_streak, volume, spike, bias, divergence, obv_rising, j."""
     m6, m3 = F.coalesce(c("m6"), F.lit(0.0)), F.coalesce(c("m3"), F.lit(0.0))
     price = by_band(m6, MOM_6M) + by_band(m3, MOM_3M) + points(((m6 > 12) & (m3 < -5), -8))
     rs3 = F.coalesce(c("rs3"), F.lit(0.0))
     relative = points(((c("rs6") > 20) & (rs3 > 0), 8), (c("rs6") > 8, 5), (c("rs6") > 0, 2), (c("rs6") < -15, -6), (c("rs6") < -5, -3))
     revenue = by_band(c("accel"), ACCEL) + by_band(c("cum_yoy"), CUMULATIVE) + points((c("rev_streak") >= 6, 6), (c("rev_streak") >= 3, 3))
     b = c("bias")
-    health = F.when(c("volume") >= 500, by_band(c("spike"), SPIKE)).otherwise(0.0)
+    spike = F.coalesce(F.nullif(c("spike"), F.lit(0.0)), F.lit(1.0))
+    health = F.when(c("volume") >= 500, by_band(spike, SPIKE)).otherwise(0.0)
     health = health + points(((b > 0) & (b <= 8), 10), (b.between(-5, 0), 8), ((b > 8) & (b <= 15), 5), (b > 15, 1), ((b >= -12) & (b < -5), 3))
     health = health + points((c("divergence"), -5), (c("obv_rising"), 5)) + points((c("j") > 100, -3))
     return clamped(price + relative + revenue + health)
@@ -110,9 +120,36 @@ def whale_score(c=F.col) -> Column:
     streaks = days("fbuy") + days("tbuy") - days("fsell") - days("tsell")
     more = points((c("concentration") >= 1.0, 8), (c("concentration") >= 0.3, 4)) + points((c("participation") >= 40, 4), (c("participation") >= 25, 2))
     more = more + points(((ratio > 0) & (c("flow_accel") >= 1.5), 5)) + points((c("up_volume") >= 55, 3), ((c("up_volume") > 0) & (c("up_volume") < 45), -3))
+    now = clamped(48 + ratio * 300 + both + streaks + clamped(more, -15, 15) + _holders(c, ratio))
+    empty = lambda x: F.coalesce(F.size(c(x)), F.lit(0)) <= 0
+    return F.when(empty("foreign") & empty("trust"), streak_whale_score(c)).otherwise(now)
+
+
+def _holders(c, inflow: Column) -> Column:
+    """Points of the large holders' change; less where they leave while others buy."""
     h = F.coalesce(c("holders_change"), F.lit(0.0))
-    holders = F.when(h > 0, F.least(h * 4, F.lit(8.0))).when(h < 0, F.greatest(h * 4, F.lit(-8.0)) + F.when(ratio > 0, -3.0).otherwise(0.0)).otherwise(0.0)
-    return clamped(48 + ratio * 300 + both + streaks + clamped(more, -15, 15) + clamped(holders, -8, 8))
+    points_ = F.when(h > 0, F.least(h * 4, F.lit(8.0))).when(h < 0, F.greatest(h * 4, F.lit(-8.0)) + F.when(inflow > 0, -3.0).otherwise(0.0)).otherwise(0.0)
+    return clamped(points_, -8, 8)
+
+
+def streak_whale_score(c=F.col) -> Column:
+    """The score without net ratios: from the days of buying and selling, net5, fflow and tflow (net lots of 5 and 10 days) and the rest as above."""
+    known = lambda x: F.coalesce(c(x), F.lit(0.0))
+    side = lambda x: F.least(known(x) * 20.0, F.lit(100.0)) * 0.5
+    base = side("tbuy") + side("fbuy") + points(((known("tbuy") > 0) & (known("fbuy") > 0), 15)) - known("tsell") * 8.0 - known("fsell") * 6.0
+    sign = lambda x, n: points((known(x) > 0, n), (known(x) < 0, -n))
+    more = sign("net5", 8) + sign("fflow", 4) + sign("tflow", 4) + points(((known("net5") > 0) & (c("flow_accel") >= 1.5), 5))
+    more = more + points((c("concentration") >= 1.0, 8), (c("concentration") >= 0.3, 4)) + points((c("participation") >= 40, 4), (c("participation") >= 25, 2))
+    more = more + points((c("up_volume") >= 55, 3), ((c("up_volume") > 0) & (c("up_volume") < 45), -3))
+    return clamped(base + clamped(more, -25, 25) + _holders(c, known("net5")))
+
+
+def comment_tags(c=F.col) -> Column:
+    """Tags of a pre-score, joined by +, from whale, technical and the days of buying and selling."""
+    more = lambda a, b, name: F.when((c(a) > 0) | (c(b) > 0), name)
+    first = F.when(c("whale") > 70, "joint_buying").when(c("tbuy") > 0, "trust_buying")
+    tags = F.concat_ws("+", first, more("tsell", "fsell", "selling"), F.when(c("technical") > 70, "averages_aligned"))
+    return F.when(tags == "", "consolidating").otherwise(tags)
 
 
 def group_score(keys: list[str], c=F.col) -> Column:
@@ -213,17 +250,17 @@ def composite_score(regime: Column, strong_trend: Column, c=F.col) -> Column:
 def rating(c=F.col) -> Column:
     """AVOID, WATCH, STRONG or SUPER by ordered gates.
 
-    From passed, cash, profit_risk, val_status, composite, min_score, chip_min, whale_hot, whale, momentum, technical,
-    rsi, bias, uptrend, inflow, dual_buy, participation, blowoff, rescue, washout, bubble, revenue_hot.
+    From passed, cash, profit_risk, val_status, composite, min_score, the mode's GATES, whale, momentum, technical, rsi,
+    bias, uptrend, inflow, dual_buy, participation, blowoff, rescue, washout, bubble, revenue_hot.
     """
     sound = c("passed") & (c("cash") != "high_risk") & ~c("profit_risk")
     hard = ~c("passed") | (c("cash") == "high_risk") | ((c("rsi") < 30) & (c("momentum") < 20))
-    hot = (c("momentum") >= 55) | (c("technical") >= 70) | c("revenue_hot")
+    hot = (c("momentum") >= c("mom_hot")) | (c("technical") >= c("tech_hot")) | c("revenue_hot")
     ignited = c("inflow") & ((c("whale") >= c("whale_hot")) | c("dual_buy") | (c("participation") >= 40))
     top = sound & ~c("bubble") & c("uptrend") & hot & ignited & ~c("blowoff")
     dear = (c("val_status") == "dear") & (c("composite") < 50)
     quality = c("cash").isin("healthy", "watch") & ~c("profit_risk")
-    value = quality & c("val_status").isin("cheap", "fair") & (c("whale") >= c("chip_min")) & (c("composite") >= c("min_score")) & (c("rsi") < 80) & (c("bias") <= 12)
+    value = quality & c("val_status").isin("cheap", "fair") & (c("whale") >= c("chip_min")) & (c("composite") >= c("min_score")) & (c("rsi") < c("rsi_extreme")) & (c("bias") <= c("bias_chase"))
     trend = quality & ~c("bubble") & c("uptrend") & c("inflow") & (c("whale") >= c("chip_min")) & ~c("blowoff") & (c("composite") >= c("min_score") - 5)
     spared = F.when(c("rescue"), "WATCH").otherwise("AVOID")
     return F.when(hard, spared).when(top, "SUPER").when(dear, spared).when(c("washout"), "WATCH").when(value | trend, "STRONG").otherwise("WATCH")

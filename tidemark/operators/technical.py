@@ -28,6 +28,15 @@ def weekly_average(bars: DataFrame, weeks: int = 20) -> DataFrame:
     return whole.withColumn("weekly_ma", s.mean("close", weeks, 1))
 
 
+def weekly_as_of(bars: DataFrame, weeks: int = 20) -> DataFrame:
+    """weekly_ma: mean of the last weeks' closes as known on the day, whose own close stands for its week."""
+    s = Series("id", "week")
+    before = s.w.rowsBetween(1 - weeks, -1)
+    past = weekly_average(bars, weeks).select("id", "week", F.coalesce(F.sum("close").over(before), F.lit(0.0)).alias("_sum"), F.count("close").over(before).alias("_n"))
+    met = bars.withColumn("week", F.trunc("d", "week")).join(past, ["id", "week"])
+    return met.withColumn("weekly_ma", (F.col("close") + F.col("_sum")) / (1 + F.col("_n"))).drop("week", "_sum", "_n")
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, signal, cross (golden, death, none), macd_status; null status before the slow span is full."""
     i = (F.col("t") - 1).cast("double")
@@ -80,11 +89,12 @@ def atr(bars: DataFrame, window: int = 14) -> DataFrame:
 
 
 def on_balance(bars: DataFrame) -> DataFrame:
-    """volume_ratio, obv, obv_above_ma20 (null until 10 rows), divergence (price up on thin volume)."""
+    """volume_ratio, obv, obv_rising, obv_above_ma20 (null until 10 rows), divergence (price up on thin volume)."""
     up = F.signum(F.coalesce(F.col("close") - S.lag("close"), F.lit(0.0)))
     rows = bars.withColumn("volume_ratio", F.col("volume") / S.mean("volume", 20)).withColumn("_s", up * F.col("volume"))
     rows = rows.withColumn("obv", F.sum("_s").over(S.past))
     rising = F.col("close") > S.lag("close")
+    rows = rows.withColumn("obv_rising", F.coalesce(F.col("obv") > S.lag("obv"), F.lit(False)))
     return rows.withColumns({"obv_above_ma20": F.col("obv") > S.mean("obv", 20, 10), "divergence": F.coalesce(rising & (F.col("volume_ratio") < 1), F.lit(False))}).drop("_s")
 
 

@@ -141,77 +141,6 @@ def price_sales(p):
     return b.join(t, "id", "left").select("id", r4(F.coalesce(ratio(F.col("close") * 1e9, F.col("ttm")), F.lit(10.0))).alias("ps"))
 
 
-# --- scores over the latest bars ---
-
-
-def feature_rows(p):
-    """One row per entity and month end: technical, flow and revenue features joined as of the day."""
-    from tidemark.operators.asof import asof_join
-
-    bars = T.ma_cross(T.bollinger(T.macd(T.rsi(T.moving_averages(p.sbars, 5, 20)))))
-    bars = T.kdj(T.on_balance(T.bias_and_spike(bars)))
-    bars = T.momentum(T.momentum(bars, 120, 0, "m6"), 60, 0, "m3")
-    bars = T.volume_concentration(bars).withColumnsRenamed({"concentration": "up_volume", "volume_ratio": "vr"})
-    flow = C.streaks(p.flow, "fnet").withColumnsRenamed({"buy_days": "fbuy", "sell_days": "fsell"})
-    flow = C.streaks(flow, "tnet").withColumnsRenamed({"buy_days": "tbuy", "sell_days": "tsell"})
-    flow = flow.select("id", "d", "fbuy", "fsell", "tbuy", "tsell", C.horizon_ratios("fnet").alias("foreign"), C.horizon_ratios("tnet").alias("trust"))
-    ends = p.sbars.groupBy(F.trunc("d", "month").alias("_m")).agg(F.max("d").alias("d")).select("d")
-    rows = bars.join(F.broadcast(ends), "d", "left_semi").join(flow, ["id", "d"], "left")
-    rev = C.revenue_momentum(p.revm).withColumn("known", F.date_add(F.last_day("m"), 10)).select("id", "known", (F.col("accel") * 100).alias("accel"), (F.col("ytd_yoy") * 100).alias("cum_yoy"), F.col("streak").alias("rev_streak"))
-    rows = asof_join(rows, rev, ["id"], "d", "known")
-    none = F.lit(None).cast("double")
-    return rows.withColumns({
-        "weekly_ma": F.col("ma20"), "rs6": none, "rs3": none, "obv_rising": F.coalesce(F.col("obv_above_ma20"), F.lit(False)), "concentration": none,
-        "participation": none, "flow_accel": none, "holders_change": none,
-    })
-
-
-@query("tech_score", f""", a AS (SELECT *, {roll("AVG", "close", 5, 1)} AS ma5, {roll("AVG", "close", 20, 1)} AS ma20, {roll("AVG", "close", 60, 1)} AS ma60 FROM sbars)
-    SELECT id, d, LEAST(100, GREATEST(0, CASE WHEN close > ma5 THEN 10 ELSE 0 END + CASE WHEN ma5 > ma20 THEN 10 ELSE 0 END + CASE WHEN close > ma20 THEN 10 ELSE 0 END + CASE WHEN close > ma60 THEN 15 ELSE 0 END))::DOUBLE AS score FROM a""")
-def tech_score(p):
-    bars = T.moving_averages(p.sbars, 5, 20, 60).withColumn("weekly_ma", F.col("ma60"))
-    none = {"rsi": F.lit(None).cast("double"), "macd_status": F.lit(None).cast("string"), "cross": F.lit(None).cast("string"), "bb_status": F.lit(None).cast("string"), "ma_cross": F.lit(None).cast("string")}
-    return bars.withColumns(none).select("id", "d", R.technical_score().alias("score"))
-
-
-@query("mom_score")
-def mom_score(p):
-    return feature_rows(p).select("id", "d", r4(R.momentum_score()).alias("score"))
-
-
-@query("whale_score")
-def whale_score(p):
-    return feature_rows(p).select("id", "d", r4(R.whale_score()).alias("score"))
-
-
-@query("pre_score")
-def pre_score(p):
-    rows = feature_rows(p).withColumns({"technical": R.technical_score(), "momentum": R.momentum_score(), "whale": R.whale_score()})
-    return rows.select("id", "d", r4(F.col("technical") * 0.32 + F.col("momentum") * 0.38 + F.col("whale") * 0.30, 2).alias("score"))
-
-
-FUND = WIDE + """, fm AS (SELECT id, q, (COALESCE(gross, 0) - COALESCE(cost, 0))::DOUBLE / NULLIF(gross, 0)::DOUBLE * 100 AS net_margin, COALESCE(cost, 0)::DOUBLE / NULLIF(COALESCE(gross, 0) + COALESCE(cost, 0), 0)::DOUBLE * 100 AS debt_to_asset, gross::DOUBLE / NULLIF(cost, 0)::DOUBLE * 100 AS current_ratio FROM wide)"""
-
-
-def fundamentals(p):
-    g, c = F.coalesce("gross", F.lit(0)), F.coalesce("cost", F.lit(0))
-    none = F.lit(None).cast("double")
-    rows = wide(p).select("id", "q", (ratio(g - c, F.col("gross")) * 100).alias("net_margin"), (ratio(c, g + c) * 100).alias("debt_to_asset"), (ratio("gross", "cost") * 100).alias("current_ratio"))
-    return rows.withColumns({k: none for k in ("roe", "gross_margin", "asset_turnover", "rev_cagr", "eps_cagr", "pe_vs_industry", "cash_quality", "ocf", "fcf", "ocf_to_income", "cum_yoy")} | {"is_financial": F.lit(False)})
-
-
-def _sc(v, a, b):
-    return f"CASE WHEN {v} IS NOT NULL THEN LEAST(100::DOUBLE, GREATEST(0::DOUBLE, ({v} - {a}::DOUBLE) / ({b}::DOUBLE - {a}::DOUBLE) * 100)) END"
-
-
-@query("fund_score", FUND + f""", s AS (SELECT *, {_sc("net_margin", 0, 15)} AS a, {_sc("debt_to_asset", 60, 30)} AS b, {_sc("current_ratio", 100, 250)} AS c FROM fm)
-    SELECT id, q, {R4("COALESCE(a, 50) * 0.3::DOUBLE + 50 * 0.25::DOUBLE + (CASE WHEN b IS NULL AND c IS NULL THEN 50 ELSE (COALESCE(b, 0) + COALESCE(c, 0)) / ((b IS NOT NULL)::INT + (c IS NOT NULL)::INT) END) * 0.25::DOUBLE + 50 * 0.2::DOUBLE", 2)} AS score,
-        COALESCE(debt_to_asset IS NOT NULL AND current_ratio IS NOT NULL AND net_margin IS NOT NULL AND NOT (debt_to_asset > 85 AND (current_ratio < 100 OR net_margin < 0 OR debt_to_asset > 92)) AND NOT current_ratio < 50 AND net_margin >= -10, false) AS passed,
-        100 - 12.0::DOUBLE * (5 + (net_margin IS NULL)::INT + (debt_to_asset IS NULL)::INT + (current_ratio IS NULL)::INT) AS confidence FROM s""")
-def fund_score(p):
-    return fundamentals(p).select("id", "q", r4(R.fundamental_score(), 2).alias("score"), R.fundamental_passed().alias("passed"), R.fundamental_confidence().alias("confidence"))
-
-
 @query("cash_health", WIDE + " SELECT id, q, CASE WHEN gross - cost IS NULL THEN 'unknown' WHEN gross - cost < 0 THEN 'high_risk' WHEN (gross - cost)::DOUBLE / NULLIF(gross, 0)::DOUBLE < 0.5 OR (gross - 2 * cost < 0 AND gross - cost <= 0) THEN 'watch' ELSE 'healthy' END AS cash FROM wide")
 def cash_health(p):
     none = F.lit(None).cast("double")
@@ -236,53 +165,6 @@ def valuation_score(p):
     return v.select("id", "d", r4(R.valuation_score(), 2).alias("score"))
 
 
-def rated_rows(p):
-    """scored observations in the columns that composite and rating read, one row per mode."""
-    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), *[F.lit(w).alias(f"w_{k}") for k, w in zip(R.DIMENSIONS, v, strict=False)], F.lit(float(v[5])).alias("min_score")) for m, v in R.MODES.items()]))
-    dims = {"fundamental": F.col("pm"), "valuation": F.col("pb"), "technical": F.col("ph"), "momentum": F.col("pm"), "whale": F.col("pv")}
-    rows = scored(p).withColumns({k: F.coalesce(v, F.lit(50.0)) for k, v in dims.items()}).withColumn("m", modes).select("*", "m.*").drop("m")
-    regime = F.when(F.avg("mom").over(Window.partitionBy("d")) > 3, "bull").when(F.avg("mom").over(Window.partitionBy("d")) < -3, "bear").otherwise("neutral")
-    return rows.withColumn("regime", regime).withColumn("composite", R.composite_score(F.col("regime"), F.coalesce(F.col("bias") >= 7, F.lit(False))))
-
-
-def _mode_values():
-    return "modes(mode, w1, w2, w3, w4, w5, min_score) AS (VALUES " + ", ".join(f"('{m}', " + ", ".join(f"{x}::DOUBLE" for x in v) + ")" for m, v in R.MODES.items()) + ")"
-
-
-RATED = SCORED + f""", {_mode_values()}, rr AS (SELECT s.*, m.*, COALESCE(pm, 50) AS x1, COALESCE(pb, 50) AS x2, COALESCE(ph, 50) AS x3, COALESCE(pm, 50) AS x4, COALESCE(pv, 50) AS x5,
-        CASE WHEN AVG(mom) OVER (PARTITION BY d) > 3 THEN 'bull' WHEN AVG(mom) OVER (PARTITION BY d) < -3 THEN 'bear' ELSE 'neutral' END AS regime, COALESCE(bias >= 7, false) AS strong FROM scored s, modes m),
-    rw AS (SELECT *, w2 * CASE regime WHEN 'bear' THEN 0.6::DOUBLE ELSE 1 END AS v2, w3 * CASE regime WHEN 'bull' THEN 1.05::DOUBLE WHEN 'bear' THEN 0.3::DOUBLE ELSE 1 END AS v3, w4 * CASE regime WHEN 'bull' THEN 1.1::DOUBLE WHEN 'bear' THEN 1.5::DOUBLE ELSE 1 END AS v4, w5 * CASE regime WHEN 'bear' THEN 0.3::DOUBLE ELSE 1 END AS v5 FROM rr),
-    rc AS (SELECT *, CASE WHEN strong THEN v2 * 0.6::DOUBLE ELSE 0 END AS cut FROM rw),
-    rated AS MATERIALIZED (SELECT *, (w1 * x1 + (v2 - cut) * x2 + v3 * x3 + (v4 + cut * 0.6::DOUBLE) * x4 + (v5 + cut * 0.4::DOUBLE) * x5) / (w1 + (v2 - cut) + v3 + (v4 + cut * 0.6::DOUBLE) + (v5 + cut * 0.4::DOUBLE)) AS composite FROM rc)"""
-
-
-@query("composite", RATED + f" SELECT id, d, mode, {R4('composite', 2)} AS composite FROM rated")
-def composite(p):
-    return rated_rows(p).select("id", "d", "mode", r4(F.col("composite"), 2).alias("composite"))
-
-
-def rating_inputs(p):
-    no, yes = F.lit(False), F.lit(True)
-    of = lambda x: F.coalesce(F.expr(x), no)
-    rows = rated_rows(p).withColumns({
-        "passed": ~of("ph < 5"), "cash": F.when(of("pb < 10"), "watch").otherwise("healthy"), "profit_risk": of("pm < 5"), "val_status": R.valuation_status(F.col("valuation")),
-        "chip_min": F.when(F.col("regime") == "bear", 45.0).otherwise(30.0), "whale_hot": F.when(F.col("regime") == "bear", 84.0).otherwise(60.0), "rsi": F.col("technical"),
-        "uptrend": of("bias > 0"), "inflow": of("pv > 30"), "dual_buy": of("pv > 80"), "participation": F.col("whale") / 2, "blowoff": of("bias > 12 AND pv < 50"), "rescue": of("bias > 2"),
-        "washout": of("bias < -10 AND pv > 70"), "bubble": of("pb < 5"), "revenue_hot": of("mom > 20"),
-    })
-    return rows.withColumn("min_score", F.col("min_score") + F.when(F.col("regime") == "bear", 10.0).otherwise(0.0)).withColumn("bias", F.coalesce("bias", F.lit(0.0)))
-
-
-@query("rating", RATED + """, g AS (SELECT *, NOT COALESCE(ph < 5, false) AS passed, COALESCE(pm < 5, false) AS risk, CASE WHEN x2 >= 65 THEN 'cheap' WHEN x2 >= 40 THEN 'fair' ELSE 'dear' END AS vs, CASE regime WHEN 'bear' THEN 45 ELSE 30 END AS chip, CASE regime WHEN 'bear' THEN 84 ELSE 60 END AS hot_, min_score + CASE regime WHEN 'bear' THEN 10 ELSE 0 END AS need,
-        COALESCE(bias > 0, false) AS up, COALESCE(pv > 30, false) AS inflow, COALESCE(bias > 12 AND pv < 50, false) AS blow, COALESCE(bias > 2, false) AS rescue, COALESCE(bias < -10 AND pv > 70, false) AS wash, COALESCE(pb < 5, false) AS bubble, COALESCE(bias, 0) AS bias0 FROM rated)
-    SELECT id, d, mode, CASE WHEN NOT passed OR (x3 < 30 AND x4 < 20) THEN CASE WHEN rescue THEN 'WATCH' ELSE 'AVOID' END
-        WHEN passed AND NOT risk AND NOT bubble AND up AND (x4 >= 55 OR x3 >= 70 OR COALESCE(mom > 20, false)) AND inflow AND (x5 >= hot_ OR COALESCE(pv > 80, false) OR x5 / 2 >= 40) AND NOT blow THEN 'SUPER'
-        WHEN vs = 'dear' AND composite < 50 THEN CASE WHEN rescue THEN 'WATCH' ELSE 'AVOID' END WHEN wash THEN 'WATCH'
-        WHEN NOT risk AND ((vs <> 'dear' AND x5 >= chip AND composite >= need AND x3 < 80 AND bias0 <= 12) OR (NOT bubble AND up AND inflow AND x5 >= chip AND NOT blow AND composite >= need - 5)) THEN 'STRONG' ELSE 'WATCH' END AS rating FROM g""")
-def rating(p):
-    return rating_inputs(p).withColumn("rated", R.rating()).select("id", "d", "mode", F.col("rated").alias("rating"))
-
-
 @query("sector", ", s AS (SELECT s_suppkey AS id, s_acctbal AS b, s_nationkey AS n FROM supplier) SELECT id, CASE WHEN id % 17 = 0 THEN 'A' WHEN n = 3 THEN 'A' WHEN b > 0 THEN CASE WHEN b * 3e7 >= 1e11 THEN 'A' WHEN b * 3e7 < 3e10 THEN 'B' WHEN n < 8 THEN 'B' ELSE 'A' END WHEN (CASE WHEN n >= 20 THEN 2 WHEN n >= 10 THEN 1 ELSE 0 END) - (CASE WHEN n < 8 THEN 2 ELSE 0 END) >= 2 THEN 'A' ELSE 'B' END AS sector FROM s")
 def sector(p):
     s = p.table("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") * 3e7).alias("market_cap"), F.col("s_nationkey").alias("n"))
@@ -302,11 +184,6 @@ def trade_plan(p):
     return rows.select("id", "d", *[r4(F.col(c), 2).alias(c) for c in ("entry_low", "entry_high", "stop", "target1")])
 
 
-@query("data_gaps", WIDE + " SELECT id, COUNT(*) FILTER (gross IS NULL) AS gaps FROM wide GROUP BY id")
-def data_gaps(p):
-    return wide(p).groupBy("id").agg(F.count_if(F.col("gross").isNull()).alias("gaps"))
-
-
 @query("reason_line", SCORED + ", u AS (SELECT id, d, UNNEST([{'k': 'momentum', 'v': COALESCE(pm, 0)}, {'k': 'high', 'v': COALESCE(ph, 0)}, {'k': 'volume', 'v': COALESCE(pv, 0)}]) AS x FROM scored), r AS (SELECT id, d, x.k AS k, ROW_NUMBER() OVER (PARTITION BY id, d ORDER BY x.v DESC, x.k) AS n FROM u) SELECT id, d, STRING_AGG(k, '+' ORDER BY n) AS why FROM r WHERE n <= 2 GROUP BY ALL")
 def reason_line(p):
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -319,9 +196,3 @@ def pit_audit(p):
     m = p.sbars.select("id", S.mean("close", 60).alias("ma60"), S.std("close", 20).alias("sd"))
     a = m.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("ma60").isNull()).alias("dead_ma"), F.count_if(F.col("sd") == 0).alias("flat"))
     return a.orderBy(F.desc(F.col("dead_ma").cast("double") / F.col("n")), "id").limit(12)
-
-
-@query("pit_features")
-def pit_features(p):
-    rows = feature_rows(p)
-    return rows.select("id", "d", *[r4(F.col(c)).alias(c) for c in ("close", "ma5", "ma20", "rsi", "macd", "percent_b", "bias", "spike", "m6", "m3", "accel", "cum_yoy", "up_volume")], "macd_status", "bb_status", "ma_cross", "fbuy", "fsell", "rev_streak")
