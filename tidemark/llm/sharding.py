@@ -48,38 +48,39 @@ def directory(thin: DataFrame, limit: int, base: int, depth: int) -> DataFrame:
     return best.select("fine", "b.*")
 
 
-def thin(docs: DataFrame, row: F.Column | None = None) -> DataFrame:
-    """doc_id, bytes, address and row (an ordinal) of every row of docs (doc_id, text)."""
+def thin(docs: DataFrame, row: F.Column | None = None, *more: str) -> DataFrame:
+    """doc_id, bytes, address and row (an ordinal) of every row of docs (doc_id, text), and more columns if asked for."""
     row = row if row is not None else F.monotonically_increasing_id()
     both = F.concat(*[F.lpad(F.bin(h), WORD_BITS, "0") for h in (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), row))])
-    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), both.alias("address"), row.alias("row"))
+    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), both.alias("address"), row.alias("row"), *more)
 
 
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, depth: int | None = None) -> DataFrame:
     """doc_id, bytes, shard (the bucket's prefix of bits), depth, shard_bytes, shard_docs, row, one row per row of docs."""
-    return assigned(written(thin(docs), "shard"), limit, depth)
+    return assigned(written(thin(docs), "shard"), limit, depth).select("doc_id", "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", "row")
 
 
 def assigned(left: DataFrame, limit: int = SHARD_BYTES, depth: int | None = None) -> DataFrame:
-    """The shard of every row of a written table (see `thin`)."""
+    """left (bytes and address, see `thin`, and any other columns; cheap to read again) with shard, shard_bytes and shard_docs."""
+    columns = left.columns
     total = left.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth = depth if depth is not None else min(24, max(1, math.ceil(math.log2(max(total, 1) / limit + 1)) + SPARE_BITS))
     out, base = [], 0
     while True:
         here = directory(left, limit, base, min(depth, 2 * WORD_BITS - base))
         here = written(here, "shard-directory")
-        placed = left.withColumn("fine", _bits(base + depth)).join(here, "fine")
+        placed = left.withColumn("fine", _bits(base + depth)).join(broadcast_small(here), "fine")
         done = F.col("fits") | F.lit(base + depth >= 2 * WORD_BITS)
         out.append(placed.where(done))
         over = here.where(~F.col("fits")).limit(1).count()
         base += depth
         if not over or base >= 2 * WORD_BITS:
             break
-        left = written(placed.where(~F.col("fits")).select("doc_id", "bytes", "address", "row"), "shard-deeper")
+        left = written(placed.where(~F.col("fits")).select(*columns), "shard-deeper")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole.select("doc_id", "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", "row")
+    return whole.select(*columns, "shard", "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -89,13 +90,16 @@ def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES, depth:
     """
     name = own_name(docs, "shard")
     own = written(docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("row")), "shard-docs")
-    of = written(assigned(written(thin(own.select("doc.doc_id", "doc.text", "row"), F.col("row")), "shard"), limit, depth), "shard-rows")
-    dealt = own.join(of.select("row", F.col("shard").alias("own_shard")), "row").repartition("own_shard")
+    # the rows carry their texts, which are dealt once, by shard
+    of = assigned(thin(own.select("doc.doc_id", "doc.text", "row", "doc"), F.col("row"), "doc"), limit, depth)
     # a letter before the bits, as the only shard of a small table has none
-    dealt.select("doc.*", F.concat(F.lit("b"), "own_shard").alias(name)).write.partitionBy(name).parquet(folder)
-    sizes = of.groupBy("shard").agg(F.first("depth").alias("depth"), F.first("shard_bytes").alias("shard_bytes"), F.first("shard_docs").alias("shard_docs"))
+    named = of.select("doc", F.concat(F.lit("b"), "shard").alias("own_shard")).repartition("own_shard")
+    named.select("doc.*", F.col("own_shard").alias(name)).write.option("compression", "zstd").partitionBy(name).parquet(folder)
     rows = docs.sparkSession.read.schema(T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])).parquet(folder)
-    return rows.withColumn(name, F.expr(f"substring({name}, 2)")), sizes
+    rows = rows.withColumn(name, F.expr(f"substring({name}, 2)"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = rows.groupBy(F.col(name).alias("shard")).agg(F.length(F.first(name)).alias("depth"), F.sum(size).alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return rows, sizes
 
 
 def op10(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
