@@ -45,12 +45,12 @@ REGIME_FACTORS = {
     "neutral": (1.00, 1.00, 1.00, 1.00, 1.00),
     "bear": (1.00, 0.60, 0.30, 1.50, 0.30),
 }
-#: Gates by mode: overheated RSI, chased bias, least whale score, and what counts as hot momentum, whale, revenue and technical.
-GATES = ("rsi_extreme", "bias_chase", "chip_min", "mom_hot", "whale_hot", "rev_hot", "tech_hot")
+#: Gates by mode: high and overheated RSI, chased bias, least whale score, and what counts as hot momentum, whale, revenue and technical.
+GATES = ("rsi_overbought", "rsi_extreme", "bias_chase", "chip_min", "mom_hot", "whale_hot", "rev_hot", "tech_hot")
 PROFILES = {
-    "conservative": (72.0, 12.0, 45.0, 52.0, 48.0, 15.0, 70.0),
-    "aggressive": (82.0, 18.0, 30.0, 42.0, 36.0, 10.0, 60.0),
-    "balanced": (78.0, 15.0, 30.0, 46.0, 42.0, 12.0, 65.0),
+    "conservative": (65.0, 72.0, 12.0, 45.0, 52.0, 48.0, 15.0, 70.0),
+    "aggressive": (75.0, 82.0, 18.0, 30.0, 42.0, 36.0, 10.0, 60.0),
+    "balanced": (72.0, 78.0, 15.0, 30.0, 46.0, 42.0, 12.0, 65.0),
 }
 #: In a bear market: added to the least score, and factors of chip_min and whale_hot.
 BEAR_GATES = (10.0, 1.5, 1.4)
@@ -263,9 +263,25 @@ def rating(c=F.col) -> Column:
     value = quality & c("val_status").isin("cheap", "fair") & (c("whale") >= c("chip_min")) & (c("composite") >= c("min_score")) & (c("rsi") < c("rsi_extreme")) & (c("bias") <= c("bias_chase"))
     trend = quality & ~c("bubble") & c("uptrend") & c("inflow") & (c("whale") >= c("chip_min")) & ~c("blowoff") & (c("composite") >= c("min_score") - 5)
     spared = F.when(c("rescue"), "WATCH").otherwise("AVOID")
+    value, trend = F.coalesce(value, F.lit(False)), F.coalesce(trend, F.lit(False))
     return F.when(hard, spared).when(top, "SUPER").when(dear, spared).when(c("washout"), "WATCH").when(value | trend, "STRONG").otherwise("WATCH")
 
 
+def advice(c=F.col) -> Column:
+    """The first of the rules that fits, as a word; from what `rating` reads, the rating, and change, spike, ma20, close, the days of buying and selling."""
+    share = F.when(c("operating_share") > 1.5, c("operating_share") / 100).otherwise(c("operating_share"))
+    leverage = (c("income_growth") > 0) & (c("income_growth") - c("revenue_growth") >= 25) & (share >= 0.8)
+    priced = c("val_status").isin("cheap", "fair") & (c("whale") >= c("chip_min")) & (c("composite") >= c("min_score")) & (c("rsi") < c("rsi_extreme")) & (c("bias") <= c("bias_chase"))
+    above = c("close") > c("ma20")
+    return (
+        F.when(~c("passed"), "fails_gates").when(c("cash") == "high_risk", "cash_alarm").when(c("profit_risk"), "doubtful_profit").when(c("washout"), "washout")
+        .when(c("rating") == "SUPER", "ride_the_trend").when((c("rating") == "STRONG") & ~F.coalesce(priced, F.lit(False)), "follow_the_trend")
+        .when(leverage & (c("rating") != "AVOID"), "operating_leverage").when((c("spike") > 2) & (c("change") > 3) & above & (c("bias") <= c("bias_chase")), "breakout")
+        .when(c("rating").isin("STRONG", "WATCH") & ((c("rsi") >= c("rsi_overbought")) | (c("bias") > c("bias_chase"))), "overbought").when(c("val_status") == "dear", "dear")
+        .when(c("rating") == "STRONG", "fair_buy").when((c("tsell") > 0) | (c("fsell") > 0), "selling").otherwise("mixed")
+    )
+
+
 def sector(override: Column, c=F.col) -> Column:
     """A (large, stable) or B (cyclical), by override, finance, size, then points of foreign share, volatility and industry."""
     size = F.when(c("market_cap") >= 1.0e11, "A").when(c("market_cap") < 3.0e10, "B").when(c("cyclical") | F.coalesce(c("atr_pct") >= 6, F.lit(False)), "B").otherwise("A")
@@ -274,7 +290,7 @@ def sector(override: Column, c=F.col) -> Column:
 
 
 def trade_plan(c=F.col) -> dict[str, Column]:
-    """entry_low, entry_high, stop, target1 from close, atr, val, poc, vah, ma20; each uses those before it."""
+    """entry_low, entry_high, stop, target1, target2 (twice the risk), distance, in_zone, rr and note from close, atr, val, poc, vah, ma20; each uses those before it."""
     price, a = c("close"), c("atr")
     fresh = lambda x: F.when(c(x) >= price * 0.75, c(x))
     near = lambda x: F.when(x <= price * 1.02, x)
@@ -282,4 +298,9 @@ def trade_plan(c=F.col) -> dict[str, Column]:
     low = F.coalesce(F.when(fresh("val") < c("entry_high"), fresh("val")), c("entry_high") - 1.5 * a)
     stop = F.when(c("entry_low") - 1.5 * a > 0, c("entry_low") - 1.5 * a).otherwise(c("entry_low") * 0.95)
     target = F.greatest(F.coalesce(F.when(c("vah") > price, c("vah")), price + 2 * a), price + a)
-    return {"entry_high": high, "entry_low": low, "stop": stop, "target1": F.when(target <= c("entry_high"), c("entry_high") + 2 * a).otherwise(target)}
+    risk = c("entry_high") - c("stop")
+    note = F.when(c("in_zone") & (c("distance") <= -3), "below_the_zone").when(c("in_zone"), "in_the_zone").when(c("distance") <= 4, "just_above").otherwise("too_high")
+    return {
+        "entry_high": high, "entry_low": low, "stop": stop, "target1": F.when(target <= c("entry_high"), c("entry_high") + 2 * a).otherwise(target), "target2": F.when(risk > 0, c("entry_high") + 2 * risk),
+        "distance": (price - c("entry_high")) / c("entry_high") * 100, "in_zone": price <= c("entry_high") * 1.005, "rr": F.when(risk > 0, (c("target1") - c("entry_high")) / risk), "note": note,
+    }

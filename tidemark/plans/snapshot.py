@@ -219,8 +219,8 @@ def dimensions(p):
     })
 
 
-_MODE_COLUMNS = ("mode", "w1", "w2", "w3", "w4", "w5", "min_score", "rsi_extreme", "bias_chase", "chip_min", "mom_hot", "whale_hot", "rev_hot", "tech_hot")
-RATED = DIMS + f""", modes({", ".join(_MODE_COLUMNS)}) AS (VALUES ('conservative', 0.28, 0.17, 0.20, 0.16, 0.19, 64, 72, 12, 45, 52, 48, 15, 70), ('aggressive', 0.12, 0.08, 0.22, 0.34, 0.24, 55, 82, 18, 30, 42, 36, 10, 60), ('balanced', 0.31, 0.08, 0.19, 0.27, 0.15, 54, 78, 15, 30, 46, 42, 12, 65)),
+_MODE_COLUMNS = ("mode", "w1", "w2", "w3", "w4", "w5", "min_score", "rsi_overbought", "rsi_extreme", "bias_chase", "chip_min", "mom_hot", "whale_hot", "rev_hot", "tech_hot")
+RATED = DIMS + f""", modes({", ".join(_MODE_COLUMNS)}) AS (VALUES ('conservative', 0.28, 0.17, 0.20, 0.16, 0.19, 64, 65, 72, 12, 45, 52, 48, 15, 70), ('aggressive', 0.12, 0.08, 0.22, 0.34, 0.24, 55, 75, 82, 18, 30, 42, 36, 10, 60), ('balanced', 0.31, 0.08, 0.19, 0.27, 0.15, 54, 72, 78, 15, 30, 46, 42, 12, 65)),
     md AS (SELECT mode, {", ".join(f"{c}::DOUBLE AS {c}" for c in _MODE_COLUMNS[1:])} FROM modes),
     rr AS (SELECT dm.*, md.*, COALESCE(val, 50) AS valuation, (close > ma20 AND ma5 >= ma20 AND bias >= 7 AND rsi >= 53) AS strong FROM dm, md),
     rw AS (SELECT *, w2 * CASE regime WHEN 'bear' THEN 0.6::DOUBLE ELSE 1 END AS v2, w3 * CASE regime WHEN 'bull' THEN 1.05::DOUBLE WHEN 'bear' THEN 0.3::DOUBLE ELSE 1 END AS v3, w4 * CASE regime WHEN 'bull' THEN 1.1::DOUBLE WHEN 'bear' THEN 1.5::DOUBLE ELSE 1 END AS v4, w5 * CASE regime WHEN 'bear' THEN 0.3::DOUBLE ELSE 1 END AS v5 FROM rr),
@@ -282,6 +282,15 @@ def full_history(p):
     return rated(p).select("id", "d", "mode", r4(F.col("composite"), 2).alias("composite"), "rating", r4(F.col("fundamental"), 2).alias("fundamental"), r4(F.col("val"), 2).alias("valuation"), "technical", "momentum", r4(F.col("whale"), 2).alias("whale"))
 
 
+@query("advice_text", RATED + f""" SELECT id, d, mode, CASE WHEN NOT passed THEN 'fails_gates' WHEN cash = 'high_risk' THEN 'cash_alarm' WHEN risk THEN 'doubtful_profit' WHEN wash THEN 'washout' WHEN rating = 'SUPER' THEN 'ride_the_trend'
+    WHEN rating = 'STRONG' AND NOT COALESCE(val >= 40 AND whale >= chip AND composite >= need AND rsi < rsi_extreme AND bias <= bias_chase, false) THEN 'follow_the_trend'
+    WHEN eps_cagr > 0 AND eps_cagr - rev_growth >= 25 AND CASE WHEN operating_share > 1.5 THEN operating_share / 100 ELSE operating_share END >= 0.8::DOUBLE AND rating <> 'AVOID' THEN 'operating_leverage' WHEN spike > 2 AND change > 3 AND close > ma20 AND bias <= bias_chase THEN 'breakout'
+    WHEN rating IN ('STRONG', 'WATCH') AND (rsi >= rsi_overbought OR bias > bias_chase) THEN 'overbought' WHEN val < 40 THEN 'dear' WHEN rating = 'STRONG' THEN 'fair_buy' WHEN tsell > 0 OR fsell > 0 THEN 'selling' ELSE 'mixed' END AS advice FROM rated WHERE {_ENDS}""")
+def advice_text(p):
+    """The first of twelve rules that fits each rating, as a word."""
+    return rated(p).join(month_ends(p), "d", "left_semi").select("id", "d", "mode", R.advice().alias("advice"))
+
+
 @query("data_gaps", DIMS + """, g AS (SELECT id, d, LIST_FILTER([CASE WHEN rev_growth IS NULL THEN 'revenue' END, CASE WHEN ni IS NULL THEN 'statements' END, CASE WHEN big IS NULL THEN 'holders' END], lambda x: x IS NOT NULL) AS raw, LIST_FILTER([CASE WHEN pe_pct IS NULL THEN 'valuation history' END, CASE WHEN growth IS NULL THEN 'growth' END], lambda x: x IS NOT NULL) AS lens FROM dm)
     SELECT id, d, ARRAY_TO_STRING(LIST_CONCAT(raw, lens), '; ') AS gaps, 100 - 8.0::DOUBLE * len(raw) AS confidence FROM g""")
 def data_gaps(p):

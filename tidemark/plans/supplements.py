@@ -77,13 +77,6 @@ def dca_series(p):
     return of(nets(p), "held").unionByName(of(market, "market"))
 
 
-@query("advice_text", SCORED + """ SELECT id, d, CASE rating WHEN 'AVOID' THEN 'avoid' WHEN 'WATCH' THEN 'watch' ELSE 'buy' END || CASE WHEN bias > 12 THEN '; wait for a pullback' WHEN bias BETWEEN -5 AND 3 THEN '; near its mean' ELSE '' END || CASE WHEN hi > 95 THEN '; at its high' ELSE '' END AS advice FROM scored""")
-def advice_text(p):
-    lead = F.when(F.col("rating") == "AVOID", "avoid").when(F.col("rating") == "WATCH", "watch").otherwise("buy")
-    reach = F.when(F.col("bias") > 12, "; wait for a pullback").when(F.col("bias").between(-5, 3), "; near its mean").otherwise("")
-    return scored(p).select("id", "d", F.concat(lead, reach, F.when(F.col("hi") > 95, "; at its high").otherwise("")).alias("advice"))
-
-
 @query("exit_full")
 def exit_full(p):
     """Exits of an entry at every bar, by the narrower of the two buffers."""
