@@ -23,7 +23,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -122,8 +122,24 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("ordinal", "text").mapInPandas(run, SCAN)
 
 
-def document_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(term, docs): in how many documents each term stands. Tasks send sums, not occurrences."""
+def known_terms(terms: DataFrame) -> Callable[[str], bool]:
+    """Whether a word may be one of the terms, by the bits of their checksums (of a bounded number), which go to the tasks."""
+    # so many bits a term that of the other words, which are far more, hardly any pass
+    size = 1 << min(27, max(16, (terms.count() << 14).bit_length()))
+    bits = bytearray(size >> 3)
+    for r in terms.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size)).alias("at")).distinct().toLocalIterator():
+        bits[r["at"] >> 3] |= 1 << (r["at"] & 7)
+    held = bytes(bits)
+
+    def may_be(word: str) -> bool:
+        at = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & (size - 1)
+        return bool(held[at >> 3] >> (at & 7) & 1)
+
+    return may_be
+
+
+def document_counts(docs: DataFrame, may_be: Callable[[str], bool], flush: int = 400_000) -> DataFrame:
+    """(term, docs): in how many documents each of the known terms stands. Tasks send sums, not occurrences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
@@ -136,7 +152,7 @@ def document_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
         for b in batches:
             for t in b.text:
                 if t:
-                    counts.update({x.lower() for x in set(_TERM.findall(t))})
+                    counts.update({x.lower() for x in set(_TERM.findall(t)) if may_be(x)})
                     if len(counts) >= flush:
                         yield out()
         if counts:
@@ -156,7 +172,8 @@ def disclosing(scanned: DataFrame, docs: DataFrame, min_support: int = MIN_SUPPO
     both = pairs.groupBy("entity", "term", "page").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
     both = written(both.where(F.col("support") >= min_support).join(entities, "entity"), "pii-pairs")
     n = float(docs.count())
-    terms = document_counts(docs).join(both.select("term").distinct(), "term", "left_semi")
+    supported = written(both.select("term").distinct(), "pii-supported")
+    terms = document_counts(docs, known_terms(supported)).join(supported, "term", "left_semi")
     bits = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("docs")))
     total = F.log2(n / F.col("n_entity"))
     joined = both.join(terms, "term")
@@ -173,19 +190,8 @@ MARKED = "ordinal long, doc_id long, base array<struct<kind string, start int, e
 
 
 def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row per row of docs (ordinal, doc_id, text): its base spans, and the occurrences of the terms (term) outside of them, and of few others.
- The terms go to the tasks as bits of their checksums, of a bounded number.
-    """
-    # so many bits a term that of the other words, which are far more, hardly any pass
-    size = 1 << min(27, max(16, (terms.count() << 14).bit_length()))
-    bits = bytearray(size >> 3)
-    for r in terms.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size)).alias("at")).distinct().toLocalIterator():
-        bits[r["at"] >> 3] |= 1 << (r["at"] & 7)
-    known = bytes(bits)
-
-    def listed_in(word: str) -> bool:
-        at = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & (size - 1)
-        return bool(known[at >> 3] >> (at & 7) & 1)
+    """One row per row of docs (ordinal, doc_id, text): its base spans, and the occurrences of the terms (term) outside of them, and of few others."""
+    listed_in = known_terms(terms)
 
     def one(text: str | None, spans: list) -> list[dict]:
         words = {w for w in set(_TERM.findall(text or "")) if listed_in(w)}
