@@ -329,7 +329,8 @@ def test_pii_finds_terms_far_from_their_entity(spark):
     out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.found(table(spark, rows)).collect()}
     texts = dict(rows)
     marked = {d: [texts[d][a:b].lower() for k, a, b in x if k == "term"] for d, x in out.items()}
-    assert all(marked[i] == ["zanzibaro"] for i in [*range(8), 50])
+    # words of any length are terms: "ask" stands with the address and nowhere else
+    assert all(sorted(marked[i]) == ["ask", "zanzibaro"] for i in range(8)) and marked[50] == ["zanzibaro"]
     # copies of one page prove nothing
     assert not any(marked[d] for d in marked if d > 50)
 

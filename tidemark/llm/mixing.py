@@ -55,6 +55,11 @@ def thin(docs: DataFrame, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("at"), F.monotonically_increasing_id().alias("row"))
 
 
+def _range(at: Column) -> Column:
+    """The hash range of a row; the seeded order is by range, then by the hash itself."""
+    return F.pmod(F.shiftrightunsigned(at, 40), F.lit(RANGES)).cast("int")
+
+
 def decided(rows: DataFrame, weight: Column | None = None, max_epochs: float = 3.0) -> DataFrame:
     """rows (see `thin`, written) with source_size, target, whole (repetitions of every row) and extra (1 for the rows that get one more)."""
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -65,17 +70,21 @@ def decided(rows: DataFrame, weight: Column | None = None, max_epochs: float = 3
         F.col("source").alias("of"), "source_size", "target", F.floor(rate + 1e-12).cast("long").alias("whole"), ((rate - F.floor(rate + 1e-12)) * F.col("source_size")).alias("rest")
     )
     # the running sum in the seeded order: over the ranges first, then within each
-    rows = rows.withColumn("range", F.pmod(F.shiftrightunsigned("at", 40), F.lit(RANGES)).cast("int"))
+    rows = rows.withColumn("range", _range(F.col("at")))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "n", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    both = before.join(targets, before["s"].eqNullSafe(F.col("of")))
-    # a range that is wholly taken or wholly left needs no order
-    placed = rows.join(broadcast_small(written(both, "mix-ranges")), rows["source"].eqNullSafe(F.col("s")) & (rows["range"] == F.col("r")))
-    edge = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest"))
+    both = written(before.join(targets, before["s"].eqNullSafe(F.col("of"))), "mix-ranges")
+    # ranges below `low` are wholly taken and those above `high` wholly left; only what is between needs an order
+    low, high = F.min(F.when(F.col("before") + F.col("n") >= F.col("rest"), F.col("r"))), F.max(F.when(F.col("before") <= F.col("rest"), F.col("r")))
+    edges = broadcast_small(written(both.groupBy("of", "source_size", "target", "whole", "rest").agg(low.alias("low"), high.alias("high")), "mix-edges"))
+    placed = rows.join(edges, rows["source"].eqNullSafe(F.col("of")))
     keep = [*rows.columns, "source_size", "target", "whole"]
-    clear = placed.where(~edge).select(*keep, F.when(F.col("before") < F.col("rest"), 1).otherwise(0).alias("extra"))
+    between = F.coalesce(F.col("range").between(F.col("low"), F.col("high")), F.lit(False))
+    clear = placed.where(~between).select(*keep, F.when(F.col("low").isNull() | (F.col("range") < F.col("low")), 1).otherwise(0).alias("extra"))
+    first = both.join(edges.select(F.col("of").alias("o"), "low", "high"), both["s"].eqNullSafe(F.col("o")) & both["r"].between(F.col("low"), F.col("high"))).select(F.col("s").alias("s2"), F.col("r").alias("r2"), "before")
+    cut = placed.where(between).join(broadcast_small(first), rows["source"].eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
     within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
-    cut = placed.where(edge).withColumn("reached", F.col("before") + within)
+    cut = cut.withColumn("reached", F.col("before") + within)
     cut = cut.select(*keep, F.when(F.col("reached") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0).alias("extra"))
     return clear.unionByName(cut).drop("range")
 
@@ -100,7 +109,7 @@ def mixed_documents(docs: DataFrame, weight: Column | None = None, max_epochs: f
     """
     own = docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("row"))
     own = written(own, "mix-docs")
-    order = F.struct("at", "doc_id", "size", "row")
+    order = F.struct(_range(F.col("at")).alias("range"), "at", "doc_id", "size", "row")
     facts = [F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("size"), F.xxhash64(F.lit(seed), "doc.doc_id", "doc.text").alias("at"), F.col("row")]
     rows = own.select(*facts)
     last = decided(written(rows, "mix"), weight, max_epochs).groupBy("source", "whole").agg(F.max(F.when(F.col("extra") == 1, order)).alias("last"))
