@@ -77,7 +77,7 @@ def clamped(v: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v))
 
 
-def technical_score(c=F.col) -> Column:
+def technical_score(c=F.col, extra: Column | float = 0.0) -> Column:
     """From close, ma5, ma20, weekly_ma, rsi, macd_status, cross, bb_status, ma_cross."""
     structure = points((c("close") > c("ma5"), 10)) + points((c("ma5") > c("ma20"), 10)) + points((c("close") > c("ma20"), 10))
     weekly = points(((c("weekly_ma") > 0) & (c("close") > c("weekly_ma")), 15))
@@ -87,10 +87,10 @@ def technical_score(c=F.col) -> Column:
     trend = points((m == "bullish_strong", 20), ((m == "bullish_recovery") | (c("cross") == "golden"), 15), (m == "neutral", 8))
     band = points((c("bb_status") == "squeezing", 8), (c("bb_status") == "expanding", 5))
     crossed = points((c("ma_cross") == "golden_cross", 6), (c("ma_cross") == "death_cross", -8))
-    return clamped(structure + weekly + strength + trend + band + crossed)
+    return clamped(structure + weekly + strength + trend + band + crossed + extra)
 
 
-def momentum_score(c=F.col) -> Column:
+def momentum_score(c=F.col, extra: Column | float = 0.0) -> Column:
     """An unknown or zero spike counts as 1. From m6, m3, rs6, rs3, accel, cum_yoy, rev_streak, volume, spike, bias, divergence, obv_rising, j."""
     m6, m3 = F.coalesce(c("m6"), F.lit(0.0)), F.coalesce(c("m3"), F.lit(0.0))
     price = by_band(m6, MOM_6M) + by_band(m3, MOM_3M) + points(((m6 > 12) & (m3 < -5), -8))
@@ -102,7 +102,7 @@ def momentum_score(c=F.col) -> Column:
     health = F.when(c("volume") >= 500, by_band(spike, SPIKE)).otherwise(0.0)
     health = health + points(((b > 0) & (b <= 8), 10), (b.between(-5, 0), 8), ((b > 8) & (b <= 15), 5), (b > 15, 1), ((b >= -12) & (b < -5), 3))
     health = health + points((c("divergence"), -5), (c("obv_rising"), 5)) + points((c("j") > 100, -3))
-    return clamped(price + relative + revenue + health)
+    return clamped(price + relative + revenue + health + extra)
 
 
 def horizon_ratio(foreign: Column, trust: Column) -> Column:
@@ -144,6 +144,16 @@ def streak_whale_score(c=F.col) -> Column:
     return clamped(base + clamped(more, -25, 25) + _holders(c, known("net5")))
 
 
+def overlays(c=F.col) -> dict[str, tuple[Column | float, Column | float]]:
+    """Points that a variant of the signals adds to the technical and to the momentum score."""
+    b, rs3 = c("percent_b"), F.coalesce(c("rs3"), F.lit(0.0))
+    relative = points(((c("rs6") > 20) & (rs3 > 0), 8), (c("rs6") > 8, 5), (c("rs6") > 0, 2), (c("rs6") < -15, -6), (c("rs6") < -5, -3))
+    return {
+        "base": (0.0, 0.0), "no_relative_strength": (0.0, -relative), "percent_b": (points((b.between(0.5, 0.95), 5), (b > 1.05, -4), (b < 0.05, -2)), 0.0),
+        "kd": (points(((c("k") > c("d_")) & c("j").between(20, 90), 5), ((c("k") < c("d_")) & (c("j") < 20), -3)), 0.0), "obv_trend": (0.0, points((c("obv_above_ma20"), 4), (~c("obv_above_ma20"), -2))),
+    }
+
+
 def comment_tags(c=F.col) -> Column:
     """Tags of a pre-score, joined by +, from whale, technical and the days of buying and selling."""
     more = lambda a, b, name: F.when((c(a) > 0) | (c(b) > 0), name)

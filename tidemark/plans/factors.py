@@ -235,10 +235,10 @@ def c2_slice(p):
     return s.join(F.broadcast(last), F.col("d") == F.col("_last")).orderBy(F.desc("c2"), "id").limit(10).select("id", "d", r4(F.col("c2")).alias("c2"))
 
 
-@query("composites", SCORED + f" SELECT id, d, {R4('(pm + ph) / 2')} AS c1, {R4('(ph + pb + pv) / 3')} AS c3, {R4('CASE WHEN AVG(mom) OVER (PARTITION BY d) > 0 THEN pm ELSE pb END')} AS c4 FROM scored")
+@query("composites", SCORED + f" SELECT id, d, {R4('(pm + ph) / 2')} AS c1, {R4('c2')} AS c2, {R4('(ph + pb + pv) / 3')} AS c3, {R4('CASE WHEN AVG(mom) OVER (PARTITION BY d) > 0 THEN pm ELSE pb END')} AS c4 FROM scored")
 def composites(p):
     up = F.avg("mom").over(Window.partitionBy("d")) > 0
-    return scored(p).select("id", "d", r4((F.col("pm") + F.col("ph")) / 2).alias("c1"), r4((F.col("ph") + F.col("pb") + F.col("pv")) / 3).alias("c3"), r4(F.when(up, F.col("pm")).otherwise(F.col("pb"))).alias("c4"))
+    return scored(p).select("id", "d", r4((F.col("pm") + F.col("ph")) / 2).alias("c1"), r4(F.col("c2")).alias("c2"), r4((F.col("ph") + F.col("pb") + F.col("pv")) / 3).alias("c3"), r4(F.when(up, F.col("pm")).otherwise(F.col("pb"))).alias("c4"))
 
 
 @query("bucket_stats", SCORED + f" SELECT rating, COUNT(fwd) AS n, {R4('AVG(fwd)')} AS mean, {R4('MEDIAN(fwd)')} AS median, {R4('AVG((fwd > 0)::INT) * 100')} AS win, {R4('STDDEV_SAMP(fwd)')} AS sd FROM scored WHERE fwd IS NOT NULL GROUP BY rating")

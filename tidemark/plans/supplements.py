@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scores as R
 from tidemark.operators import factors as X
 from tidemark.operators import portfolio as B
 from tidemark.operators import regime as K
@@ -16,6 +17,7 @@ from tidemark.sources import store
 from .base import R4, query, r4
 from .factors import SCORED, cohorts, scored
 from .portfolios import HELD, REGIME, entries, nets
+from .snapshot import _ENDS, DIMS, FEATURES, MOMENTUM, RATED, TECHNICAL, dimensions, month_ends, rated, statement_facts
 
 S = Series()
 
@@ -40,23 +42,57 @@ def spreads(long):
     return s.groupBy("variant").agg(F.count("*").alias("days"), r4(F.avg("spread")).alias("mean"))
 
 
+#: Shares of the growth-adjusted price in the valuation, in percent; the rest is the price's own history.
 MIXES = (55, 70, 85, 100)
+_FWD = ", fw AS (SELECT id, d, (LEAD(close, 20) OVER (PARTITION BY id ORDER BY d) / close - 1) * 100 AS fwd FROM sbars)"
 
 
-@query("val_variants", SCORED + ", " + _spreads("sp", f"SELECT w AS variant, d, id, fwd, FLOOR((w / 100.0::DOUBLE * pb + (1 - w / 100.0::DOUBLE) * pv) * 1000000 + 0.5) AS v FROM scored, (VALUES {', '.join(f'({w})' for w in MIXES)}) m(w)") + f" SELECT variant, COUNT(x) AS days, {R4('AVG(x)')} AS mean FROM sp WHERE x IS NOT NULL GROUP BY variant")
+def with_forward(p, rows):
+    """rows at month ends with the return over the next 20 bars."""
+    fwd = p.sbars.select("id", "d", ((S.lead("close", 20) / F.col("close") - 1) * 100).alias("fwd"))
+    return rows.join(month_ends(p), "d", "left_semi").join(fwd, ["id", "d"])
+
+
+@query("val_variants", DIMS + _FWD + ", " + _spreads("sp", f"SELECT w AS variant, d, id, fwd, FLOOR(CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN va * (w / 100.0::DOUBLE) + vb * (1 - w / 100.0::DOUBLE) ELSE COALESCE(va, vb) END * 1000000 + 0.5) AS v FROM dm JOIN fw USING (id, d), (VALUES {', '.join(f'({w})' for w in MIXES)}) m(w) WHERE {_ENDS}") + f" SELECT variant, COUNT(x) AS days, {R4('AVG(x)')} AS mean FROM sp WHERE x IS NOT NULL GROUP BY variant")
 def val_variants(p):
-    w = F.col("variant") / 100.0
-    long = scored(p).withColumn("variant", F.explode(F.array(*map(F.lit, MIXES)))).withColumn("v", F.floor((w * F.col("pb") + (1 - w) * F.col("pv")) * 1000000 + 0.5))
-    return spreads(long)
+    """Spread of the valuation by the share that the growth-adjusted price has in it."""
+    rows = with_forward(p, dimensions(p)).withColumn("variant", F.explode(F.array(*map(F.lit, MIXES))))
+    a = R.peg_score(F.when((F.col("pe") > 0) & (F.col("growth") > 0), F.col("pe") / F.col("growth")))
+    b, w = 100 - F.col("pe_pct"), F.col("variant") / 100.0
+    return spreads(rows.withColumn("v", F.floor(F.when(a.isNotNull() & b.isNotNull(), a * w + b * (1 - w)).otherwise(F.coalesce(a, b)) * 1000000 + 0.5)))
+
+
+_RS = "CASE WHEN rs6 > 20 AND COALESCE(rs3, 0) > 0 THEN 8 WHEN rs6 > 8 THEN 5 WHEN rs6 > 0 THEN 2 WHEN rs6 < -15 THEN -6 WHEN rs6 < -5 THEN -3 ELSE 0 END"
+VARIANTS = {
+    "base": ("0", "0"), "no_relative_strength": ("0", f"-({_RS})"), "percent_b": ("CASE WHEN percent_b BETWEEN 0.5::DOUBLE AND 0.95::DOUBLE THEN 5 WHEN percent_b > 1.05::DOUBLE THEN -4 WHEN percent_b < 0.05::DOUBLE THEN -2 ELSE 0 END", "0"),
+    "kd": ("CASE WHEN k > d_ AND j BETWEEN 20 AND 90 THEN 5 WHEN k < d_ AND j < 20 THEN -3 ELSE 0 END", "0"), "obv_trend": ("0", "CASE WHEN obv_above_ma20 THEN 4 WHEN NOT obv_above_ma20 THEN -2 ELSE 0 END"),
+}
+
+
+def _with(score, extra):
+    return score[: -len("))::DOUBLE")] + f" + {extra}))::DOUBLE"
 
 
-FLAGS = {"base": "pm + ph", "with_value": "pm + ph + pb", "with_volume": "pm + ph + pv", "all": "pm + ph + pb + pv"}
+def _composite(extra):
+    return f"(w1 * fundamental + (v2 - cut) * valuation + v3 * {_with(TECHNICAL, extra[0])} + (v4 + cut * 0.6::DOUBLE) * {_with(MOMENTUM, extra[1])} + (v5 + cut * 0.4::DOUBLE) * whale) / (w1 + (v2 - cut) + v3 + (v4 + cut * 0.6::DOUBLE) + (v5 + cut * 0.4::DOUBLE))"
 
 
-@query("signal_ab", SCORED + ", " + _spreads("sp", " UNION ALL ".join(f"SELECT '{k}' AS variant, d, id, fwd, FLOOR(({v}) * 1000000 + 0.5) AS v FROM scored" for k, v in FLAGS.items())) + f" SELECT variant, COUNT(x) AS days, {R4('AVG(x)')} AS mean FROM sp WHERE x IS NOT NULL GROUP BY variant")
+@query("signal_ab", RATED + _FWD + ", " + _spreads("sp", " UNION ALL ".join(f"SELECT '{k}' AS variant, d, id, fwd, FLOOR({_composite(v)} * 1000000 + 0.5) AS v FROM rc JOIN fw USING (id, d) WHERE mode = 'balanced' AND {_ENDS}" for k, v in VARIANTS.items())) + f" SELECT variant, COUNT(x) AS days, {R4('AVG(x)')} AS mean FROM sp WHERE x IS NOT NULL GROUP BY variant")
 def signal_ab(p):
-    long = scored(p).select("d", "id", "fwd", *[F.floor(F.expr(v) * 1000000 + 0.5).alias(k) for k, v in FLAGS.items()]).unpivot(["d", "id", "fwd"], list(FLAGS), "variant", "v")
-    return spreads(long)
+    """Spread of the balanced composite with each signal switched on or off."""
+    rows = with_forward(p, rated(p).where("mode = 'balanced'"))
+    strong = F.coalesce(F.expr("close > ma20 AND ma5 >= ma20 AND bias >= 7 AND rsi >= 53"), F.lit(False))
+    out = {}
+    for name, (t, m) in R.overlays().items():
+        own = {"technical": R.technical_score(extra=t), "momentum": R.momentum_score(extra=m)}
+        out[name] = F.floor(R.composite_score(F.col("regime"), strong, lambda c, own=own: own.get(c, F.col(c))) * 1000000 + 0.5)
+    return spreads(rows.select("d", "id", "fwd", *[v.alias(k) for k, v in out.items()]).unpivot(["d", "id", "fwd"], list(out), "variant", "v"))
+
+
+@query("statement_ratios", FEATURES + f" SELECT id, known, {', '.join(f'{R4(c)} AS {c}' for c in ('net_margin', 'gross_margin', 'roe', 'asset_turnover', 'debt_to_asset', 'current_ratio', 'eps_cagr', 'ocf_to_income', 'operating_share'))}, ocf, fcf, ni FROM st")
+def statement_ratios(p):
+    """Every quarter's ratios, as known from their day on."""
+    return statement_facts(p).select("id", "known", *[r4(F.col(c)).alias(c) for c in ("net_margin", "gross_margin", "roe", "asset_turnover", "debt_to_asset", "current_ratio", "eps_cagr", "ocf_to_income", "operating_share")], "ocf", "fcf", "ni")
 
 
 @query("regime_asof", REGIME + ", e AS (SELECT id, UNNEST(GENERATE_SERIES(DATE '1995-01-31', DATE '2001-12-31', INTERVAL 1 MONTH))::DATE AS x FROM dim), m AS (SELECT id, LAST_DAY(x) AS day FROM e) SELECT m.id, m.day, COALESCE(reg.raw, 'neutral') AS regime FROM m ASOF LEFT JOIN reg ON reg.id = m.id AND m.day >= reg.d")
