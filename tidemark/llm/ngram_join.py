@@ -45,7 +45,7 @@ from .repeats import as_batch, buckets_for, by_bucket, in_parts, one_by_one, rea
 WORDS = 4
 PERCENT = 85
 #: Sets that one task searches at a time: of a large group, and of small ones together.
-SHARD = 512
+SHARD = 2048
 BIN = 512
 LEADERS = 8
 #: Words that a task holds while it deals out their shingles.
