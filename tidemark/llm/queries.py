@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, warc
+from . import collocations, decontamination, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLE: dict[str, str] = {
         FROM r""",
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
