@@ -361,7 +361,14 @@ def survivors(rows, items, field):
     for i in range(len(kept)):
         groups[top(i)].append(i)
     rows = [kept[min(g, key=lambda i: (kept[i][0] is None, kept[i][0] or 0))] for g in groups.values()]
-    return [r for r in rows if not any(q and len(q & {" ".join(words(r[1])[i : i + min(5, len(words(t)))]) for i in range(len(words(r[1])))}) >= 0.8 * len(q) for t in items for q in [grams(t)])]
+    tested = [q for t in items if (q := grams(t))]
+
+    def holds_an_item(text):
+        ws = words(text)
+        runs = {n: {" ".join(ws[i : i + n]) for i in range(len(ws))} for n in {len(next(iter(q)).split()) for q in tested}}
+        return any(len(q & runs[len(next(iter(q)).split())]) >= 0.8 * len(q) for q in tested)
+
+    return [r for r in rows if not holds_an_item(r[1])]
 
 
 def test_pipeline(spark, folder):

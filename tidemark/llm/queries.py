@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontamination, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, warc
+from . import collocations, decontamination, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
     "op11_collocations": collocations.op11_collocations,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLE: dict[str, str] = {
