@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,7 +39,7 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A candidate is dropped if a longer one that holds it is found this many hundredths as often.
 DOMINANCE = 50
 #: Bytes of text in a shard, and of all texts for each part of the sketch, which has 2^BITS counters.
-SHARD_BYTES, PART_BYTES, BITS = 8 << 20, 8 << 20, 24
+SHARD_BYTES, PART_BYTES, BITS = 8 << 20, 8 << 20, 22
 #: Copies of the counts that the parts of phrases are joined with, so that a word that a third of them share is no one task.
 SALTS = 16
 
@@ -48,7 +50,7 @@ _BREAK[[10, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 SHARDS = "shard long, part int, lang string, payload binary"
-COUNTS = "lang string, phrase string, size int, f long"
+COUNTS = "lang string, phrase string, f long"
 
 
 def packed(buckets: np.ndarray, counts: np.ndarray | None = None) -> bytes:
@@ -184,30 +186,59 @@ def scanned(plain: bytes, phrases: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(phrases))
 
 
+def packed_counts(phrases: list[str], counts: list[int]) -> bytes:
+    """Phrases, in order, and their counts in few bytes."""
+    plain = "\n".join(phrases).encode()
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(plain)], "<i8").tobytes() + plain + np.array(counts, "<i8").tobytes())
+
+
+def unpacked_counts(payload: bytes) -> tuple[list[str], np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    end = 8 + int(np.frombuffer(data, "<i8", 1)[0])
+    return data[8:end].decode().split("\n"), np.frombuffer(data[end:], "<i8").astype(np.int64)
+
+
 def shard_counts(texts: DataFrame, heavy: DataFrame, parts: int, most: int) -> DataFrame:
-    """Counts of each shard's candidates, and of its words (under the empty phrase)."""
+    """Counts of each shard's candidates, packed by part of the sketch, and of its words (under the empty phrase)."""
 
     def count(texts: pa.Table, heavy: pa.Table) -> pa.Table:
         reached = [(p << BITS) + unpacked(b, False)[0] for p, b in sorted(zip(heavy.column("part").to_pylist(), heavy.column("payload").to_pylist(), strict=True))]
         reached = np.concatenate(reached) if reached else np.zeros(0, np.int64)
-        out: list[list] = [[], [], [], []]
+        out: list[tuple] = []
         for lang, blob in zip(texts.column("lang").to_pylist(), texts.column("payload"), strict=True):
             plain = zstandard.ZstdDecompressor().decompress(blob.as_py())
             phrases = Phrases(plain, lang, most)
-            candidates, sizes = [], []
+            candidates: list[tuple[int, str]] = []
             for n in range(1, most + 1):
                 part, bucket = places(phrases.keys(n), parts)
                 place = part << BITS | bucket
                 at = np.searchsorted(reached, place)
                 which = np.flatnonzero(reached[np.minimum(at, len(reached) - 1)] == place) if len(reached) else np.zeros(0, np.int64)
-                candidates += phrases.texts(n, which)
-                sizes += [n] * len(which)
-            counts = scanned(plain, candidates) if candidates else np.zeros(0, np.int64)
-            for column, values in zip(out, ([lang] * (len(candidates) + 1), ["", *candidates], [0, *sizes], [len(phrases.ids), *counts.tolist()]), strict=True):
-                column.extend(values)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "f"])
+                candidates += zip(part[which].tolist(), phrases.texts(n, which), strict=True)
+            counts = scanned(plain, [p for _, p in candidates]) if candidates else []
+            rows = sorted([(0, "", len(phrases.ids)), *((part, phrase, int(c)) for (part, phrase), c in zip(candidates, counts, strict=True))])
+            for part, group in groupby(rows, itemgetter(0)):
+                _, names, sums = zip(*group, strict=True)
+                out.append((0, part, lang, packed_counts(names, sums)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["shard", "part", "lang", "payload"])
+
+    return texts.groupBy("shard").cogroup(heavy.groupBy("shard")).applyInArrow(count, SHARDS)
+
+
+def summed(counts: DataFrame, min_count: int) -> DataFrame:
+    """The sums over all shards of each language's phrases, of at least min_count, and of its words."""
+
+    def add(part: pa.Table) -> pa.Table:
+        langs, phrases, sums = [], [], []
+        for lang, payload in zip(part.column("lang").to_pylist(), part.column("payload"), strict=True):
+            names, values = unpacked_counts(payload.as_py())
+            langs.append(pa.repeat(pa.scalar(lang, pa.string()), len(names)))
+            phrases.append(pa.array(names, pa.string()))
+            sums.append(pa.array(values, pa.int64()))
+        whole = pa.table([pa.chunked_array(c) for c in (langs, phrases, sums)], names=["lang", "phrase", "f"]).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        return whole.rename_columns(["lang", "phrase", "f"]).filter((pc.field("f") >= min_count) | (pc.field("phrase") == ""))
 
-    return texts.groupBy("shard").cogroup(heavy.groupBy("shard")).applyInArrow(count, COUNTS)
+    return counts.groupBy("part").applyInArrow(add, COUNTS)
 
 
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -216,8 +247,9 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS,
     parts = max(1, math.ceil(total / part_bytes))
     made = written(shards(docs, parts, min_count, most, shard_bytes), "phrase-shards")
     heavy = heavy_counters(made.where("part >= 0"), min_count)
-    counts = shard_counts(made.where("part < 0"), heavy, parts, most).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return written(counts.where((F.col("f") >= min_count) | (F.col("size") == 0)), "phrase-counts")
+    counts = summed(shard_counts(made.where("part < 0"), heavy, parts, most), min_count)
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return written(counts.select("lang", "phrase", size.alias("size"), "f"), "phrase-counts")
 
 
 def part_of(first, last) -> F.Column:
