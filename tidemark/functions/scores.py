@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import scaled
+from .numeric import scaled, weighted_mean_of_present
 
 Bands = list[tuple[float, float]]
 
@@ -238,6 +238,34 @@ def valuation_score(c=F.col) -> Column:
     return F.coalesce(c("industry_pct"), F.when(bubble, F.least(mix, F.lit(30.0))).otherwise(mix))
 
 
+#: Bounds of the absolute valuation, (value of 0, value of 100), and the weight of each: fixed values.
+ABSOLUTE = {"pe": (30.0, 8.0, 0.35), "pb": (4.0, 0.8, 0.25), "ps": (8.0, 0.5, 0.20), "dividend_yield": (0.0, 6.0, 0.20)}
+
+
+def absolute_valuation(c=F.col) -> Column:
+    """0 to 100 from pe, pb, ps and dividend_yield (0: unknown) between fixed bounds, by weights renormalised to what is known; null where nothing is."""
+    known = {k: F.nullif(c(k), F.lit(0.0)) if k == "dividend_yield" else c(k) for k in ABSOLUTE}
+    return weighted_mean_of_present([(F.when(known[k].isNotNull(), scaled(known[k], low, high)), w) for k, (low, high, w) in ABSOLUTE.items()])
+
+
+def valuation_basis(c=F.col) -> Column:
+    """What the valuation rests on: industry, growth+history, growth, history, absolute or none."""
+    growth = F.when((c("pe") > 0) & (c("growth") > 0), "growth")
+    history = F.when(c("pe_pct").isNotNull() | c("pb_pct").isNotNull(), "history")
+    absolute = F.when(absolute_valuation(c).isNotNull(), "absolute").otherwise("none")
+    return F.when(c("industry_pct").isNotNull(), "industry").otherwise(F.coalesce(F.nullif(F.concat_ws("+", growth, history), F.lit("")), absolute))
+
+
+def valuation_confidence(c=F.col) -> Column:
+    """80 and 5 for each further lens under the industry's rank; else 100 less 12 (of history) or 20 (absolute) for each missing one."""
+    lack = lambda *names: sum((F.when(c(n).isNull(), 1).otherwise(0) for n in names), F.lit(0))
+    lenses = 3 - lack("pe_pct", "pb_pct", "yield_pct") + F.when(F.coalesce((c("pe") > 0) & (c("growth") > 0), F.lit(False)), 1).otherwise(0)
+    history = F.when(c("pe_pct").isNotNull() | c("pb_pct").isNotNull(), lack("pe_pct", "pb_pct", "yield_pct")).otherwise(3)
+    absolute = lack("pe", "pb", "ps") + F.when(F.nullif(c("dividend_yield"), F.lit(0.0)).isNull(), 1).otherwise(0)
+    basis = valuation_basis(c)
+    return F.when(basis == "industry", F.least(F.lit(100.0), 80.0 + lenses * 5.0)).when(basis.isin("absolute", "none"), F.greatest(F.lit(0.0), 100.0 - absolute * 20.0)).otherwise(F.greatest(F.lit(40.0), 100.0 - history * 12.0))
+
+
 def valuation_status(score: Column) -> Column:
     return F.when(score >= 65, "cheap").when(score >= 40, "fair").when(score.isNotNull(), "dear").otherwise("unknown")
 
@@ -300,14 +328,15 @@ def sector(override: Column, c=F.col) -> Column:
 
 
 def trade_plan(c=F.col) -> dict[str, Column]:
-    """entry_low, entry_high, stop, target1, target2 (twice the risk), distance, in_zone, rr and note from close, atr, val, poc, vah, ma20; each uses those before it."""
+    """entry_low, entry_high, stop, target1, target2 (twice the risk), distance, in_zone, rr and note from close, atr, val, poc, vah, support, resistance, ma20; each uses those before it."""
     price, a = c("close"), c("atr")
     fresh = lambda x: F.when(c(x) >= price * 0.75, c(x))
     near = lambda x: F.when(x <= price * 1.02, x)
     high = F.coalesce(F.least(near(fresh("poc")), near(c("ma20"))), price - 0.5 * a)
-    low = F.coalesce(F.when(fresh("val") < c("entry_high"), fresh("val")), c("entry_high") - 1.5 * a)
+    below = lambda x: F.when(fresh(x) < c("entry_high"), fresh(x))
+    low = F.coalesce(F.greatest(below("val"), below("support")), c("entry_high") - 1.5 * a)
     stop = F.when(c("entry_low") - 1.5 * a > 0, c("entry_low") - 1.5 * a).otherwise(c("entry_low") * 0.95)
-    target = F.greatest(F.coalesce(F.when(c("vah") > price, c("vah")), price + 2 * a), price + a)
+    target = F.greatest(F.coalesce(F.when(c("vah") > price, c("vah")), F.when(c("resistance") > price, c("resistance")), price + 2 * a), price + a)
     risk = c("entry_high") - c("stop")
     note = F.when(c("in_zone") & (c("distance") <= -3), "below_the_zone").when(c("in_zone"), "in_the_zone").when(c("distance") <= 4, "just_above").otherwise("too_high")
     return {

@@ -24,44 +24,97 @@ def correlation(a: str, b: str) -> Column:
     return (n * xy - x * y) / F.nullif(F.sqrt((n * xx - x * x) * (n * yy - y * y)), F.lit(0.0))
 
 
+def _met_blocks(rows: DataFrame, name: str, day: str, value: str, block: int) -> DataFrame:
+    """Every two blocks of about `block` names with the values of both; a task holds two blocks over the calendar, however many names there are."""
+    held = rows.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
+    blocks = max(1, -(-held.select("name").distinct().count() // block))
+    own, other = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return held.withColumn("own", own).withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+
+def _block_pairs(low: int, high: int, x: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left names, right names, days in common, correlation) of the pairs of two blocks, from matrices of names by days."""
+    names, of = np.unique(x["name"].to_numpy(), return_inverse=True)
+    at = np.unique(x["day"].to_numpy(), return_inverse=True)[1]
+    block_of = np.zeros(len(names), np.int64)
+    block_of[of] = x["own"].to_numpy()
+    v, m = np.zeros((len(names), at.max() + 1)), np.zeros((len(names), at.max() + 1))
+    r = x["v"].to_numpy()
+    # means drop out of a correlation; without them the sums lose no digits
+    v[of, at], m[of, at] = r - (np.bincount(of, r) / np.bincount(of))[of], 1
+    a, b = block_of == low, block_of == high
+    n = m[a] @ m[b].T
+    va, vb, ma, mb = v[a], v[b], m[a], m[b]
+    sa, sb, saa, sbb = va @ mb.T, ma @ vb.T, (va * va) @ mb.T, ma @ (vb * vb).T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        xx, yy = saa - sa * sa / n, sbb - sb * sb / n
+        c = np.where((xx > 1e-12 * saa) & (yy > 1e-12 * sbb), (va @ vb.T - sa * sb / n) / np.sqrt(xx * yy), np.nan)
+    i, j = np.nonzero((n >= least) & ((low != high) | (names[a][:, None] < names[b][None, :])))
+    return names[a][i], names[b][j], n[i, j].astype(np.int64), c[i, j]
+
+
 def pair_correlations(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
     """(a, b, n, c): Pearson correlation of each pair of names, a < b, over the `least` days or more that both have.
 
-    Names are dealt to blocks of about `block`, and every two blocks meet as matrices of names by days, whose products
-    are the sums of all their pairs. A task holds two blocks over the calendar, however many names there are. c is null
-    where one doesn't vary.
+    Names are dealt to blocks, and every two blocks meet once. c is null where one doesn't vary.
     """
-    held = rows.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
-    blocks = max(1, -(-held.select("name").distinct().count() // block))
-    own, other = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = held.withColumn("own", own).withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    kind = dict(held.dtypes)["name"]
+    met = _met_blocks(rows, name, day, value, block)
+    kind = dict(met.dtypes)["name"]
 
     def run(key, x: pd.DataFrame) -> pd.DataFrame:
-        low, high = key
-        names, of = np.unique(x["name"].to_numpy(), return_inverse=True)
-        at = np.unique(x["day"].to_numpy(), return_inverse=True)[1]
-        block_of = np.zeros(len(names), np.int64)
-        block_of[of] = x["own"].to_numpy()
-        v, m = np.zeros((len(names), at.max() + 1)), np.zeros((len(names), at.max() + 1))
-        r = x["v"].to_numpy()
-        # means drop out of a correlation; without them the sums lose no digits
-        v[of, at], m[of, at] = r - (np.bincount(of, r) / np.bincount(of))[of], 1
-        a, b = block_of == low, block_of == high
-        n = m[a] @ m[b].T
-        va, vb, ma, mb = v[a], v[b], m[a], m[b]
-        sa, sb, saa, sbb = va @ mb.T, ma @ vb.T, (va * va) @ mb.T, ma @ (vb * vb).T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            xx, yy = saa - sa * sa / n, sbb - sb * sb / n
-            c = np.where((xx > 1e-12 * saa) & (yy > 1e-12 * sbb), (va @ vb.T - sa * sb / n) / np.sqrt(xx * yy), np.nan)
-        i, j = np.nonzero((n >= least) & ((low != high) | (names[a][:, None] < names[b][None, :])))
-        left, right = names[a][i], names[b][j]
+        left, right, n, c = _block_pairs(*key, x, least)
         swap = left > right
-        return pd.DataFrame({"a": np.where(swap, right, left), "b": np.where(swap, left, right), "n": n[i, j].astype(np.int64), "c": c[i, j]})
+        return pd.DataFrame({"a": np.where(swap, right, left), "b": np.where(swap, left, right), "n": n, "c": c})
 
     return met.groupBy("low", "high").applyInPandas(run, f"a {kind}, b {kind}, n long, c double")
 
 
+def correlation_sums(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
+    """(name, pairs, known, total): of each name, its pairs over `least` days or more, those with a correlation, and the sum of these.
+
+    The sums are made where two blocks meet, so that no pair leaves its task.
+    """
+    met = _met_blocks(rows, name, day, value, block)
+    kind = dict(met.dtypes)["name"]
+
+    def run(key, x: pd.DataFrame) -> pd.DataFrame:
+        left, right, _, c = _block_pairs(*key, x, least)
+        both = pd.DataFrame({"name": np.concatenate([left, right]), "pairs": 1, "known": np.tile(~np.isnan(c), 2).astype(np.int64), "total": np.tile(np.nan_to_num(c), 2)})
+        return both.groupby("name", as_index=False).sum()
+
+    sums = met.groupBy("low", "high").applyInPandas(run, f"name {kind}, pairs long, known long, total double")
+    return sums.groupBy(F.col("name").alias(name)).agg(F.sum("pairs").alias("pairs"), F.sum("known").alias("known"), F.sum("total").alias("total"))
+
+
+def low_correlation_names(rows: DataFrame, size: int, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
+    """(place, name): `size` names by greedy choice, each the one of least summed correlation with those chosen before it.
+
+    The first is the one of least mean correlation with all others. A pair without a correlation counts as 1; of equals
+    the least name comes first. Each round reads the rows once against the chosen names' (size x calendar rows), and only
+    the name it chooses comes to the driver.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(F.col(name), F.col(day), F.col(value).cast("double").alias("_v")).persist()
+    try:
+        names = held.select(name).distinct()
+        n = names.count()
+        sums = names.join(correlation_sums(held, name, day, "_v", least, block), name, "left")
+        missing = n - 1 - F.coalesce("known", F.lit(0))
+        seed = sums.orderBy(F.coalesce("total", F.lit(0.0)) + missing, name).first()
+        chosen = [seed[name]] if seed else []
+        while len(chosen) < min(size, n):
+            peers = held.where(F.col(name).isin(chosen)).select(F.col(name).alias("_peer"), day, F.col("_v").alias("_w"))
+            met = held.where(~F.col(name).isin(chosen)).join(F.broadcast(peers), day).groupBy(name, "_peer")
+            each = met.agg(F.when(F.count("*") >= least, correlation("_v", "_w")).alias("_c")).groupBy(name).agg(F.sum("_c").alias("_sum"), F.count("_c").alias("_n"))
+            left = names.where(~F.col(name).isin(chosen)).join(each, name, "left")
+            best = left.orderBy(F.coalesce("_sum", F.lit(0.0)) + len(chosen) - F.coalesce("_n", F.lit(0)), name).first()
+            chosen.append(best[name])
+    finally:
+        held.unpersist()
+    place = F.array_position(F.array(*map(F.lit, chosen)), F.col(name)).cast("int") if chosen else F.lit(None).cast("int")
+    picked = rows.where(F.col(name).isin(chosen)) if chosen else rows.limit(0)
+    return picked.select(name).distinct().select(place.alias("place"), name)
+
+
 def ic_summary(ic: DataFrame, *by: str) -> DataFrame:
     """(*by, days, mean, sd, icir, t, positive) of daily ICs."""
     m, s, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")

@@ -40,8 +40,8 @@ def weekly_as_of(bars: DataFrame, weeks: int = 20) -> DataFrame:
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, signal, cross (golden, death, none), macd_status; null status before the slow span is full."""
     i = (F.col("t") - 1).cast("double")
-    rows = bars.withColumn("macd", S.smoothed("close", fast, i) - S.smoothed("close", slow, i))
-    rows = rows.withColumn("signal", S.smoothed("macd", signal, i)).withColumns({"_m": S.lag("macd"), "_s": S.lag("signal"), "_mid": S.mean("close", 20)})
+    rows = S.smoothed(bars, i, _fast=("close", fast), _slow=("close", slow)).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    rows = S.smoothed(rows, i, signal=("macd", signal)).withColumns({"_m": S.lag("macd"), "_s": S.lag("signal"), "_mid": S.mean("close", 20)})
     up = (F.col("_m") <= F.col("_s")) & (F.col("macd") > F.col("signal"))
     down = (F.col("_m") >= F.col("_s")) & (F.col("macd") < F.col("signal"))
     status = (

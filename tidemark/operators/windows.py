@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,37 @@ class Series:
         r = F.col(r) if isinstance(r, str) else r
         return F.exp(F.sum(F.log1p(r)).over(self.past))
 
-    def smoothed(self, v: str, span: int, index: Column) -> Column:
-        """Exponential mean with alpha 2 / (span + 1), started at the first value, as a weighted running sum.
+    def smoothed(self, rows: DataFrame, index: Column, block: int | None = None, **spans: tuple[str, int]) -> DataFrame:
+        """rows with an exponential mean of each named (column, span): alpha 2 / (span + 1), started at the first value.
 
-        index counts the rows from 0. The weights grow as (1 - alpha)^-index, so a series may have about 3,000 rows.
+        A step y -> (1 - alpha) y + alpha x is an affine map, and so is any run of steps. Within a block of rows the map
+        is a weighted running sum, whose weights stay within a double's range; the mean at a block's end then goes into
+        the next one by that block's map. Series may have any length. index counts the rows from 0; a null adds nothing.
         """
-        a = 2.0 / (span + 1)
-        c = F.when(index == 0, 1.0).otherwise(a)
-        return F.sum(c * F.col(v) * F.pow(F.lit(1 - a), -index)).over(self.past) * F.pow(F.lit(1 - a), index)
+        alphas = {name: 2.0 / (span + 1) for name, (_, span) in spans.items()}
+        if steady := {name: v for name, (v, _) in spans.items() if alphas[name] >= 1.0}:
+            rest = {name: x for name, x in spans.items() if name not in steady}
+            rows = rows.withColumns({name: F.col(v) for name, v in steady.items()})
+            return self.smoothed(rows, index, block, **rest) if rest else rows
+        slow, fast = (f(-math.log1p(-a) for a in alphas.values()) for f in (min, max))
+        # the slowest mean forgets all but e^-64 of what it had within a block, unless the fastest one's weights pass e^500
+        size = block or max(1, min(math.ceil(64 / slow), int(500 / fast)))
+        ends = math.ceil(45 / (size * slow))  # blocks back whose ends still weigh more than a rounding
+        at = rows.withColumns({"_i": index.cast("long"), "_b": F.floor(index / size).cast("long")}).withColumn("_j", F.col("_i") - F.col("_b") * size)
+        inner = Window.partitionBy(*self.by, "_b").orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
+        outer = Window.partitionBy(*self.by).orderBy("_b", self.order)
+        grow = lambda a, j: F.exp(j * -math.log1p(-a))
+        at = at.withColumns({
+            f"_{name}": F.coalesce(F.sum(F.when(F.col("_i") == 0, 1.0).otherwise(alphas[name]) * F.col(v) * grow(alphas[name], F.col("_j"))).over(inner), F.lit(0.0)) * grow(alphas[name], -F.col("_j"))
+            for name, (v, _) in spans.items()
+        })
+        carry = {
+            name: sum((F.coalesce(F.lag(f"_{name}", 1 + k * size).over(outer), F.lit(0.0)) * (1 - a) ** (k * size) for k in range(ends)), F.lit(0.0)) for name, a in alphas.items()
+        }
+        at = at.withColumns({f"_c_{name}": F.when(F.col("_j") == 0, c) for name, c in carry.items()})
+        past = outer.rowsBetween(Window.unboundedPreceding, 0)
+        at = at.withColumns({name: F.col(f"_{name}") + F.last(f"_c_{name}", ignorenulls=True).over(past) * grow(a, -F.col("_j") - 1) for name, a in alphas.items()})
+        return at.drop("_i", "_b", "_j", *(f"_{name}" for name in spans), *(f"_c_{name}" for name in spans))
 
 
 def latest_row(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -89,27 +114,41 @@ def runs(rows: DataFrame, by: list[str], order: str, breaks: Column, name: str =
     return rows.withColumn("_i", i).withColumn(name, F.col("_i") - since + 1).drop("_i")
 
 
-def expanding_pct(rows: DataFrame, by: str, order: str, value: str, least: int = 60) -> DataFrame:
-    """rows with `pct`: the share of an entity's positive values so far that are below the present one, times 100.
+def expanding_pcts(rows: DataFrame, by: str, order: str, values: dict[str, tuple[str, bool]], least: int = 60) -> DataFrame:
+    """rows with, for each name: (column, whether it must be positive), the share of an entity's known values so far that are below the present one, times 100.
 
-    Null for values that are null or not positive, and where fewer than `least` positive values are known. An entity has
-    one row for each value of `order`.
+    Null where the value isn't known, and where fewer than `least` values are. An entity has one row for each value of
+    `order`.
     """
     w = Window.partitionBy(by).orderBy(order)
-    v = F.col(value)
+    past, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
     # the n-th known value of an entity (from 0) is compared with the earlier ones by levels, as in a merge sort: at level
-    # k, values in the right half of a block of 2^(k + 1) count the lower ones in its left half. n log n rows, one sort.
-    known = F.when(v > 0, 1).otherwise(0)
-    numbered = rows.withColumns({"_i": F.sum(known).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_m": F.sum(known).over(Window.partitionBy(by))})
-    levels = F.when(v > 0, F.sequence(F.lit(0), F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))).cast("int"))).otherwise(F.array(F.lit(0)))
-    each = numbered.select(F.struct(*rows.columns).alias("_row"), F.col(by).alias("_by"), F.col(order).alias("_order"), F.when(v > 0, v).alias("_v"), "_i", F.explode(levels).alias("_k"))
-    each = each.withColumns({"_block": F.expr("shiftright(_i, _k + 1)"), "_left": F.when(F.expr("_v IS NOT NULL AND shiftright(_i, _k) % 2 = 0"), 1).otherwise(0)})
-    block = Window.partitionBy("_by", "_k", "_block")
-    upto = F.sum("_left").over(block.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ties = F.sum("_left").over(Window.partitionBy("_by", "_k", "_block", "_v"))
-    met = each.withColumn("_below", F.when((F.col("_left") == 0) & F.col("_v").isNotNull(), upto - ties).otherwise(0))
-    done = met.groupBy("_by", "_order").agg(F.first("_row").alias("_row"), F.sum("_below").alias("_below"), F.first("_i").alias("_i"), F.first("_v").alias("_v"))
-    return done.select("_row.*", F.when(F.col("_v").isNotNull() & (F.col("_i") + 1 >= least), F.col("_below") * 100.0 / (F.col("_i") + 1)).alias("pct"))
+    # k, values in the right half of a block of 2^(k + 1) count the lower ones in its left half. n log n narrow rows; the
+    # row itself goes along with one of them, and all of it stays where the entity's rows are.
+    known = [F.when(F.col(c) > 0 if positive else F.col(c).isNotNull(), F.col(c).cast("double")) for c, positive in values.values()]
+    counts = {f"_i{j}": F.count(v).over(past) - 1 for j, v in enumerate(known)} | {f"_m{j}": F.count(v).over(whole) for j, v in enumerate(known)}
+    numbered = rows.withColumns(counts)
+    packed = F.struct(*rows.columns)
+
+    def levels(j: int, v: Column) -> Column:
+        ks = F.when(v.isNotNull(), F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(f"_m{j}", F.lit(2)).cast("double"))).cast("int"))).otherwise(F.array(F.lit(0)) if j == 0 else F.array().cast("array<int>"))
+        return F.transform(ks, lambda k: F.struct(F.lit(j).alias("c"), k.alias("k"), v.alias("v"), F.col(f"_i{j}").alias("i"), F.when((k == 0) & F.lit(j == 0), packed).alias("row")))
+
+    each = numbered.select(F.col(by).alias("_by"), F.col(order).alias("_order"), F.explode(F.concat(*[levels(j, v) for j, v in enumerate(known)])).alias("_e")).select("_by", "_order", "_e.*")
+    each = each.withColumns({"block": F.expr("shiftright(i, k + 1)"), "left": F.when(F.expr("v IS NOT NULL AND shiftright(i, k) % 2 = 0"), 1).otherwise(0)})
+    block = Window.partitionBy("_by", "c", "k", "block")
+    upto = F.sum("left").over(block.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum("left").over(Window.partitionBy("_by", "c", "k", "block", "v"))
+    met = each.withColumn("below", F.when((F.col("left") == 0) & F.col("v").isNotNull(), upto - ties).otherwise(0))
+    mine = lambda j, c: F.when((F.col("c") == j) & F.col("v").isNotNull(), F.col(c))
+    sums = [f(mine(j, c)).alias(f"_{c}{j}") for j in range(len(known)) for f, c in ((F.sum, "below"), (F.max, "i"))]
+    done = met.groupBy("_by", "_order").agg(F.first("row", ignorenulls=True).alias("_row"), *sums)
+    return done.select("_row.*", *[F.when(F.col(f"_i{j}") + 1 >= least, F.col(f"_below{j}") * 100.0 / (F.col(f"_i{j}") + 1)).alias(name) for j, name in enumerate(values)])
+
+
+def expanding_pct(rows: DataFrame, by: str, order: str, value: str, least: int = 60) -> DataFrame:
+    """`expanding_pcts` of one column's positive values, as `pct`."""
+    return expanding_pcts(rows, by, order, {"pct": (value, True)}, least)
 
 
 def debounced(rows: DataFrame, by: list[str], order: str, raw: str, up: int, down: int, name: str = "state") -> DataFrame:

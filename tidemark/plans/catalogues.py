@@ -143,12 +143,9 @@ def factor_loo(p):
 
 
 @query("low_corr_pool")
-def low_corr_pool(p, names=30, k=8):
-    """Greedy pool of the least correlated of the fullest-traded names; both numbers are fixed, so the choice is bounded."""
-    top = [r.id for r in p.bars.groupBy("id").agg(F.sum("volume").alias("v")).orderBy(F.desc("v"), "id").limit(names).collect()]
-    pairs = X.pair_correlations(p.sbars.select("id", "d", S.change("close").alias("r")).where(F.col("id").isin(top)))
-    chosen = B.low_correlation_pool(pairs, sorted(top), k)
-    return p.spark.createDataFrame([(i + 1, int(x)) for i, x in enumerate(chosen)], "place int, id long")
+def low_corr_pool(p, k=8):
+    """Greedy pool of the least correlated of all entities."""
+    return X.low_correlation_names(p.sbars.select("id", "d", S.change("close").alias("r")), k)
 
 
 @query("random_pools")

@@ -167,8 +167,9 @@ def rank_agree(p):
     SELECT COUNT(*) AS pairs, {R4("AVG(c)")} AS mean FROM p""",
 )
 def avg_pair_corr(p):
-    pairs = X.pair_correlations(p.sbars.select("id", "d", S.change("close").alias("r")))
-    return pairs.agg(F.count("*").alias("pairs"), r4(F.avg("c")).alias("mean"))
+    sums = X.correlation_sums(p.sbars.select("id", "d", S.change("close").alias("r")))
+    # every pair stands in the sums of both its names
+    return sums.agg((F.coalesce(F.sum("pairs"), F.lit(0)) / 2).cast("long").alias("pairs"), r4(F.sum("total") / F.nullif(F.sum("known"), F.lit(0))).alias("mean"))
 
 
 @query("gap_band", f", g AS (SELECT (open / LAG(close, 2) OVER (PARTITION BY id ORDER BY d) - 1) * 100 AS g FROM sbars) SELECT {R4('QUANTILE_CONT(g, 0.1)')} AS p10, {R4('QUANTILE_CONT(g, 0.5)')} AS p50, {R4('QUANTILE_CONT(g, 0.9)')} AS p90 FROM g")

@@ -172,29 +172,6 @@ def sector(p):
     return s.select("id", R.sector(F.when(F.col("id") % 17 == 0, "A")).alias("sector"))
 
 
-PROFILE = """, pn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY d DESC) AS n FROM sbars), pl AS (SELECT *, MIN(close) OVER (PARTITION BY id) AS lo, MAX(close) OVER (PARTITION BY id) AS hi FROM pn WHERE n <= 90),
-    pb_ AS (SELECT id, lo, hi, LEAST(29, FLOOR((close - lo) / ((hi - lo) / 30))::INT) AS bin, SUM(volume)::BIGINT AS v FROM pl WHERE hi > lo GROUP BY ALL),
-    pr AS (SELECT *, COALESCE(SUM(v) OVER (PARTITION BY id ORDER BY v DESC, bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, SUM(v) OVER (PARTITION BY id) AS total, ROW_NUMBER() OVER (PARTITION BY id ORDER BY v DESC, bin DESC) AS rn FROM pb_),
-    ps_ AS (SELECT id, lo, hi, MAX(bin) FILTER (rn = 1) AS p, MIN(bin) AS a, MAX(bin) AS z FROM pr WHERE before < total * 0.7::DOUBLE GROUP BY ALL),
-    prof AS (SELECT id, ROUND_EVEN(lo + (p + 0.5::DOUBLE) * (hi - lo) / 30, 2) AS poc, ROUND_EVEN(lo + (a + 0.5::DOUBLE) * (hi - lo) / 30, 2) AS val, ROUND_EVEN(lo + (z + 0.5::DOUBLE) * (hi - lo) / 30, 2) AS vah FROM ps_)"""
-
-
-@query("trade_plan", PROFILE + f""", tr AS (SELECT id, d, close, GREATEST(high - low, COALESCE(ABS(high - LAG(close) OVER w), 0), COALESCE(ABS(low - LAG(close) OVER w), 0)) AS tr, {roll("AVG", "close", 20, 1)} AS ma20 FROM sbars WINDOW w AS (PARTITION BY id ORDER BY d)),
-    a AS (SELECT tr.*, AVG(tr) OVER ({P} ROWS 13 PRECEDING) AS atr FROM tr), l0 AS (SELECT a.*, poc, val, vah FROM a LEFT JOIN prof USING (id) QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY d DESC) = 1),
-    h AS (SELECT *, COALESCE(LEAST(CASE WHEN poc >= close * 0.75 AND poc <= close * 1.02 THEN poc END, CASE WHEN ma20 <= close * 1.02 THEN ma20 END), close - 0.5 * atr) AS eh FROM l0),
-    l AS (SELECT *, COALESCE(CASE WHEN val >= close * 0.75 AND val < eh THEN val END, eh - 1.5 * atr) AS el, GREATEST(COALESCE(CASE WHEN vah > close THEN vah END, close + 2 * atr), close + atr) AS tg FROM h),
-    s AS (SELECT *, CASE WHEN el - 1.5 * atr > 0 THEN el - 1.5 * atr ELSE el * 0.95 END AS st, CASE WHEN tg <= eh THEN eh + 2 * atr ELSE tg END AS t1, (close - eh) / eh * 100 AS dist, close <= eh * 1.005 AS zone FROM l)
-    SELECT id, d, {R4("el", 2)} AS entry_low, {R4("eh", 2)} AS entry_high, {R4("st", 2)} AS stop, {R4("t1", 2)} AS target1, {R4("CASE WHEN eh > st THEN eh + 2 * (eh - st) END", 2)} AS target2, {R4("dist", 1)} AS distance, zone AS in_zone, {R4("CASE WHEN eh > st THEN (t1 - eh) / (eh - st) END", 2)} AS rr,
-        CASE WHEN zone AND dist <= -3 THEN 'below_the_zone' WHEN zone THEN 'in_the_zone' WHEN dist <= 4 THEN 'just_above' ELSE 'too_high' END AS note FROM s""")
-def trade_plan(p):
-    """From the volume profile of the last bars, the mean and the true range."""
-    rows = latest_row(T.atr(p.sbars).withColumn("ma20", S.mean("close", 20, 1)), ["id"], F.desc("d")).join(T.volume_profile(p.sbars), "id", "left")
-    for name, value in R.trade_plan().items():
-        rows = rows.withColumn(name, value)
-    places = {"entry_low": 2, "entry_high": 2, "stop": 2, "target1": 2, "target2": 2, "distance": 1, "rr": 2}
-    return rows.select("id", "d", *[r4(F.col(c), n).alias(c) for c, n in places.items()], "in_zone", "note")
-
-
 @query("reason_line", SCORED + ", u AS (SELECT id, d, UNNEST([{'k': 'momentum', 'v': COALESCE(pm, 0)}, {'k': 'high', 'v': COALESCE(ph, 0)}, {'k': 'volume', 'v': COALESCE(pv, 0)}]) AS x FROM scored), r AS (SELECT id, d, x.k AS k, ROW_NUMBER() OVER (PARTITION BY id, d ORDER BY x.v DESC, x.k) AS n FROM u) SELECT id, d, STRING_AGG(k, '+' ORDER BY n) AS why FROM r WHERE n <= 2 GROUP BY ALL")
 def reason_line(p):
     zero = lambda c: F.coalesce(c, F.lit(0.0))

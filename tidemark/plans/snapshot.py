@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores as R
 from tidemark.functions.numeric import ratio
+from tidemark.functions.ranks import pct_rank
 from tidemark.operators import flow as C
 from tidemark.operators import technical as T
 from tidemark.operators.asof import asof_joins
-from tidemark.operators.windows import Series, expanding_pct
+from tidemark.operators.windows import Series, expanding_pcts
 
 from .base import R4, query, r4
-from .technicals import _EW, _TR, _ewm, ew_index, roll
+from .technicals import _EW, _TR, _ewm, avg_rank_sql, ew_index, roll
 
 S = Series()
 P = "PARTITION BY id ORDER BY d"
@@ -44,7 +45,7 @@ def statement_facts(p):
     rows = rows.withColumn("ago", F.when(F.lag("q", 4).over(w) == F.add_months("q", -12), F.lag("ni", 4).over(w)))
     pct = lambda a, b: ratio(a, b) * 100
     return rows.select(
-        "id", "known", "ni", pct(F.col("ni"), F.col("g")).alias("net_margin"), pct(F.col("g") - F.col("c") * 0.6, F.col("g")).alias("gross_margin"), pct(F.col("ni"), F.col("g") + F.col("c") * 0.5).alias("roe"),
+        "id", "known", "ni", F.col("g").alias("equity"), pct(F.col("ni"), F.col("g")).alias("net_margin"), pct(F.col("g") - F.col("c") * 0.6, F.col("g")).alias("gross_margin"), pct(F.col("ni"), F.col("g") + F.col("c") * 0.5).alias("roe"),
         ratio(F.col("g") * 4, F.col("g") + F.col("c")).alias("asset_turnover"), pct(F.col("c"), F.col("g") + F.col("c")).alias("debt_to_asset"), pct(F.col("g"), F.col("c")).alias("current_ratio"),
         pct(F.col("ni") - F.col("ago"), F.abs("ago")).alias("eps_cagr"), (F.col("g") - F.col("c") * 0.95).alias("ocf"), (F.col("g") * 0.95 - F.col("c") * 0.95).alias("fcf"),
         ratio(F.col("g") - F.col("c") * 0.95, F.col("ni")).alias("ocf_to_income"), ratio(F.col("g") - F.col("c") * 0.9, F.col("ni")).alias("operating_share"),
@@ -81,6 +82,7 @@ def features(p):
     return rows.withColumns({
         "rs3": F.when(F.col("t") >= 66, F.col("m3") - F.col("b3")), "rs6": F.when(F.col("t") >= 126, F.col("m6") - F.col("b6")), "atr_pct": F.col("atr") / F.col("close") * 100,
         "concentration": F.coalesce(F.col("tnet20") / F.nullif(F.col("ni") + 2e7, F.lit(0.0)) * 2e6, F.lit(0.0)), "pe": pe, "pe_vs_industry": F.coalesce(pe, F.lit(10.0)), "ps": ratio(F.col("close") * 1e9, F.col("ttm")),
+        "pb": F.when(F.col("equity") > 0, F.col("close") * 100000 / F.col("equity")), "dividend_yield": F.greatest(F.col("ni"), F.lit(0.0)) * 30 / (F.col("close") * 100000),
         "cash_quality": F.col("ocf_to_income"), "is_financial": F.col("industry") == 3, "income_growth": F.col("eps_cagr"), "revenue_growth": F.col("rev_growth"),
         "rsi": F.coalesce("rsi", F.lit(50.0)), "macd_status": F.coalesce("macd_status", F.lit("neutral")),
     })
@@ -116,16 +118,16 @@ FEATURES = _EW + f""", bm0 AS (SELECT d, (LAG(level, 5) OVER o / LAG(level, 65)
         FROM rj WINDOW w AS (PARTITION BY id ORDER BY m), a AS (PARTITION BY id ORDER BY m ROWS 2 PRECEDING), b AS (PARTITION BY id ORDER BY m ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING), y AS (PARTITION BY id ORDER BY m ROWS 11 PRECEDING)),
     rv AS (SELECT id, CAST(LAST_DAY(m) + 10 AS DATE) AS known, yoy * 100 AS rev_growth, rev_cagr, mom * 100 AS rev_mom, accel * 100 AS accel, ytd_yoy * 100 AS cum_yoy, i - COALESCE(MAX(CASE WHEN NOT COALESCE(yoy > 0, false) THEN i END) OVER (PARTITION BY id ORDER BY m ROWS UNBOUNDED PRECEDING), 0) AS rev_streak, ttm FROM rm),
     st0 AS (SELECT id, q, MAX(known_date) AS known, COALESCE(SUM(value) FILTER (type = 'gross'), 0)::DOUBLE AS g, COALESCE(SUM(value) FILTER (type = 'cost'), 0)::DOUBLE AS c FROM stmt GROUP BY id, q), st1 AS (SELECT *, g - c AS ni, CASE WHEN LAG(q, 4) OVER w = q - INTERVAL 12 MONTH THEN LAG(g - c, 4) OVER w END AS ago FROM st0 WINDOW w AS (PARTITION BY id ORDER BY q)),
-    st AS (SELECT id, known, ni, ni / NULLIF(g, 0) * 100 AS net_margin, (g - c * 0.6::DOUBLE) / NULLIF(g, 0) * 100 AS gross_margin, ni / NULLIF(g + c * 0.5::DOUBLE, 0) * 100 AS roe, g * 4 / NULLIF(g + c, 0) AS asset_turnover, c / NULLIF(g + c, 0) * 100 AS debt_to_asset, g / NULLIF(c, 0) * 100 AS current_ratio, (ni - ago) / NULLIF(ABS(ago), 0) * 100 AS eps_cagr,
+    st AS (SELECT id, known, ni, g AS equity, ni / NULLIF(g, 0) * 100 AS net_margin, (g - c * 0.6::DOUBLE) / NULLIF(g, 0) * 100 AS gross_margin, ni / NULLIF(g + c * 0.5::DOUBLE, 0) * 100 AS roe, g * 4 / NULLIF(g + c, 0) AS asset_turnover, c / NULLIF(g + c, 0) * 100 AS debt_to_asset, g / NULLIF(c, 0) * 100 AS current_ratio, (ni - ago) / NULLIF(ABS(ago), 0) * 100 AS eps_cagr,
         g - c * 0.95::DOUBLE AS ocf, g * 0.95::DOUBLE - c * 0.95::DOUBLE AS fcf, (g - c * 0.95::DOUBLE) / NULLIF(ni, 0) AS ocf_to_income, (g - c * 0.9::DOUBLE) / NULLIF(ni, 0) AS operating_share FROM st1),
     ho0 AS (SELECT l_suppkey AS id, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS m, COALESCE(SUM(l_quantity) FILTER (l_quantity >= 40), 0)::DOUBLE / SUM(l_quantity)::DOUBLE * 100 AS big FROM lineitem GROUP BY ALL), ho AS (SELECT id, CAST(LAST_DAY(m) + 1 AS DATE) AS known, big, big - LAG(big) OVER (PARTITION BY id ORDER BY m) AS holders_change FROM ho0),
     fe AS (SELECT t.*, fl.* EXCLUDE (id, d), margin_change, b3, b6, COALESCE(regime, 'neutral') AS regime, rv.* EXCLUDE (id, known), st.* EXCLUDE (id, known), big, holders_change, industry, CASE WHEN net20 > 0 AND net5 > 0 THEN net5 / 5 / (net20 / 20) WHEN net5 > 0 AND net20 <= 0 THEN 2 ELSE 1 END AS flow_accel, CASE WHEN t.t >= 66 THEN m3 - b3 END AS rs3, CASE WHEN t.t >= 126 THEN m6 - b6 END AS rs6,
-        COALESCE(tnet20 / NULLIF(ni + 2e7::DOUBLE, 0) * 2e6::DOUBLE, 0) AS concentration, CASE WHEN ni > 0 THEN t.close * 100000 / ni END AS pe, t.close * 1e9::DOUBLE / NULLIF(ttm, 0)::DOUBLE AS ps
+        COALESCE(tnet20 / NULLIF(ni + 2e7::DOUBLE, 0) * 2e6::DOUBLE, 0) AS concentration, CASE WHEN ni > 0 THEN t.close * 100000 / ni END AS pe, t.close * 1e9::DOUBLE / NULLIF(ttm, 0)::DOUBLE AS ps, CASE WHEN equity > 0 THEN t.close * 100000 / equity END AS pb, CASE WHEN ni IS NOT NULL THEN GREATEST(ni, 0) * 30 / (t.close * 100000) END AS dividend_yield
         FROM tech t JOIN fl USING (id, d) JOIN mg USING (id, d) LEFT JOIN bm USING (d) JOIN dim USING (id) ASOF LEFT JOIN rv ON rv.id = t.id AND t.d >= rv.known ASOF LEFT JOIN st ON st.id = t.id AND t.d >= st.known ASOF LEFT JOIN ho ON ho.id = t.id AND t.d >= ho.known)"""
 
 _DOUBLES = (
     "close", "change", "ma5", "ma20", "weekly_ma", "ma5_bias", "bias", "spike", "m6", "m3", "rs6", "rs3", "atr", "atr_pct", "rsi", "macd", "percent_b", "k", "d_", "j", "up_volume", "flow_accel", "participation", "concentration", "margin_change",
-    "rev_growth", "rev_cagr", "rev_mom", "accel", "cum_yoy", "net_margin", "gross_margin", "roe", "asset_turnover", "debt_to_asset", "current_ratio", "eps_cagr", "ocf_to_income", "operating_share", "big", "holders_change", "pe", "ps",
+    "rev_growth", "rev_cagr", "rev_mom", "accel", "cum_yoy", "net_margin", "gross_margin", "roe", "asset_turnover", "debt_to_asset", "current_ratio", "eps_cagr", "ocf_to_income", "operating_share", "big", "holders_change", "pe", "ps", "pb", "dividend_yield",
 )
 _PLAIN = ("volume", "macd_status", "bb_status", "ma_cross", "obv_rising", "obv_above_ma20", "divergence", "fbuy", "fsell", "tbuy", "tsell", "net5", "fflow", "tflow", "rev_streak", "industry", "regime", "ni", "ocf", "fcf", "ttm")
 
@@ -199,30 +201,66 @@ def fund_score(p):
 
 # --- dimensions, composite and rating at month ends; over all bars in full_history ---
 
-DIMS = SCORES + f""", pp AS (SELECT a.id, a.d, CASE WHEN COUNT(*) >= 60 THEN COUNT(*) FILTER (b.pe < a.pe) * 100.0::DOUBLE / COUNT(*) END AS pe_pct FROM sc a JOIN sc b ON a.id = b.id AND b.d <= a.d WHERE a.pe > 0 AND b.pe > 0 GROUP BY a.id, a.d),
-    v0 AS (SELECT sc.*, pe_pct, CASE WHEN rev_cagr > 0 THEN rev_cagr WHEN eps_cagr > 0 THEN eps_cagr END AS growth FROM sc LEFT JOIN pp USING (id, d)), v1 AS (SELECT *, CASE WHEN pe > 0 AND growth > 0 THEN pe / growth END AS peg FROM v0),
-    v2 AS (SELECT *, CASE WHEN peg <= 0.75 THEN 100 WHEN peg <= 1 THEN 100 - 20 * (peg - 0.75) / 0.25::DOUBLE WHEN peg <= 1.5 THEN 80 - 25 * (peg - 1) / 0.5::DOUBLE WHEN peg <= 2 THEN 55 - 20 * (peg - 1.5) / 0.5::DOUBLE WHEN peg <= 3 THEN 35 - 35 * (peg - 2) WHEN peg IS NOT NULL THEN 0 END AS va, 100 - pe_pct AS vb FROM v1),
-    v3 AS (SELECT *, CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN va * 0.85::DOUBLE + vb * 0.15::DOUBLE ELSE COALESCE(va, vb) END AS mix, COALESCE(pe_pct >= 80, false) AND (peg IS NOT NULL OR cum_yoy IS NOT NULL OR growth IS NOT NULL) AND NOT (COALESCE(peg < 1, false) OR COALESCE(cum_yoy >= 15, false)) AS bubble FROM v2),
-    dm AS MATERIALIZED (SELECT * EXCLUDE (mix), CASE WHEN bubble THEN LEAST(mix, 30) ELSE mix END AS val, {FUNDAMENTAL} AS fundamental, {PASSED} AS passed FROM v3)"""
+def _own_history(name, v, known):
+    """An entity's share of lower values so far, by comparing each with all before it."""
+    return f"{name} AS (SELECT a.id, a.d, CASE WHEN COUNT(*) >= 60 THEN COUNT(*) FILTER (b.{v} < a.{v}) * 100.0::DOUBLE / COUNT(*) END AS pct FROM sc a JOIN sc b ON a.id = b.id AND b.d <= a.d WHERE a.{known} AND b.{known} GROUP BY a.id, a.d)"
+
+
+_ABSOLUTE = {"pe": _sc("pe", 30, 8), "pb": _sc("pb", 4, 0.8), "ps": _sc("ps", 8, 0.5), "dividend_yield": _sc("NULLIF(dividend_yield, 0)", 0, 6)}
+_WEIGHTS = {"pe": 0.35, "pb": 0.25, "ps": 0.20, "dividend_yield": 0.20}
+DIMS = SCORES + f""", {_own_history("pp", "pe", "pe > 0")}, {_own_history("bp", "pb", "pb > 0")}, {_own_history("yp", "dividend_yield", "dividend_yield IS NOT NULL")},
+    vh AS (SELECT sc.*, pp.pct AS pe_pct, bp.pct AS pb_pct, yp.pct AS yield_pct, 100 - pp.pct AS cheap, CASE WHEN rev_cagr > 0 THEN rev_cagr WHEN eps_cagr > 0 THEN eps_cagr END AS growth FROM sc LEFT JOIN pp USING (id, d) LEFT JOIN bp USING (id, d) LEFT JOIN yp USING (id, d)),
+    v0 AS (SELECT *, CASE WHEN COUNT(cheap) OVER (PARTITION BY d, industry) >= 5 THEN {avg_rank_sql("cheap", "d, industry")} ELSE {avg_rank_sql("cheap", "d")} END AS industry_pct FROM vh), v1 AS (SELECT *, CASE WHEN pe > 0 AND growth > 0 THEN pe / growth END AS peg FROM v0),
+    v2 AS (SELECT *, CASE WHEN peg <= 0.75 THEN 100 WHEN peg <= 1 THEN 100 - 20 * (peg - 0.75) / 0.25::DOUBLE WHEN peg <= 1.5 THEN 80 - 25 * (peg - 1) / 0.5::DOUBLE WHEN peg <= 2 THEN 55 - 20 * (peg - 1.5) / 0.5::DOUBLE WHEN peg <= 3 THEN 35 - 35 * (peg - 2) WHEN peg IS NOT NULL THEN 0 END AS va,
+        CASE WHEN pe_pct IS NOT NULL OR pb_pct IS NOT NULL THEN (COALESCE((100 - pe_pct) * 0.45::DOUBLE, 0) + COALESCE((100 - pb_pct) * 0.3::DOUBLE, 0) + COALESCE(yield_pct * 0.25::DOUBLE, 0)) / ((pe_pct IS NOT NULL)::INT * 0.45::DOUBLE + (pb_pct IS NOT NULL)::INT * 0.3::DOUBLE + (yield_pct IS NOT NULL)::INT * 0.25::DOUBLE) END AS vb,
+        ({" + ".join(f"COALESCE({x} * {_WEIGHTS[k]}::DOUBLE, 0)" for k, x in _ABSOLUTE.items())}) / NULLIF({" + ".join(f"({x} IS NOT NULL)::INT * {_WEIGHTS[k]}::DOUBLE" for k, x in _ABSOLUTE.items())}, 0) AS vc FROM v1),
+    v3 AS (SELECT *, CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN va * 0.85::DOUBLE + vb * 0.15::DOUBLE ELSE COALESCE(va, vb) END AS mix, industry_pct IS NULL AND COALESCE(pe_pct >= 80, false) AND (peg IS NOT NULL OR cum_yoy IS NOT NULL OR growth IS NOT NULL) AND NOT (COALESCE(peg < 1, false) OR COALESCE(cum_yoy >= 15, false)) AS bubble FROM v2),
+    dm AS MATERIALIZED (SELECT * EXCLUDE (mix), COALESCE(industry_pct, CASE WHEN bubble THEN LEAST(mix, 30) ELSE mix END, vc) AS val, {FUNDAMENTAL} AS fundamental, {PASSED} AS passed FROM v3)"""
+
+
+def valuation_ranks(rows):
+    """rows with pe_pct, pb_pct and yield_pct (an entity's own history so far) and industry_pct: the day's rank of a low pe_pct in the industry, or in the market where fewer than five of the industry have one."""
+    rows = expanding_pcts(rows, "id", "d", {"pe_pct": ("pe", True), "pb_pct": ("pb", True), "yield_pct": ("dividend_yield", False)})
+    # the day's rank first: the industry's then needs no shuffle of its own
+    rows = rows.withColumn("_cheap", 100 - F.col("pe_pct")).withColumn("_market", pct_rank("_cheap", "d"))
+    enough = F.count("_cheap").over(Window.partitionBy("d", "industry")) >= 5
+    return rows.withColumn("industry_pct", F.when(enough, pct_rank("_cheap", "d", "industry")).otherwise(F.col("_market"))).drop("_cheap", "_market")
 
 
 def dimensions(p):
     """scored_features with fundamental, valuation (null where unknown), bubble, cash, profit_risk and passed."""
-    rows = expanding_pct(scored_features(p), "id", "d", "pe").withColumnRenamed("pct", "pe_pct")
-    none = F.lit(None).cast("double")
-    rows = rows.withColumns({"pb_pct": none, "yield_pct": none, "industry_pct": none, "growth": F.when(F.col("rev_cagr") > 0, F.col("rev_cagr")).when(F.col("eps_cagr") > 0, F.col("eps_cagr"))})
+    rows = valuation_ranks(scored_features(p))
+    rows = rows.withColumns({"growth": F.when(F.col("rev_cagr") > 0, F.col("rev_cagr")).when(F.col("eps_cagr") > 0, F.col("eps_cagr"))})
     peg = F.when((F.col("pe") > 0) & (F.col("growth") > 0), F.col("pe") / F.col("growth"))
     grows = F.coalesce(peg < 1, F.lit(False)) | F.coalesce(F.col("cum_yoy") >= 15, F.lit(False))
     checked = peg.isNotNull() | F.col("cum_yoy").isNotNull() | F.col("growth").isNotNull()
     return rows.withColumns({
-        "val": R.valuation_score(), "bubble": F.coalesce(F.col("pe_pct") >= 80, F.lit(False)) & checked & ~grows, "fundamental": R.fundamental_score(), "cash": R.cash_health(), "profit_risk": R.profit_risk(), "passed": R.fundamental_passed(),
+        "val": F.coalesce(R.valuation_score(), R.absolute_valuation()), "bubble": F.col("industry_pct").isNull() & F.coalesce(F.col("pe_pct") >= 80, F.lit(False)) & checked & ~grows, "fundamental": R.fundamental_score(), "cash": R.cash_health(), "profit_risk": R.profit_risk(), "passed": R.fundamental_passed(),
     })
 
 
+_LENSES = "(pe_pct IS NOT NULL)::INT + (pb_pct IS NOT NULL)::INT + (yield_pct IS NOT NULL)::INT"
+
+
+@query("valuation_history", DIMS + f""" SELECT id, d, {", ".join(f"{R4(c)} AS {c}" for c in ("pe_pct", "pb_pct", "yield_pct", "industry_pct", "val"))}, CASE WHEN industry_pct IS NOT NULL THEN 'industry' WHEN va IS NOT NULL AND vb IS NOT NULL THEN 'growth+history' WHEN va IS NOT NULL THEN 'growth' WHEN vb IS NOT NULL THEN 'history' WHEN vc IS NOT NULL THEN 'absolute' ELSE 'none' END AS basis,
+    CASE WHEN val >= 65 THEN 'cheap' WHEN val >= 40 THEN 'fair' WHEN val IS NOT NULL THEN 'dear' ELSE 'unknown' END AS status,
+    CASE WHEN industry_pct IS NOT NULL THEN LEAST(100, 80 + 5 * ({_LENSES} + (va IS NOT NULL)::INT)) WHEN va IS NOT NULL OR vb IS NOT NULL THEN GREATEST(40, 100 - 12 * CASE WHEN vb IS NULL THEN 3 ELSE 3 - ({_LENSES}) END)
+        ELSE GREATEST(0, 100 - 20 * ((pe IS NULL)::INT + (pb IS NULL)::INT + (ps IS NULL)::INT + (NULLIF(dividend_yield, 0) IS NULL)::INT)) END::DOUBLE AS confidence FROM dm""")
+def valuation_history(p):
+    """Where every bar's valuation stands in its own history and its industry, what it rests on and how sure it is."""
+    ranks = [r4(F.col(c)).alias(c) for c in ("pe_pct", "pb_pct", "yield_pct", "industry_pct", "val")]
+    return dimensions(p).select("id", "d", *ranks, R.valuation_basis().alias("basis"), R.valuation_status(F.col("val")).alias("status"), R.valuation_confidence().alias("confidence"))
+
+
 _MODE_COLUMNS = ("mode", "w1", "w2", "w3", "w4", "w5", "min_score", "rsi_overbought", "rsi_extreme", "bias_chase", "chip_min", "mom_hot", "whale_hot", "rev_hot", "tech_hot")
-RATED = DIMS + f""", modes({", ".join(_MODE_COLUMNS)}) AS (VALUES ('conservative', 0.28, 0.17, 0.20, 0.16, 0.19, 64, 65, 72, 12, 45, 52, 48, 15, 70), ('aggressive', 0.12, 0.08, 0.22, 0.34, 0.24, 55, 75, 82, 18, 30, 42, 36, 10, 60), ('balanced', 0.31, 0.08, 0.19, 0.27, 0.15, 54, 72, 78, 15, 30, 46, 42, 12, 65)),
+_MODES = """('conservative', 0.28, 0.17, 0.20, 0.16, 0.19, 64, 65, 72, 12, 45, 52, 48, 15, 70), ('aggressive', 0.12, 0.08, 0.22, 0.34, 0.24, 55, 75, 82, 18, 30, 42, 36, 10, 60), ('balanced', 0.31, 0.08, 0.19, 0.27, 0.15, 54, 72, 78, 15, 30, 46, 42, 12, 65)"""
+
+
+def rated_sql(rows: str, modes: str) -> str:
+    """Common table expressions up to `rated`: the composite and the rating of the rows in each of the modes."""
+    return f""", modes({", ".join(_MODE_COLUMNS)}) AS (VALUES {modes}),
     md AS (SELECT mode, {", ".join(f"{c}::DOUBLE AS {c}" for c in _MODE_COLUMNS[1:])} FROM modes),
-    rr AS (SELECT dm.*, md.*, COALESCE(val, 50) AS valuation, (close > ma20 AND ma5 >= ma20 AND bias >= 7 AND rsi >= 53) AS strong FROM dm, md),
+    rr AS (SELECT x.*, md.*, COALESCE(val, 50) AS valuation, (close > ma20 AND ma5 >= ma20 AND bias >= 7 AND rsi >= 53) AS strong FROM {rows} x, md),
     rw AS (SELECT *, w2 * CASE regime WHEN 'bear' THEN 0.6::DOUBLE ELSE 1 END AS v2, w3 * CASE regime WHEN 'bull' THEN 1.05::DOUBLE WHEN 'bear' THEN 0.3::DOUBLE ELSE 1 END AS v3, w4 * CASE regime WHEN 'bull' THEN 1.1::DOUBLE WHEN 'bear' THEN 1.5::DOUBLE ELSE 1 END AS v4, w5 * CASE regime WHEN 'bear' THEN 0.3::DOUBLE ELSE 1 END AS v5 FROM rr),
     rc AS (SELECT *, CASE WHEN strong THEN v2 * 0.6::DOUBLE ELSE 0 END AS cut FROM rw),
     rs AS (SELECT *, (w1 * fundamental + (v2 - cut) * valuation + v3 * technical + (v4 + cut * 0.6::DOUBLE) * momentum + (v5 + cut * 0.4::DOUBLE) * whale) / (w1 + (v2 - cut) + v3 + (v4 + cut * 0.6::DOUBLE) + (v5 + cut * 0.4::DOUBLE)) AS composite,
@@ -239,10 +277,29 @@ RATED = DIMS + f""", modes({", ".join(_MODE_COLUMNS)}) AS (VALUES ('conservative
         WHEN cash IN ('healthy', 'watch') AND NOT risk AND ((COALESCE(val >= 40, false) AND whale >= chip AND composite >= need AND rsi < rsi_extreme AND bias <= bias_chase) OR (NOT bubble AND uptrend AND inflow AND whale >= chip AND NOT blow AND composite >= need - 5)) THEN 'STRONG' ELSE 'WATCH' END AS rating FROM rh)"""
 
 
+RATED = DIMS + rated_sql("dm", _MODES)
+
+
+def setting(mode: str, weights, least: float, gates) -> F.Column:
+    """A mode as one value: its name, the dimensions' weights, the least score and the gates."""
+    return F.struct(F.lit(mode).alias("mode"), *[F.lit(w).alias(f"w_{k}") for k, w in zip(R.DIMENSIONS, weights, strict=True)], F.lit(float(least)).alias("min_score"), *[F.lit(v).alias(k) for k, v in zip(R.GATES, gates, strict=True)])
+
+
 def rated(p):
     """dimensions for every mode, with composite and rating."""
-    mode = lambda m: F.struct(F.lit(m).alias("mode"), *[F.lit(w).alias(f"w_{k}") for k, w in zip(R.DIMENSIONS, R.MODES[m], strict=False)], F.lit(float(R.MODES[m][5])).alias("min_score"), *[F.lit(v).alias(k) for k, v in zip(R.GATES, R.PROFILES[m], strict=True)])
-    rows = dimensions(p).withColumn("_m", F.explode(F.array(*map(mode, R.MODES)))).select("*", "_m.*").drop("_m")
+    return rate(dimensions(p), [setting(m, w[:5], w[5], R.PROFILES[m]) for m, w in R.MODES.items()])
+
+
+#: What `rate` reads of a row.
+RATED_BY = (
+    "fundamental", "val", "technical", "momentum", "whale", "regime", "close", "ma5", "ma20", "bias", "rsi", "weekly_ma", "ma_cross", "tbuy", "fbuy", "tsell", "fsell", "net5", "fflow", "tflow", "holders_change",
+    "divergence", "rev_cagr", "cum_yoy", "rev_streak", "change", "margin_change", "spike", "passed", "cash", "profit_risk", "participation", "bubble",
+)
+
+
+def rate(rows, settings):
+    """rows of `dimensions` in every setting (see `setting`), with composite and rating."""
+    rows = rows.withColumn("_m", F.explode(F.array(*settings))).select("*", "_m.*").drop("_m")
     yes = lambda x: F.coalesce(F.expr(x), F.lit(False))
     rows = rows.withColumns({"regime": F.coalesce("regime", F.lit("neutral")), "valuation": F.coalesce("val", F.lit(50.0)), "val_status": R.valuation_status(F.col("val"))})
     strong = yes("close > ma20 AND ma5 >= ma20 AND bias >= 7 AND rsi >= 53")

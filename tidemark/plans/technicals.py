@@ -47,8 +47,9 @@ def weekly_ma(p):
 
 
 def _ewm(v, span):
+    """The fold itself, over all values so far."""
     a = 2.0 / (span + 1)
-    return f"SUM(CASE WHEN t = 1 THEN 1::DOUBLE ELSE {a!r}::DOUBLE END * {v} * POWER({1 - a!r}::DOUBLE, -(t - 1)::DOUBLE)) OVER ({P} ROWS UNBOUNDED PRECEDING) * POWER({1 - a!r}::DOUBLE, (t - 1)::DOUBLE)"
+    return f"LIST_REDUCE(LIST({v}) OVER ({P} ROWS UNBOUNDED PRECEDING), LAMBDA y, x: {1 - a!r}::DOUBLE * y + {a!r}::DOUBLE * x)"
 
 
 @query(
@@ -69,7 +70,7 @@ def macd(p):
     f"""SELECT id, d, {R4(_ewm("close", 20))} AS ewm20 FROM sbars""",
 )
 def ewm(p):
-    return shown(p.sbars.withColumn("ewm20", S.smoothed("close", 20, (F.col("t") - 1).cast("double"))), "ewm20")
+    return shown(S.smoothed(p.sbars, F.col("t") - 1, ewm20=("close", 20)), "ewm20")
 
 
 @query(
