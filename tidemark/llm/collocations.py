@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .grams import byte_words, mixed
+from .grams import mixed, word_spans, words_at
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A candidate is dropped if a longer one that holds it is found this many hundredths as often.
@@ -73,8 +73,9 @@ class Phrases:
 
     def __init__(self, plain: bytes, lang: str, most: int):
         data = np.frombuffer(plain, np.uint8)
-        words, starts, _ = byte_words(data, _BREAK)
-        coded = words.dictionary_encode()
+        space = _BREAK[data]
+        starts, ends = word_spans(space)
+        coded = words_at(data, space, starts, ends).dictionary_encode()
         self.words = coded.dictionary.to_pylist()
         self.ids = coded.indices.to_numpy().astype(np.int64)
         line = np.searchsorted(np.flatnonzero(data == 10), starts)

@@ -46,13 +46,16 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int, column: str = "w") -> I
             at = end
 
 
-def byte_words(data: np.ndarray, spaces: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
-    """(the words of a text as bytes, where each begins, where it ends); spaces: which of the 256 byte values part words."""
-    space = spaces[data]
+def word_spans(space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the runs of bytes that are not space."""
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
+    return edges[::2], edges[1::2]
+
+
+def words_at(data: np.ndarray, space: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """The words at these places, which hold all bytes that are not space."""
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]), starts, ends
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
 
 
 def runs(hashes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -36,17 +36,24 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import documents
-from .grams import byte_words
+from .grams import word_spans, words_at
 
 WINDOW, END = 2048, 1
 #: Costs, in tokens of padding: of a cut at a sentence's end, of one inside a sentence, and of each sequence.
 SENTENCE, INSIDE, SEQUENCE = 8, 64, 64
 LONG, STRIDE = 128, 16
 #: Tokens that are cut at a time, windows at their end that stay open, bytes encoded at a time, distinct words kept.
-BLOCK, OPEN, BYTES, WORDS = 1 << 19, 16, 4 << 20, 1 << 19
+BLOCK, OPEN, BYTES, WORDS = 1 << 19, 16, 8 << 20, 1 << 20
+#: Words encoded together.
+TOGETHER = 1000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_PLAIN[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123))] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BREAK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: A word that ends a sentence.
 _STOP = re.compile("[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019)\\]]*$")
@@ -72,11 +79,29 @@ class Tokens:
         return Tokens(np.concatenate([p.ids for p in parts]), np.concatenate([p.stops for p in parts]))
 
 
+def words_of(blob: bytes) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(the words of a text, in lower case, the marks behind one as a word of their own; where each begins).
+
+    The tokenizer lowers letters itself and never joins a mark to a letter or digit before it, so that the words' ids
+    are the text's, and there are fewer different words. A text that may name a special token keeps its capitals.
+    """
+    data = np.frombuffer(blob, np.uint8)
+    space = _SPACE[data]
+    starts, ends = word_spans(space)
+    last = np.maximum.accumulate(np.where(space | _MARK[data], -1, np.arange(len(data))))[ends - 1] + 1
+    cut = last[(last > starts) & (last < ends) & _PLAIN[data[np.maximum(last - 1, 0)]]]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return words_at(data if b"<|" in blob else _LOWER[data], space, starts, ends), starts
+
+
 class Encoder:
     """Tokens of texts, each distinct word encoded once; the words seen are kept up to a number."""
 
     def __init__(self, tokenizer: str):
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        spelling = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(spelling.values()) + 1, bool)  # whether a token ends a run of letters, digits or others
+        self.closes[[i for word, i in spelling.items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -84,20 +109,40 @@ class Encoder:
         self.places: dict[bytes, int] = {}
         self.pool, self.begin, self.size, self.stop = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, bool)
 
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, one after the other; the number of each text's)."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.places.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.stop = np.concatenate([self.stop, np.fromiter((_STOP.search(t) is not None for t in texts), bool, len(texts))])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for f in found for i in f), np.uint32)])
+        return np.fromiter((i for f in found for i in f), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes new words. Runs of letters are encoded many at a time, as each has one token that closes it."""
+        letters, others = [], []
+        for w in words:
+            (letters if (t := w.decode()).isalpha() else others).append((w, t))
+        known, pools, sizes = [], [self.pool], []
+        for at in range(0, len(letters), TOGETHER):
+            group = letters[at : at + TOGETHER]
+            ids, _ = self.encoded([" ".join(t for _, t in group)])
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(group):
+                known += [w for w, _ in group]
+                pools.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:  # a letter that lower case turns into more than letters
+                others += group
+        ids, size = self.encoded([t for _, t in others])
+        known += [w for w, _ in others]
+        self.places.update(zip(known, range(len(self.size), len(self.size) + len(known)), strict=True))
+        size = np.concatenate([*sizes, size])
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.stop = np.concatenate([self.stop, np.zeros(len(known) - len(others), bool), np.fromiter((_STOP.search(t) is not None for _, t in others), bool, len(others))])
+        self.pool = np.concatenate([*pools, ids])
 
     def whole(self, texts: list[bytes]) -> list[Tokens]:
         """The tokens of each text, with the end token."""
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        words, starts, _ = byte_words(data, _SPACE)
+        blob = b"\n".join(texts) + b"\n"
+        words, starts = words_of(blob)
         coded = words.dictionary_encode()
         seen = coded.dictionary.to_pylist()
         if len(self.places) + len(seen) > WORDS:
@@ -105,7 +150,7 @@ class Encoder:
         if new := [w for w in seen if w not in self.places]:
             self.learn(new)
         place = np.fromiter((self.places[w] for w in seen), np.int64, len(seen))[coded.indices.to_numpy()]
-        line = np.searchsorted(np.flatnonzero(data == 10), starts)
+        line = np.searchsorted(np.flatnonzero(np.frombuffer(blob, np.uint8) == 10), starts)
         stop = self.stop[place] | (np.diff(line, append=-1) != 0)
         ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))  # words up to each text's end
         place, stop = np.insert(place, ends, 0), np.insert(stop, ends, True)
