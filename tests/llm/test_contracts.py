@@ -64,9 +64,15 @@ def test_op4(spark, folder):
     base = [plain_spans(t) for _, t, *_ in rows]
     want = Counter((r[0], *(sum(k == s[0] for s in b) for k in ("email", "ip", "card", "phone")), digest(b)) for r, b in zip(rows, base, strict=True))
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == want
-    # the method's spans, from the definition: shares of information over whole texts, any word, three distinct texts
+    terms, spans = disclosed(rows, base, pii.DISCOUNT)
+    assert "zanzibaro" in terms and "by" in terms and "010" not in terms
+    assert Counter((r.doc_id, r.spans) for r in out) == spans
+
+
+def disclosed(rows, base, discount):
+    """The disclosing terms and the spans, from the definition: shares of information over whole texts, any word, of values and kinds, discounted by the number of texts."""
     n = len(rows)
-    docs_of, both, support, about = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    docs_of, both, support = Counter(), Counter(), defaultdict(set)
     named = Counter()
     outside = []
     for (_, t, *_), b in zip(rows, base, strict=True):
@@ -74,22 +80,36 @@ def test_op4(spark, folder):
         docs_of.update({w for *_, w in found})
         free = [x for x in found if not any(x[0] < e and s < x[1] for _, s, e in b)]
         outside.append(free)
-        entities = {f"{k}:{t[s:e].lower() if k in ('email', 'ip') else re.sub('[^0-9]', '', t[s:e])}" for k, s, e in b}
+        entities = {f"{k}:{t[s:e].lower() if k in ('email', 'ip') else re.sub('[^0-9]', '', t[s:e])}" for k, s, e in b} | {f"{k}:" for k, _, _ in b}
         named.update(entities)
         page = " ".join(words(t))
         for e in entities:
-            about[e].add(page)
             for w in {w for *_, w in free}:
                 both[e, w] += 1
                 support[e, w].add(page)
     terms = set()
     for (e, w), k in both.items():
-        total = math.log2(n / named[e])
-        if len(about[e]) >= 3 and len(support[e, w]) >= 3 and total > 0 and math.log2(n * k / (named[e] * docs_of[w])) / total >= pii.DISCLOSURE - 1e-9:
+        total, texts = math.log2(n / named[e]), len(support[e, w])
+        if total > 0 and math.log2(n * k / (named[e] * docs_of[w])) / total * texts / (texts + discount) >= pii.DISCLOSURE - 1e-9:
             terms.add(w)
-    assert "zanzibaro" in terms and "by" in terms and "010" not in terms
     order = ("email", "ip", "card", "phone", "term")
     spans = Counter((r[0], joined(sorted([*b, *(("term", s, e) for s, e, w in o if w in terms)], key=lambda x: (x[1], order.index(x[0]), x[2])))) for r, b, o in zip(rows, base, outside, strict=True))
+    return terms, spans
+
+
+@pytest.mark.parametrize("discount", [0.0, 0.5, 3.0])
+def test_disclosure_by_values_and_kinds(spark, discount):
+    rng = random.Random(9)
+    rows = [(i, f"{prose(i, 40)} unique{i} Zanzibaro met {rng.choice(['ann', 'eve'])}@example.org {prose(i + 500, 20)}") for i in range(7)]
+    # addresses that stand once each, with words that go with addresses
+    rows += [(20 + i, f"{prose(20 + i, 30)} contactus at u{i}@example.org or {i}.2.3.4 helpdesk{'' if i % 4 else ' forms'}") for i in range(12)]
+    # an address book, thrice
+    rows += [(40 + i, " ".join(f"p{k}@book.org name{k}" for k in range(30)) + prose(40 + i, 20)) for i in range(3)]
+    rows += [(60 + i, prose(900 + i, 60)) for i in range(150)] + [(300, "contactus elsewhere")]
+    base = [plain_spans(t) for _, t in rows]
+    terms, spans = disclosed(rows, base, discount)
+    assert ("contactus" in terms) == (discount < 3) and ("unique3" in terms) == (discount == 0) and ("name7" in terms) == (discount < 3)
+    out = pii.found(table(spark, rows), discount).select("doc_id", pii.listed(F.col("spans")).alias("spans")).collect()
     assert Counter((r.doc_id, r.spans) for r in out) == spans
 
 

@@ -3,13 +3,16 @@
 The base patterns find email addresses, IP addresses, card and phone numbers. These are the protected entities.
 A term may give an entity away even when the entity itself is masked: over the corpus, the pointwise mutual information of term t and entity e, log2(N n(e,t) / (n(e) n(t))) with n counting documents, says how many
 bits of e's information content log2(N / n(e)) the term reveals. All counts are over whole texts and all documents,
-wherever in a text the two stand. A term is a run of letters and digits, of any length. Terms that reveal at least the
-share `disclosure` of an entity's information become spans too, at every occurrence in every document. `sanitised`
-replaces entities by their kind, and terms by the kinds of what they reveal (`<email-related>`); terms that reveal at
-least the share `removal` are left out.
+wherever in a text the two stand. A term is a run of letters and digits, of any length. Entities are protected by value
+and by kind: that a document holds an address at all is an entity as well, so that words that go with addresses are
+found even where each address stands once. Terms that reveal at least the share `disclosure` of an entity's information
+become spans too, at every occurrence in every document. `sanitised` replaces entities by their kind, and terms by the
+kinds of what they reveal (`<email-related>`); terms that reveal at least the share `removal` are left out.
 
-A term needs `min_support` distinct texts that hold both as evidence: of one text, every word would reveal its entities
-wholly. Copies of one page are one text, so they prove nothing.
+An estimate from few texts is discounted by its own uncertainty: the share is multiplied by s / (s + `discount`), where
+s distinct texts hold both (copies of one page are one text). Of one text, every rare word would reveal its entities
+wholly; `discount` 0 says so, and is the exact count. No pair is dropped: what has too few texts to reach `disclosure`
+at any strength of association follows from the two numbers (`least_texts`), and isn't counted further.
 
 Defined cases: null and blank texts have no spans; equal rows get equal results (each row has its own key from
 its first pass on, whatever its id); an empty table gives no rows; extra columns are ignored, whatever their names,
@@ -19,6 +22,7 @@ and pass through `sanitised`; no text is so long that a pattern is not linear in
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from bisect import bisect_left
@@ -34,7 +38,7 @@ from .common import broadcast_small, own_columns, written
 
 #: Kinds in the order in which spans that start together are listed; "term" is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
-MIN_SUPPORT = 3
+DISCOUNT = 0.5
 DISCLOSURE, REMOVAL = 0.85, 0.999
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -126,9 +130,12 @@ def known_terms(terms: DataFrame) -> Callable[[str], bool]:
     """Whether a word may be one of the terms, by the bits of their checksums (of a bounded number), which go to the tasks."""
     # so many bits a term that of the other words, which are far more, hardly any pass
     size = 1 << min(27, max(16, (terms.count() << 14).bit_length()))
+    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size)) + 1
+    made = terms.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = bytearray(size >> 3)
-    for r in terms.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size)).alias("at")).distinct().toLocalIterator():
-        bits[r["at"] >> 3] |= 1 << (r["at"] & 7)
+    for r in made.collect():  # 4 KB each, and no more of them than size holds
+        begin = (r.bucket - 1) * len(r.bits)
+        bits[begin : begin + len(r.bits)] = r.bits
     held = bytes(bits)
 
     def may_be(word: str) -> bool:
@@ -161,23 +168,38 @@ def document_counts(docs: DataFrame, may_be: Callable[[str], bool], flush: int =
     return docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("docs"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, revealed): the terms that reveal more than the share `disclosure` of an entity's information."""
-    each = scanned.select("ordinal", "page", F.explode("entities").alias("entity"))
-    # an entity with too few distinct texts can't support any term
-    entities = each.groupBy("entity", "page").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("about"), F.sum("n").alias("n_entity"))
-    entities = written(entities.where(F.col("about") >= min_support).select("entity", "n_entity"), "pii-entities")
-    held = each.join(broadcast_small(entities.select("entity")), "entity", "left_semi").groupBy("ordinal").agg(F.collect_list("entity").alias("held"))
-    pairs = scanned.select("ordinal", "page", "terms").join(held, "ordinal").select("page", "held", F.explode("terms").alias("term")).select("page", "term", F.explode("held").alias("entity"))
-    both = pairs.groupBy("entity", "term", "page").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
-    both = written(both.where(F.col("support") >= min_support).join(entities, "entity"), "pii-pairs")
+def least_texts(discount: float, disclosure: float) -> int:
+    """The fewest texts s for which s / (s + discount) reaches disclosure."""
+    return max(1, math.ceil(discount * disclosure / (1 - disclosure) - 1e-9)) if disclosure < 1 or not discount else 2**62
+
+
+def disclosing(scanned: DataFrame, docs: DataFrame, discount: float = DISCOUNT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term, revealed): the terms that reveal more than the share `disclosure` of an entity's information.
+
+    Entities that stand in the same texts (an address book's) are counted as one group.
+    """
+    needed = least_texts(discount, disclosure)
+    kinds = F.array_distinct(F.transform("entities", lambda e: F.concat(F.substring_index(e, ":", 1), F.lit(":"))))
+    each = scanned.select("ordinal", "page", F.explode(F.concat("entities", kinds)).alias("entity"))
+    pages = each.groupBy("entity", "page").agg(F.count("*").alias("n"))
+    signature = [F.bit_xor(F.xxhash64(F.lit(i), "page")).alias(f"g{i}") for i in (1, 2)]
+    entities = pages.groupBy("entity").agg(F.count("*").alias("about"), F.sum("n").alias("n_entity"), *signature)
+    group = F.concat_ws(":", "about", "n_entity", "g1", "g2")
+    entities = written(entities.where(F.col("about") >= needed).select("entity", group.alias("group"), "n_entity"), "pii-entities")
+    held = each.join(broadcast_small(entities.select("entity", "group")), "entity").groupBy("ordinal").agg(F.collect_set("group").alias("held"))
+    pairs = scanned.select("ordinal", "page", "terms").join(held, "ordinal").select("page", "held", F.explode("terms").alias("term")).select("page", "term", F.explode("held").alias("group"))
+    both = pairs.groupBy("group", "term", "page").agg(F.count("*").alias("n")).groupBy("group", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
+    both = written(both.where(F.col("support") >= needed), "pii-pairs")
     n = float(docs.count())
     supported = written(both.select("term").distinct(), "pii-supported")
     terms = document_counts(docs, known_terms(supported)).join(supported, "term", "left_semi")
+    groups = entities.groupBy("group").agg(F.first("n_entity").alias("n_entity"))
     bits = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("docs")))
     total = F.log2(n / F.col("n_entity"))
-    joined = both.join(terms, "term")
-    return joined.withColumn("revealed", bits / total).where((total > 0) & (F.col("revealed") >= disclosure - 1e-12)).select("entity", "term", "revealed")
+    sure = F.col("support") / (F.col("support") + discount)
+    joined = both.join(terms, "term").join(broadcast_small(groups), "group").where(total > 0).withColumn("revealed", bits / total * sure)
+    found = joined.where(F.col("revealed") >= disclosure - 1e-12).select("group", "term", "revealed")
+    return found.join(entities.select("entity", "group"), "group").select("entity", "term", "revealed")
 
 
 def by_term(pairs: DataFrame) -> DataFrame:
@@ -208,14 +230,14 @@ def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
 SPAN = "struct<kind string, start int, end int>"
 
 
-def found(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def found(docs: DataFrame, discount: float = DISCOUNT, disclosure: float = DISCLOSURE) -> DataFrame:
     """ordinal, doc_id, base and spans (both arrays of kind, start, end), one row per row of docs."""
-    return _found(docs.select(F.monotonically_increasing_id().alias("ordinal"), "doc_id", "text"), min_support, disclosure)
+    return _found(docs.select(F.monotonically_increasing_id().alias("ordinal"), "doc_id", "text"), discount, disclosure)
 
 
-def _found(own: DataFrame, min_support: int, disclosure: float) -> DataFrame:
+def _found(own: DataFrame, discount: float, disclosure: float) -> DataFrame:
     """`found`, of rows with ordinals; and terms: array of start, end, of and revealed of the disclosing terms."""
-    terms = written(by_term(disclosing(written(scan(own), "pii-scan"), own, min_support, disclosure)), "pii-terms")
+    terms = written(by_term(disclosing(written(scan(own), "pii-scan"), own, discount, disclosure)), "pii-terms")
     rows = written(marked(own, terms), "pii-marked")
     may = rows.where(F.size("may") > 0).select("ordinal", F.explode("may").alias("x")).select("ordinal", "x.*")
     each = may.join(broadcast_small(terms), "term").groupBy("ordinal").agg(F.collect_list(F.struct("start", "end", "of", "revealed")).alias("terms"))
@@ -231,10 +253,10 @@ def listed(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
-def sanitised(docs: DataFrame, generalise: bool = True, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+def sanitised(docs: DataFrame, generalise: bool = True, discount: float = DISCOUNT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
     """docs, in its columns, with every span generalised, or removed where it reveals too much or nothing is generalised."""
     own = written(docs.select(F.struct(*own_columns(docs)).alias("doc"), F.monotonically_increasing_id().alias("ordinal")), "pii-docs")
-    marks = _found(own.select("ordinal", "doc.doc_id", "doc.text"), min_support, disclosure).where(F.size("spans") > 0)
+    marks = _found(own.select("ordinal", "doc.doc_id", "doc.text"), discount, disclosure).where(F.size("spans") > 0)
     mask = lambda x, name: F.struct(x["start"].alias("start"), x["end"].alias("end"), name.alias("mask"))
     base = F.transform("base", lambda x: mask(x, F.concat(F.lit("<"), x["kind"], F.lit(">"))))
     terms = F.transform("terms", lambda x: mask(x, F.when(x["revealed"] < removal, F.concat(F.lit("<"), x["of"], F.lit("-related>"))).otherwise("")))
