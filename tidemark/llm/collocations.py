@@ -40,8 +40,8 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 DOMINANCE = 50
 #: Bytes of text in a shard, and of all texts for each part of the sketch, which has 2^BITS counters.
 SHARD_BYTES, PART_BYTES, BITS = 8 << 20, 8 << 20, 22
-#: Copies of the counts that the parts of phrases are joined with, so that a word that a third of them share is no one task.
-SALTS = 16
+#: Phrases of at least 1 / COMMON of all words go to every task; there are at most COMMON of them of each length.
+COMMON = 10_000
 
 _UPPER = bytes(range(65, 91))
 _PLAIN = bytes.maketrans(_UPPER + b".,;:!?\n\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 10 + b" ")
@@ -264,9 +264,14 @@ def scored(counts: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
     candidates = counts.where("size > 1").withColumn("words", F.split("phrase", " "))
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     sides = cuts.select("lang", F.col("phrase").alias("whole"), "f", "k", F.explode(F.array(F.struct(part_of(F.lit(1), F.col("k")).alias("part"), F.lit(True).alias("left")), F.struct(part_of(F.col("k") + 1, F.col("size")).alias("part"), F.lit(False).alias("left")))).alias("s"))
-    sides = sides.select("lang", "whole", "f", "k", "s.*").withColumn("salt", F.pmod(F.xxhash64("whole"), F.lit(SALTS)).cast("int"))
-    salted = words.select("lang", F.col("phrase").alias("part"), F.col("f").alias("side"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = sides.join(salted, ["lang", "part", "salt"]).groupBy("lang", "whole", "f", "k").agg(F.max(F.when(F.col("left"), F.col("side"))).alias("l"), F.max(F.when(~F.col("left"), F.col("side"))).alias("r"))
+    sides = sides.select("lang", "whole", "f", "k", "s.*")
+    total = counts.where("size = 0").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    # what many phrases have in common is frequent itself; the other parts stand in few of them
+    often = F.col("f") * COMMON >= total
+    common, rare = (words.where(c).select("lang", F.col("phrase").alias("part"), F.col("f").alias("side")) for c in (often, ~often))
+    key = ["lang", "part"]
+    found = sides.join(F.broadcast(common), key).unionByName(sides.join(F.broadcast(common), key, "left_anti").join(rare, key))
+    met = found.groupBy("lang", "whole", "f", "k").agg(F.max(F.when(F.col("left"), F.col("side"))).alias("l"), F.max(F.when(~F.col("left"), F.col("side"))).alias("r"))
     exact = met.select(F.col("lang"), F.col("whole").alias("phrase"), F.col("f").alias("a"), "k", "l", "r", F.expr("(CAST(1000000 AS DECIMAL(7,0)) * CAST(f AS DECIMAL(14,0)) * CAST(f AS DECIMAL(14,0))) div (CAST(l AS DECIMAL(14,0)) * CAST(r AS DECIMAL(14,0)))").alias("score"))
     best = exact.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
     spans = candidates.where("size > 2").withColumn("n", F.explode(F.sequence(F.lit(2), F.col("size") - 1))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)))
