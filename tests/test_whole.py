@@ -11,7 +11,6 @@ import pandas as pd
 import pytest
 
 from tidemark.operators import factors as X
-from tidemark.operators import regime as K
 from tidemark.plans import factors, portfolios, relational, supplements, technicals
 
 DAY = dt.date(1995, 1, 1)
@@ -49,13 +48,21 @@ def test_pair_correlations_of_constants_are_null(spark):
     assert {(r.a, r.b): r.c for r in X.pair_correlations(rows).collect()} == {(1, 2): None, (1, 3): None, (2, 3): pytest.approx(1)}
 
 
-def test_asof_regime_probes_all_entities(spark):
+def test_asof_regime_is_the_index_for_all_entities(spark):
     p, x = series(spark, 8, 330)
-    states = sorted((r.d, r.above200) for r in K.exposure_ladder(p.sbars.where("id = 1")).collect())
-    known = [d for d, _ in states]
-    at = lambda d: bool(bisect_right(known, d) and states[bisect_right(known, d) - 1][1])
+    x["r"] = x.groupby("id").close.pct_change()
+    day = x[x.r.abs() < 0.5].groupby("d").r.mean().sort_index()
+    level = (1 + day).cumprod()
+    mean = level.rolling(200).mean().dropna()
+    raw = list(level[mean.index] > mean)
+    states, run = [], 0
+    for i, now in enumerate(raw):
+        run = run + 1 if i and now == raw[i - 1] else 1
+        states.append(now if run >= 3 else states[-1] if states else raw[0])
+    known = list(mean.index)
+    at = lambda d: bool(bisect_right(known, d) and states[bisect_right(known, d) - 1])
     got = sorted((r.id, r.d, r.up) for r in portfolios.asof_regime(p).collect())
-    assert got == sorted((i, d, at(d)) for i, d in zip(x.id, x.d, strict=True))
+    assert got == sorted((i, d, at(d)) for i, d in zip(x.id, x.d, strict=True)) and len({u for *_, u in got}) == 2
 
 
 def raw_bars(spark):

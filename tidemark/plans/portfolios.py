@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio as B
 from tidemark.operators import regime as K
+from tidemark.operators.asof import asof_join
 from tidemark.operators.windows import Series, debounced
 
 from tidemark.functions.ranks import quantiles
@@ -32,6 +33,9 @@ def debounce(p):
     return debounced(rows, ["id"], "d", "raw", 3, 3).select("id", "d", "raw", "state")
 
 
+_INDEX_RUNS = "SELECT d, state FROM (WITH src AS (SELECT id, d, level > ma AS raw FROM im), " + _RUNS.format(up=3, down=3) + " SELECT * FROM st)"
+
+
 def _ladder_sql(k):
     return f"SELECT id, d, state FROM (WITH src AS (SELECT id, d, close > ma{k} AS raw FROM mas), " + _RUNS.format(up=3, down=3) + " SELECT * FROM st)"
 
@@ -79,16 +83,16 @@ def episodes(p):
     return K.episodes(months, "id", "k")
 
 
-@query("asof_regime", LADDER + ", ix AS (SELECT d AS known, id, state FROM s200 WHERE id = 1), o AS (SELECT id, d FROM sbars) SELECT o.id, o.d, COALESCE(ix.state, false) AS up FROM o ASOF LEFT JOIN ix ON o.d >= ix.known")
+@query("asof_regime", _EW + f", im AS (SELECT * FROM (SELECT 1 AS id, d, level, AVG(level) OVER w AS ma, COUNT(level) OVER w AS n FROM idx WINDOW w AS (ORDER BY d ROWS 199 PRECEDING)) WHERE n = 200), ix AS ({_INDEX_RUNS}), o AS (SELECT id, d FROM sbars) SELECT o.id, o.d, COALESCE(ix.state, false) AS up FROM o ASOF LEFT JOIN ix ON o.d >= ix.d")
 def asof_regime(p):
+    """Whether the market's index is confirmed above its mean of 200 days, as known on each entity's days."""
     return p.sbars.select("id", "d").join(regime_by_day(p), "d").select("id", "d", "up")
 
 
 def regime_by_day(p):
     """d, up: the index's state on each day that any entity has; one row a day, so its one partition is bounded by the calendar."""
-    from tidemark.operators.asof import asof_join
-
-    one = K.exposure_ladder(p.sbars.where("id = 1")).select(F.lit(1).alias("k"), F.col("d").alias("known"), F.col("above200").alias("state"))
+    index = ew_index(p).select(F.lit(1).alias("k"), "d", "level")
+    one = K.exposure_ladder(index, "k", "d", "level", (200,)).select("k", F.col("d").alias("known"), F.col("above200").alias("state"))
     days = p.sbars.select(F.lit(1).alias("k"), "d").distinct()
     return asof_join(days, one, ["k"], "d", "known").select("d", F.coalesce("state", F.lit(False)).alias("up"))
 
@@ -214,9 +218,12 @@ def entries(p):
     return rows.select("id", F.col("t").alias("t0"), F.col("close").alias("close0"), (F.col("lo") * 0.97).alias("support"), F.least(F.col("sd") * 2.5, F.lit(15.0)).alias("buffer"))
 
 
-@query("exit_trailing", _ENTRY + f""", nx AS (SELECT id, t, close, LEAD(open) OVER (PARTITION BY id ORDER BY t) AS nxt FROM sbars), pth AS (SELECT e.*, n.t, n.close, COALESCE(n.nxt, n.close) AS fill, GREATEST(close0, MAX(n.close) OVER (PARTITION BY e.id, t0 ORDER BY n.t)) AS peak FROM ent e JOIN nx n ON n.id = e.id AND n.t > t0 AND n.t <= t0 + 20),
+_EXITS = f""", nx AS (SELECT id, t, close, LEAD(open) OVER (PARTITION BY id ORDER BY t) AS nxt FROM sbars), pth AS (SELECT e.*, n.t, n.close, COALESCE(n.nxt, n.close) AS fill, GREATEST(close0, MAX(n.close) OVER (PARTITION BY e.id, t0 ORDER BY n.t)) AS peak FROM ent e JOIN nx n ON n.id = e.id AND n.t > t0 AND n.t <= t0 + 20),
     h AS (SELECT *, CASE WHEN close < support THEN 'support' WHEN close < peak * (1 - buffer / 100) THEN 'trailing' END AS reason FROM pth), f AS (SELECT id, t0, close0, t, reason, fill, ROW_NUMBER() OVER (PARTITION BY id, t0 ORDER BY (reason IS NULL), CASE WHEN reason IS NULL THEN -t ELSE t END) AS k, close FROM h)
-    SELECT id, t0, t, COALESCE(reason, 'time') AS reason, {R4("CASE WHEN reason IS NULL THEN close ELSE fill END / close0 - 1")} AS ret FROM f WHERE k = 1""")
+    SELECT id, t0, t, COALESCE(reason, 'time') AS reason, {R4("CASE WHEN reason IS NULL THEN close ELSE fill END / close0 - 1")} AS ret FROM f WHERE k = 1"""
+
+
+@query("exit_trailing", _ENTRY + _EXITS)
 def exit_trailing(p):
     return B.exits(entries(p), p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
 

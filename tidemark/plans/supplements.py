@@ -16,8 +16,9 @@ from tidemark.sources import store
 
 from .base import R4, query, r4
 from .factors import SCORED, cohorts, scored
-from .portfolios import HELD, REGIME, entries, nets
+from .portfolios import _ENTRY, _EXITS, HELD, REGIME, entries, nets
 from .snapshot import _ENDS, DIMS, FEATURES, MOMENTUM, RATED, TECHNICAL, dimensions, month_ends, rated, statement_facts
+from .technicals import _TR, P, roll
 
 S = Series()
 
@@ -113,12 +114,18 @@ def dca_series(p):
     return of(nets(p), "held").unionByName(of(market, "market"))
 
 
-@query("exit_full")
+#: The entries, with the narrower of the two buffers.
+_BANDED = _ENTRY.replace("ent AS MATERIALIZED", "ent0 AS MATERIALIZED") + f""", cr AS (SELECT id, d, t, close, close / LAG(close) OVER w - 1 AS r, {_TR} AS tr FROM sbars WINDOW w AS ({P})),
+    cb AS (SELECT id, t, LEAST(GREATEST(GREATEST(COALESCE({roll("STDDEV_SAMP", "r", 90, 3)}, 0) * 100, AVG(tr) OVER ({P} ROWS 13 PRECEDING) / close * 100) * 15::DOUBLE, 15), 45) AS band FROM cr),
+    ent AS MATERIALIZED (SELECT e.id, t0, d0, close0, support, LEAST(buffer, band) AS buffer FROM ent0 e JOIN cb ON cb.id = e.id AND cb.t = t0)"""
+
+
+@query("exit_full", _BANDED + _EXITS)
 def exit_full(p):
     """Exits of an entry at every bar, by the narrower of the two buffers."""
     band = T.chase_band(p.sbars).select("id", F.col("t").alias("t0"), "band")
     e = entries(p).join(band, ["id", "t0"]).withColumn("buffer", F.least("buffer", "band")).drop("band")
-    return B.exits(e, p.sbars)
+    return B.exits(e, p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
 
 
 @query("vol_profile", """, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY d DESC) AS n FROM sbars), l AS (SELECT *, MIN(close) OVER (PARTITION BY id) AS lo, MAX(close) OVER (PARTITION BY id) AS hi FROM n WHERE n <= 90),
