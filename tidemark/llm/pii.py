@@ -38,7 +38,7 @@ from .common import broadcast_small, own_columns, written
 
 #: Kinds in the order in which spans that start together are listed; "term" is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
-DISCOUNT = 0.5
+DISCOUNT = 0.35
 DISCLOSURE, REMOVAL = 0.85, 0.999
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
