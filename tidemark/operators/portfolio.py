@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 COST, RISK_FREE = 0.00585, 0.01
 
 
-def held_returns(holdings: DataFrame, step: str = "i", name: str = "id", fwd: str = "fwd", cost: float = COST) -> DataFrame:
-    """(step, n, turnover, gross, net) of equal-weight holdings with forward returns in percent; the first step is all new."""
+def held_returns(holdings: DataFrame, step: str = "i", name: str = "id", fwd: str = "fwd", cost: float = COST, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, step, n, turnover, gross, net) of equal-weight holdings with forward returns in percent; the first step is all new."""
     # held before: the name's last step is the one before
-    kept = F.lag(step).over(Window.partitionBy(name).orderBy(step)) == F.col(step) - 1
+    kept = F.lag(step).over(Window.partitionBy(*by, name).orderBy(step)) == F.col(step) - 1
     both = holdings.withColumn("_kept", F.when(kept, 1))
-    by = both.groupBy(step).agg(F.count("*").alias("n"), (1 - F.count("_kept").cast("double") / F.count("*")).alias("turnover"), (F.avg(fwd) / 100).alias("gross")).where("gross IS NOT NULL")
-    return by.withColumn("net", F.col("gross") - F.col("turnover") * cost)
+    each = both.groupBy(*by, step).agg(F.count("*").alias("n"), (1 - F.count("_kept").cast("double") / F.count("*")).alias("turnover"), (F.avg(fwd) / 100).alias("gross")).where("gross IS NOT NULL")
+    return each.withColumn("net", F.col("gross") - F.col("turnover") * cost)
 
 
 def curve(returns: DataFrame, step: str = "i", r: str = "net", *by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogues, factors, features, labs, portfolios, profiles, relational, search, snapshot, streams, supplements, technicals  # noqa: F401
+from . import catalogues, factors, features, labs, portfolios, profiles, relational, samples, search, snapshot, streams, supplements, technicals  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
