@@ -39,7 +39,9 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A candidate is dropped if a longer one that holds it is found this many hundredths as often.
 DOMINANCE = 50
 #: Bytes of text in a shard, and of all texts for each part of the sketch, which has 2^BITS counters.
-SHARD_BYTES, PART_BYTES, BITS = 8 << 20, 8 << 20, 22
+SHARD_BYTES, PART_BYTES, BITS = 8 << 20, 8 << 20, 21
+#: Parts of the sketch whose phrases are summed in one group.
+TOGETHER = 8
 #: Phrases of at least 1 / COMMON of all words go to every task; there are at most COMMON of them of each length.
 COMMON = 10_000
 
@@ -130,7 +132,7 @@ def shards(docs: DataFrame, parts: int, min_count: int, most: int, shard_bytes:
             rows, keys, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lang, lines in texts.items():
                 plain = b"\n".join(lines)
-                rows.append((number + k, -1, lang, zstandard.ZstdCompressor(level=1).compress(plain)))
+                rows.append((number + k, -1, lang, zstandard.ZstdCompressor(level=3).compress(plain)))
                 phrases = Phrases(plain, lang, most)
                 keys += [phrases.keys(n) for n in range(1, most + 1)]
                 counts += [c for _, c in phrases.found]
@@ -190,13 +192,15 @@ def scanned(plain: bytes, phrases: list[str]) -> np.ndarray:
 def packed_counts(phrases: list[str], counts: list[int]) -> bytes:
     """Phrases, in order, and their counts in few bytes."""
     plain = "\n".join(phrases).encode()
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(plain)], "<i8").tobytes() + plain + np.array(counts, "<i8").tobytes())
+    planes = np.ascontiguousarray(np.array(counts, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(plain)], "<i8").tobytes() + plain + planes)
 
 
 def unpacked_counts(payload: bytes) -> tuple[list[str], np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(payload)
     end = 8 + int(np.frombuffer(data, "<i8", 1)[0])
-    return data[8:end].decode().split("\n"), np.frombuffer(data[end:], "<i8").astype(np.int64)
+    planes = np.frombuffer(data[end:], np.uint8).reshape(8, -1)
+    return data[8:end].decode().split("\n"), np.ascontiguousarray(planes.T).view("<i8").ravel().astype(np.int64)
 
 
 def shard_counts(texts: DataFrame, heavy: DataFrame, parts: int, most: int) -> DataFrame:
@@ -215,9 +219,11 @@ def shard_counts(texts: DataFrame, heavy: DataFrame, parts: int, most: int) -> D
                 place = part << BITS | bucket
                 at = np.searchsorted(reached, place)
                 which = np.flatnonzero(reached[np.minimum(at, len(reached) - 1)] == place) if len(reached) else np.zeros(0, np.int64)
-                candidates += zip(part[which].tolist(), phrases.texts(n, which), strict=True)
+                candidates += zip((part[which] // TOGETHER).tolist(), phrases.texts(n, which), strict=True)
+            n_words = len(phrases.ids)
+            del phrases  # before the automaton is made
             counts = scanned(plain, [p for _, p in candidates]) if candidates else []
-            rows = sorted([(0, "", len(phrases.ids)), *((part, phrase, int(c)) for (part, phrase), c in zip(candidates, counts, strict=True))])
+            rows = sorted([(0, "", n_words), *((part, phrase, int(c)) for (part, phrase), c in zip(candidates, counts, strict=True))])
             for part, group in groupby(rows, itemgetter(0)):
                 _, names, sums = zip(*group, strict=True)
                 out.append((0, part, lang, packed_counts(names, sums)))
