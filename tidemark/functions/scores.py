@@ -220,6 +220,14 @@ def peg_score(peg: Column) -> Column:
     return F.when(peg.isNotNull(), out.otherwise(0.0))
 
 
+def history_score(c=F.col) -> Column:
+    """Mean of how low pe and pb, and how high the yield, stand in their own histories, by weights renormalised to what is known; null without pe_pct and pb_pct."""
+    parts = [(100 - c("pe_pct"), 0.45), (100 - c("pb_pct"), 0.30), (c("yield_pct"), 0.25)]
+    w = sum((F.when(v.isNotNull(), x).otherwise(0.0) for v, x in parts), F.lit(0.0))
+    b = sum((F.coalesce(v, F.lit(0.0)) * x for v, x in parts), F.lit(0.0)) / F.nullif(w, F.lit(0.0))
+    return F.when(c("pe_pct").isNotNull() | c("pb_pct").isNotNull(), b)
+
+
 def valuation_score(c=F.col) -> Column:
     """The industry percentile where known; else .85 of the PEG score and .15 of the historical ranks; capped at 30 for a dear price without growth.
 
@@ -227,10 +235,7 @@ def valuation_score(c=F.col) -> Column:
     """
     peg = F.when((c("pe") > 0) & (c("growth") > 0), c("pe") / c("growth"))
     a = peg_score(peg)
-    parts = [(100 - c("pe_pct"), 0.45), (100 - c("pb_pct"), 0.30), (c("yield_pct"), 0.25)]
-    w = sum((F.when(v.isNotNull(), x).otherwise(0.0) for v, x in parts), F.lit(0.0))
-    b = sum((F.coalesce(v, F.lit(0.0)) * x for v, x in parts), F.lit(0.0)) / F.nullif(w, F.lit(0.0))
-    b = F.when(c("pe_pct").isNotNull() | c("pb_pct").isNotNull(), b)
+    b = history_score(c)
     mix = F.when(a.isNotNull() & b.isNotNull(), a * 0.85 + b * 0.15).otherwise(F.coalesce(a, b))
     grows = F.coalesce(peg < 1.0, F.lit(False)) | F.coalesce(c("cum_yoy") >= 15, F.lit(False))
     checked = peg.isNotNull() | c("cum_yoy").isNotNull() | c("growth").isNotNull()

@@ -59,7 +59,7 @@ def val_variants(p):
     """Spread of the valuation by the share that the growth-adjusted price has in it."""
     rows = with_forward(p, dimensions(p)).withColumn("variant", F.explode(F.array(*map(F.lit, MIXES))))
     a = R.peg_score(F.when((F.col("pe") > 0) & (F.col("growth") > 0), F.col("pe") / F.col("growth")))
-    b, w = 100 - F.col("pe_pct"), F.col("variant") / 100.0
+    b, w = R.history_score(), F.col("variant") / 100.0
     return spreads(rows.withColumn("v", F.floor(F.when(a.isNotNull() & b.isNotNull(), a * w + b * (1 - w)).otherwise(F.coalesce(a, b)) * 1000000 + 0.5)))
 
 
