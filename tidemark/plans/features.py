@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores as R
 from tidemark.functions.numeric import ratio
 from tidemark.operators import flow as C
-from tidemark.operators import technical as T
 from tidemark.operators.windows import Series, latest_row
 
 from .base import R4, query, r4
