@@ -39,7 +39,7 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A candidate is dropped if a longer one that holds it is found this many hundredths as often.
 DOMINANCE = 50
 #: Bytes of text in a shard, and of all texts for each part of the sketch, which has 2^BITS counters.
-SHARD_BYTES, PART_BYTES, BITS = 8 << 20, 8 << 20, 21
+SHARD_BYTES, PART_BYTES, BITS = 5 << 20, 8 << 20, 21
 #: Parts of the sketch whose phrases are summed in one group.
 TOGETHER = 8
 #: Phrases of at least 1 / COMMON of all words go to every task; there are at most COMMON of them of each length.
