@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from test_cases import expected_components, expected_removed, prose, table
 
-from tidemark.llm import common, ngram_join, repeats, substring_dedup
+from tidemark.llm import common, ngram_join, pii, repeats, substring_dedup
 
 PERIODIC = ["alpha " * 40, "alpha beta " * 40, "a b c d e f g " * 12]
 
@@ -75,3 +75,31 @@ def test_scratch_deletes_its_tables(spark):
     assert before.count() == 3
     with pytest.raises(Exception, match="(?i)path.*not|not exist|FILE_NOT"):
         within.sparkSession.read.parquet(within.inputFiles()[0])
+
+
+def joined_rows(df):
+    """How many rows each join made for df's result, in ascending order."""
+    df.collect()
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan" or "QueryStage" in name:
+            todo.append(node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan())
+            continue
+        if "Join" in name:
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return sorted(made)
+
+
+def test_joins_of_disclosing_terms_do_not_grow_with_partitions(spark):
+    rows = [(i, f"{prose(i, 20)} Zanzibaro met ann@example.org {prose(i + 500, 20)}") for i in range(40)] + [(100 + i, f"Zanzibaro {prose(900 + i, 60)}") for i in range(20)]
+
+    def made(partitions):
+        docs = table(spark, rows).repartition(partitions).select(F.monotonically_increasing_id().alias("ordinal"), "text")
+        docs = common.written(docs, "docs")
+        spread = docs.repartition(partitions)
+        return joined_rows(pii.disclosing(common.written(pii.scan(docs), "scan"), spread))
+
+    assert made(1) and made(1) == made(20)
