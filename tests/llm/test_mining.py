@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from test_cases import odd_rows, prose, table
 from tokenizers import Tokenizer
 
-from tidemark.llm import collocations, packing, whitening
+from tidemark.llm import collocations, common, packing, whitening
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,82 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert (row.a, row.l, row.r, row.score) == (a, left, right, 1000000 * a * a // (left * right))
 
 
+def test_phrases_of_rare_words_are_no_candidates():
+    phrases = collocations.Phrases(b"the old man the old\nman the rareword the old x the old", "en", 3)
+    parts = 3
+    of = lambda n, which: dict(zip(phrases.texts(n, which, phrases.words).to_pylist(), which, strict=True))
+    place = lambda n, which: (lambda p, b: p << collocations.BITS | b)(*collocations.places(phrases.keys(n, which), parts))
+    every = [of(n, np.arange(len(phrases.found[n - 1][0]))) for n in (1, 2, 3)]
+    # by chance, the counters of all phrases are heavy, but those of two words are not
+    light = [place(1, np.array([every[0][w]]))[0] for w in ("rareword", "x")] + [place(2, np.array([every[1]["old man"]]))[0]]
+    reached = np.setdiff1d(np.concatenate([place(n, np.arange(len(every[n - 1]))) for n in (1, 2, 3)]), light)
+    found = [set(of(n, which)) for n, (which, _) in enumerate(phrases.candidates(reached, parts), 1)]
+    # no phrase goes from a line to the next
+    assert found == [{"the", "old", "man"}, {"the old", "man the"}, {"man the old"}]
+    assert [len(x) for x in phrases.candidates(reached[:0], parts)[0]] == [0, 0]
+
+
+def test_shards_are_kept_as_texts_alone_and_may_lie_apart(spark, monkeypatch):
+    rows, made = phrase_rows(), []
+
+    def apart(df, name):
+        df = common.written(df, name)
+        made.append((name, df.columns, df.count()))
+        return df.repartition(7) if name == "phrase-shards" else df
+
+    monkeypatch.setattr(collocations, "written", apart)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    out = collocations.collocations(docs, part_bytes=20000).collect()
+    assert Counter((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in out) == expected_phrases([(lang, text) for _, text, lang in rows])
+    # one shard, a row for each language, however many parts the sketch has
+    assert made[0] == ("phrase-shards", ["shard", "lang", "payload"], len({"und" if lang is None else lang for *_, lang in rows}))
+
+
+def test_codes_of_words_are_found_where_they_were_put():
+    ranks = [0, 1, 127, 128, 129, 383, 384, 128 + (128 << 8) - 1, 128 + (128 << 8), 99_999, 10**6, 1 << 30]
+    codes = [collocations.code(r) for r in ranks]
+    assert len(set(codes)) == len(codes) and not any(collocations.BREAK in c for c in codes)
+    rng = random.Random(8)
+    put = [rng.randrange(len(codes)) for _ in range(3000)]
+    phrases = [(i,) for i in range(len(codes))] + [(i, k) for i in range(len(codes)) for k in range(len(codes))]
+    want = [sum(tuple(put[at : at + len(p)]) == p for at in range(len(put))) for p in phrases]
+    got = collocations.scanned("".join(codes[i] for i in put), ["".join(codes[i] for i in p) for p in phrases])
+    assert got.tolist() == want
+
+
+def moved(df):
+    """How many rows pass all exchanges for df's result."""
+    df.collect()
+    rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan" or "QueryStage" in name:
+            todo.append(node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan())
+            continue
+        if name == "Exchange":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_scores_deal_each_phrase_out_once(spark):
+    counts = [("en", "", 0, 10**8)] + [("en", f"w{i}", 1, 50) for i in range(30)]
+    counts += [("en", f"w{i} w{k}", 2, 20) for i in range(30) for k in range(30)]
+    counts += [("en", f"w{i} w{k} w{(i + k) % 30}", 3, 15) for i in range(30) for k in range(15)]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = moved(collocations.scored(spark.createDataFrame(counts, "lang string, phrase string, size int, f long")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # 11,879 with sums by cut, then by phrase, then dealt to the join with the longer ones
+    assert rows <= 9000
+
+
 def test_sketch_rows_come_back_as_they_were_packed():
     buckets = np.array([0, 3, 70000, (1 << collocations.BITS) - 1])
     counts = np.array([1, 10, 300, 2])

@@ -6,8 +6,10 @@ task or driver holds it whole. A counter is never less than the count of a phras
 whose counter reaches the least count hold all frequent ones, and single words and parts of phrases as well.
 
 Texts are cut into shards of bounded bytes. Each shard says which counters it touches, learns which of them are heavy,
-compiles its own candidates into an Aho-Corasick automaton, with a space before and behind each phrase as a guard, and
-scans its text for all matches, overlapping ones included. The counts of all shards are summed, and the least count,
+compiles its own candidates into an Aho-Corasick automaton and scans its text for all matches, overlapping ones
+included. The automaton reads each word as one to three symbols, few for frequent words, of which the first stands
+nowhere else in a code, as a guard: it has far fewer states than one over letters. A phrase is no candidate if the
+counter of a part of it stays below the least count, as it is found no more often than its parts. The counts of all shards are summed, and the least count,
 the scores and the dominance of longer phrases are then decided on exact counts.
 
 Defined cases: a null text is empty; a null language is `und`; empty texts and pieces have no words; repeated rows
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, pairwise
 from operator import itemgetter
 
 import ahocorasick
@@ -51,6 +53,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+TEXTS = "shard long, lang string, payload binary"
 SHARDS = "shard long, part int, lang string, payload binary"
 COUNTS = "lang string, phrase string, f long"
 
@@ -70,6 +73,21 @@ def unpacked(payload: bytes, counted: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(number(planes[:3])), number(planes[3:])
 
 
+#: A symbol of no code.
+BREAK = "\uffff"
+
+
+def code(rank: int) -> str:
+    """One to three symbols for a number. The first symbol tells how many follow and is never one that follows, so codes are found in a row of codes where they were put only."""
+    if rank < 128:
+        return chr(257 + rank)
+    rank -= 128
+    if rank < 128 << 8:
+        return chr(385 + (rank >> 8)) + chr(1 + (rank & 255))
+    rank -= 128 << 8
+    return chr(513 + (rank >> 16)) + chr(1 + (rank >> 8 & 255)) + chr(1 + (rank & 255))
+
+
 class Phrases:
     """The phrases of up to `most` words of a text in plain form (pieces are lines): where each stands first, and how often it stands."""
 
@@ -78,34 +96,63 @@ class Phrases:
         space = _BREAK[data]
         starts, ends = word_spans(space)
         coded = words_at(data, space, starts, ends).dictionary_encode()
-        self.words = coded.dictionary.to_pylist()
+        self.words = coded.dictionary.cast(pa.large_binary()).cast(pa.large_string())
         self.ids = coded.indices.to_numpy().astype(np.int64)
-        line = np.searchsorted(np.flatnonzero(data == 10), starts)
-        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.line = np.searchsorted(np.flatnonzero(data == 10), starts)
+        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(self.words))
         self.seed = mixed(np.array([xxhash.xxh3_64_intdigest(lang.encode())], np.uint64))
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
-        key = self.ids
+        self.number: list[np.ndarray] = []  # of the phrase that starts at each word (-1: none)
+        at, key = np.arange(len(starts)), self.ids
         for n in range(1, most + 1):
             if n > 1:  # the number of the first n - 1 words, and the last word's, tell the phrase
-                whole = line[n - 1 :] == line[: len(line) - n + 1]
-                key = np.where(whole, key[: len(key) - 1] * max(len(self.words), 1) + self.ids[n - 1 :], -1) if len(line) >= n else key[:0]
-            _, first, key, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            full = np.ones(len(first), bool)
-            if n > 1 and len(first):
-                full = whole[first]
-            self.found.append((first[full], counts[full]))
-
-    def keys(self, n: int) -> np.ndarray:
-        """The hash of each phrase of n words."""
-        first = self.found[n - 1][0]
+                at = np.flatnonzero(self.line[n - 1 :] == self.line[: 1 - n])
+                key = self.number[-1][at].astype(np.int64) * len(self.words) + self.ids[at + n - 1]
+            _, first, which, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            self.found.append((at[first], counts))
+            self.number.append(np.full(len(starts), -1, np.int32))
+            self.number[-1][at] = which
+
+    def keys(self, n: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The hash of each of these phrases of n words."""
+        first = self.found[n - 1][0][which]
         out = np.repeat(self.seed + np.uint64(n), len(first))
         for k in range(n):
             out = mixed(out * _ODD + self.hash[self.ids[first + k]])
         return out
 
-    def texts(self, n: int, which: np.ndarray) -> list[str]:
-        runs = [[self.words[i].decode() for i in self.ids[self.found[n - 1][0][which] + k]] for k in range(n)]
-        return [" ".join(p) for p in zip(*runs, strict=True)]
+    def candidates(self, reached: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of the phrases of n words, their parts of the sketch), n from 1, of those whose counters, and their parts' counters, are among the reached."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for n, (first, _) in enumerate(self.found, 1):
+            which = np.arange(len(first))
+            if n > 1:
+                shorter = self.number[n - 2]
+                which = np.flatnonzero(held[shorter[first]] & held[shorter[first + 1]])
+            part, bucket = places(self.keys(n, which), parts)
+            place = part << BITS | bucket
+            hit = reached[np.minimum(np.searchsorted(reached, place), len(reached) - 1)] == place if len(reached) else np.zeros(len(place), bool)
+            out.append((which[hit], part[hit]))
+            held = np.zeros(len(first), bool)
+            held[which[hit]] = True
+        return out
+
+    def texts(self, n: int, which: np.ndarray, names: pa.LargeStringArray, between: str = " ") -> pa.LargeStringArray:
+        """These phrases of n words, each word by its name."""
+        first = self.found[n - 1][0][which]
+        return pc.binary_join_element_wise(*(names.take(pa.array(self.ids[first + k])) for k in range(n)), pa.scalar(between, pa.large_string()))
+
+    def codes(self, known: np.ndarray) -> list[str]:
+        """A code for each of the known words, the more frequent the shorter, and a break for the others."""
+        out = [BREAK] * len(self.words)
+        for rank, i in enumerate(known[np.argsort(-self.found[0][1][known], kind="stable")].tolist()):
+            out[i] = code(rank)
+        return out
+
+    def text(self, codes: list[str]) -> str:
+        """The whole text in these codes, with a break between lines."""
+        ends = np.flatnonzero(np.diff(self.line)) + 1
+        return "".join(map([*codes, BREAK].__getitem__, np.insert(self.ids, ends, len(codes)).tolist()))
 
 
 def places(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,27 +170,14 @@ def cut_pieces(plain: bytes, most: int) -> Iterator[bytes]:
     yield plain[at:]
 
 
-def shards(docs: DataFrame, parts: int, min_count: int, most: int, shard_bytes: int) -> DataFrame:
-    """Of each shard: its text by language (part -1), and the counters of each part that it touches, each with its count."""
+def shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """The text of each shard, in plain form, by language."""
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for k, texts in enumerate(gathered(batches)):
-            rows, keys, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for lang, lines in texts.items():
-                plain = b"\n".join(lines)
-                rows.append((number + k, -1, lang, zstandard.ZstdCompressor(level=3).compress(plain)))
-                phrases = Phrases(plain, lang, most)
-                keys += [phrases.keys(n) for n in range(1, most + 1)]
-                counts += [c for _, c in phrases.found]
-            part, bucket = places(np.concatenate(keys), parts)
-            place, which = np.unique(part << BITS | bucket, return_inverse=True)
-            total = np.minimum(np.bincount(which, np.concatenate(counts), len(place)), min_count).astype(np.int64)
-            ends = np.searchsorted(place, np.arange(parts + 1) << BITS)
-            for p in np.flatnonzero(np.diff(ends)):
-                here = slice(ends[p], ends[p + 1])
-                rows.append((number + k, int(p), None, packed(place[here] & (1 << BITS) - 1, total[here])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["shard", "part", "lang", "payload"])
+            payloads = [zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines)) for lines in texts.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([number + k] * len(texts), pa.int64()), pa.array(texts, pa.string()), pa.array(payloads, pa.binary())], ["shard", "lang", "payload"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
         texts: dict[str, list[bytes]] = {}
@@ -159,7 +193,29 @@ def shards(docs: DataFrame, parts: int, min_count: int, most: int, shard_bytes:
         if texts:
             yield texts
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sharded, SHARDS)
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sharded, TEXTS)
+
+
+def touched_counters(texts: DataFrame, parts: int, min_count: int, most: int) -> DataFrame:
+    """Of each shard: the counters of each part that it touches, each with its count."""
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c) for c in ("shard", "lang", "payload")), strict=True))
+        for shard, texts in groupby(rows, lambda r: r[0].as_py()):
+            keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for _, lang, payload in texts:
+                phrases = Phrases(zstandard.ZstdDecompressor().decompress(payload.as_py()), lang.as_py(), most)
+                keys += [phrases.keys(n) for n in range(1, most + 1)]
+                counts += [c for _, c in phrases.found]
+            part, bucket = places(np.concatenate(keys), parts)
+            place, which = np.unique(part << BITS | bucket, return_inverse=True)
+            total = np.minimum(np.bincount(which, np.concatenate(counts), len(place)), min_count).astype(np.int64)
+            ends = np.searchsorted(place, np.arange(parts + 1) << BITS)
+            held = np.flatnonzero(np.diff(ends))
+            payloads = [packed(place[ends[p] : ends[p + 1]] & (1 << BITS) - 1, total[ends[p] : ends[p + 1]]) for p in held]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(held), pa.int64()), pa.array(held, pa.int32()), pa.nulls(len(held), pa.string()), pa.array(payloads, pa.binary())], ["shard", "part", "lang", "payload"])
+
+    return texts.mapInArrow(touched, SHARDS)
 
 
 def heavy_counters(touched: DataFrame, min_count: int) -> DataFrame:
@@ -178,21 +234,19 @@ def heavy_counters(touched: DataFrame, min_count: int) -> DataFrame:
     return touched.groupBy("part").applyInArrow(heavy, SHARDS)
 
 
-def scanned(plain: bytes, phrases: list[str]) -> np.ndarray:
-    """How often each phrase stands in the text, by one pass of an automaton; matches may overlap."""
+def scanned(text: str, phrases: list[str]) -> np.ndarray:
+    """How often each phrase stands in the text, both in codes, by one pass of an automaton; matches may overlap."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i, p in enumerate(phrases):
-        automaton.add_word(f" {p} ", i)
+        automaton.add_word(p, i)
     automaton.make_automaton()
-    lines = (b" ".join(line.split(b" ")) if b"  " not in line else b" ".join(filter(None, line.split(b" "))) for line in plain.split(b"\n"))
-    text = " " + b" \n ".join(lines).decode() + " "
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(phrases))
 
 
-def packed_counts(phrases: list[str], counts: list[int]) -> bytes:
+def packed_counts(phrases: list[str], counts: np.ndarray) -> bytes:
     """Phrases, in order, and their counts in few bytes."""
     plain = "\n".join(phrases).encode()
-    planes = np.ascontiguousarray(np.array(counts, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    planes = np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return zstandard.ZstdCompressor(level=6).compress(np.array([len(plain)], "<i8").tobytes() + plain + planes)
 
 
@@ -207,26 +261,23 @@ def shard_counts(texts: DataFrame, heavy: DataFrame, parts: int, most: int) -> D
     """Counts of each shard's candidates, packed by part of the sketch, and of its words (under the empty phrase)."""
 
     def count(texts: pa.Table, heavy: pa.Table) -> pa.Table:
-        reached = [(p << BITS) + unpacked(b, False)[0] for p, b in sorted(zip(heavy.column("part").to_pylist(), heavy.column("payload").to_pylist(), strict=True))]
-        reached = np.concatenate(reached) if reached else np.zeros(0, np.int64)
+        reached = [(p << BITS) + unpacked(b, False)[0] for p, b in zip(heavy.column("part").to_pylist(), heavy.column("payload").to_pylist(), strict=True)]
+        reached = np.unique(np.concatenate(reached)) if reached else np.zeros(0, np.int64)
         out: list[tuple] = []
         for lang, blob in zip(texts.column("lang").to_pylist(), texts.column("payload"), strict=True):
             plain = zstandard.ZstdDecompressor().decompress(blob.as_py())
             phrases = Phrases(plain, lang, most)
-            candidates: list[tuple[int, str]] = []
-            for n in range(1, most + 1):
-                part, bucket = places(phrases.keys(n), parts)
-                place = part << BITS | bucket
-                at = np.searchsorted(reached, place)
-                which = np.flatnonzero(reached[np.minimum(at, len(reached) - 1)] == place) if len(reached) else np.zeros(0, np.int64)
-                candidates += zip((part[which] // TOGETHER).tolist(), phrases.texts(n, which), strict=True)
-            n_words = len(phrases.ids)
-            del phrases  # before the automaton is made
-            counts = scanned(plain, [p for _, p in candidates]) if candidates else []
-            rows = sorted([(0, "", n_words), *((part, phrase, int(c)) for (part, phrase), c in zip(candidates, counts, strict=True))])
-            for part, group in groupby(rows, itemgetter(0)):
-                _, names, sums = zip(*group, strict=True)
-                out.append((0, part, lang, packed_counts(names, sums)))
+            candidates = phrases.candidates(reached, parts)
+            codes = phrases.codes(candidates[0][0])
+            names, keys = (pa.chunked_array([phrases.texts(n, which, of, between) for n, (which, _) in enumerate(candidates, 1)]) for of, between in ((phrases.words, " "), (pa.array(codes, pa.large_string()), "")))
+            groups = np.concatenate([[0], *(part // TOGETHER for _, part in candidates)])
+            n_words, text = len(phrases.ids), phrases.text(codes)
+            del phrases, candidates, codes  # before the automaton is made
+            counts = np.concatenate([[n_words], scanned(text, keys.to_pylist()) if len(keys) else []])
+            rows = pa.table([pa.array(groups), pa.chunked_array([pa.array([""], pa.large_string()), *names.chunks]), pa.array(counts.astype(np.int64))], names=["part", "phrase", "f"]).sort_by([("part", "ascending"), ("phrase", "ascending")])
+            part, ordered, sums = rows.column("part").to_numpy(), rows.column("phrase").to_pylist(), rows.column("f").to_numpy()
+            ends = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            out += [(0, int(part[i]), lang, packed_counts(ordered[i:k], sums[i:k])) for i, k in pairwise(ends)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["shard", "part", "lang", "payload"])
 
     return texts.groupBy("shard").cogroup(heavy.groupBy("shard")).applyInArrow(count, SHARDS)
@@ -252,9 +303,9 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS,
     """lang, phrase, size (its words), f (its occurrences): all phrases of up to `most` words found min_count times or more, and under the empty phrase each language's number of words."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / part_bytes))
-    made = written(shards(docs, parts, min_count, most, shard_bytes), "phrase-shards")
-    heavy = heavy_counters(made.where("part >= 0"), min_count)
-    counts = summed(shard_counts(made.where("part < 0"), heavy, parts, most), min_count)
+    texts = written(shards(docs, shard_bytes), "phrase-shards")
+    heavy = heavy_counters(touched_counters(texts, parts, min_count, most), min_count)
+    counts = summed(shard_counts(texts, heavy, parts, most), min_count)
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return written(counts.select("lang", "phrase", size.alias("size"), "f"), "phrase-counts")
 
@@ -264,7 +315,7 @@ def part_of(first, last) -> F.Column:
     return F.array_join(F.slice("words", first, last - first + 1), " ")
 
 
-def scored(counts: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
+def scored(counts: DataFrame, dominance: int = DOMINANCE, most: int = MAX_WORDS) -> DataFrame:
     """lang, phrase, a, l, r, score of the candidates among the counts (see `frequent`) that no longer one dominates."""
     words = counts.where("size > 0").select("lang", "phrase", "f")
     candidates = counts.where("size > 1").withColumn("words", F.split("phrase", " "))
@@ -277,9 +328,15 @@ def scored(counts: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
     common, rare = (words.where(c).select("lang", F.col("phrase").alias("part"), F.col("f").alias("side")) for c in (often, ~often))
     key = ["lang", "part"]
     found = sides.join(F.broadcast(common), key).unionByName(sides.join(F.broadcast(common), key, "left_anti").join(rare, key))
-    met = found.groupBy("lang", "whole", "f", "k").agg(F.max(F.when(F.col("left"), F.col("side"))).alias("l"), F.max(F.when(~F.col("left"), F.col("side"))).alias("r"))
-    exact = met.select(F.col("lang"), F.col("whole").alias("phrase"), F.col("f").alias("a"), "k", "l", "r", F.expr("(CAST(1000000 AS DECIMAL(7,0)) * CAST(f AS DECIMAL(14,0)) * CAST(f AS DECIMAL(14,0))) div (CAST(l AS DECIMAL(14,0)) * CAST(r AS DECIMAL(14,0)))").alias("score"))
-    best = exact.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
+    # one sum by phrase, all its cuts in a row, which stays where the longer phrases are met
+    side = lambda k, left: F.max(F.when((F.col("k") == k) & (F.col("left") == left), F.col("side")))
+    met = found.groupBy("lang", F.col("whole").alias("phrase")).agg(F.max("f").alias("a"), *(side(k, left).alias(f"{name}{k}") for k in range(1, most) for name, left in (("l", True), ("r", False))))
+
+    def cut(k: int) -> F.Column:
+        score = F.expr(f"(CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(14,0)) * CAST(a AS DECIMAL(14,0))) div (CAST(l{k} AS DECIMAL(14,0)) * CAST(r{k} AS DECIMAL(14,0)))")
+        return F.when(F.col(f"l{k}").isNotNull(), F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
+
+    best = met.select("lang", "phrase", "a", F.array_min(F.array(*map(cut, range(1, most)))).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
     spans = candidates.where("size > 2").withColumn("n", F.explode(F.sequence(F.lit(2), F.col("size") - 1))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)))
     longer = spans.groupBy("lang", part_of(F.col("i"), F.col("i") + F.col("n") - 1).alias("phrase")).agg(F.max("f").alias("longer"))
     return best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < F.lit(dominance) * F.col("a"))).drop("longer")
@@ -289,7 +346,7 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, mo
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language of docs (lang, text)."""
     counts = frequent(docs, min_count, most, **sizes)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(counts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = scored(counts, most=most).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     n = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
