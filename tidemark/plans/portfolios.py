@@ -12,7 +12,7 @@ from tidemark.operators.windows import Series, debounced
 
 from tidemark.functions.ranks import quantiles
 
-from .base import R4, query, r4
+from .base import R4, dealt, query, r4
 from .factors import _ERA_SQL, COHORT, OBS, SCORED, cohorts, eras, finite, ic_sql, observations, scored, summary, IC_COLS
 from .technicals import _EW, ew_index, roll
 
@@ -211,11 +211,11 @@ def reweight(p):
 _ENTRY = f", v AS (SELECT id, d, t, close, close / LAG(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM sbars), s AS (SELECT *, {roll('STDDEV_SAMP', 'r', 60, 20)} * 100 AS sd, {roll('MIN', 'close', 20, 1)} AS lo FROM v), ent AS MATERIALIZED (SELECT id, t AS t0, d AS d0, close AS close0, lo * 0.97::DOUBLE AS support, LEAST(2.5::DOUBLE * sd, 15::DOUBLE) AS buffer FROM s WHERE sd IS NOT NULL)"
 
 
-def entries(p):
-    """An entry at every bar whose deviation is known."""
-    rows = p.sbars.withColumn("r", S.change("close"))
+def entries(p, with_band=None):
+    """An entry at every bar whose deviation is known, with the column that with_band adds to bars."""
+    rows = (with_band(p.sbars) if with_band else p.sbars).withColumn("r", S.change("close"))
     rows = rows.withColumns({"sd": S.std("r", 60, 20) * 100, "lo": S.lowest("close", 20, 1)}).where("sd IS NOT NULL")
-    return rows.select("id", F.col("t").alias("t0"), F.col("close").alias("close0"), (F.col("lo") * 0.97).alias("support"), F.least(F.col("sd") * 2.5, F.lit(15.0)).alias("buffer"))
+    return rows.select("id", F.col("t").alias("t0"), F.col("close").alias("close0"), (F.col("lo") * 0.97).alias("support"), F.least(F.col("sd") * 2.5, F.lit(15.0)).alias("buffer"), *["band"] * bool(with_band))
 
 
 _EXITS = f""", nx AS (SELECT id, t, close, LEAD(open) OVER (PARTITION BY id ORDER BY t) AS nxt FROM sbars), pth AS (SELECT e.*, n.t, n.close, COALESCE(n.nxt, n.close) AS fill, GREATEST(close0, MAX(n.close) OVER (PARTITION BY e.id, t0 ORDER BY n.t)) AS peak FROM ent e JOIN nx n ON n.id = e.id AND n.t > t0 AND n.t <= t0 + 20),
@@ -225,6 +225,7 @@ _EXITS = f""", nx AS (SELECT id, t, close, LEAD(open) OVER (PARTITION BY id ORDE
 
 @query("exit_trailing", _ENTRY + _EXITS)
 def exit_trailing(p):
+    p = dealt(p)
     return B.exits(entries(p), p.sbars).select("id", "t0", "t", "reason", r4(F.col("ret")).alias("ret"))
 
 
