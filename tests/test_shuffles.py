@@ -16,6 +16,6 @@ def dealt(df) -> list[str]:
     return [x.strip(" :+-") for x in plan.splitlines() if re.match(r"[ :+\-]*Exchange ", x)]
 
 
-@pytest.mark.parametrize("name", ["exit_trailing"])
+@pytest.mark.parametrize("name", ["exit_trailing", "exit_full"])
 def test_series_are_dealt_out_once(spark, name):
     assert len(dealt(registry.QUERIES[name](spark, FOLDER))) == 1
