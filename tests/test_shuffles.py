@@ -16,6 +16,20 @@ def dealt(df) -> list[str]:
     return [x.strip(" :+-") for x in plan.splitlines() if re.match(r"[ :+\-]*Exchange ", x)]
 
 
-@pytest.mark.parametrize("name", ["exit_trailing", "exit_full"])
-def test_series_are_dealt_out_once(spark, name):
-    assert len(dealt(registry.QUERIES[name](spark, FOLDER))) == 1
+def by_entity(df) -> list[str]:
+    return [x for x in dealt(df) if "hashpartitioning(id#" in x]
+
+
+@pytest.mark.parametrize("name", ["exit_trailing", "exit_full", "pit_features"])
+def test_items_are_dealt_out_once(spark, name):
+    assert len(by_entity(registry.QUERIES[name](spark, FOLDER))) == 1
+
+
+@pytest.mark.parametrize("name", ["mom_score", "whale_score", "pre_score", "data_gaps"])
+def test_a_fact_that_is_not_read_costs_its_days_only(spark, name):
+    assert len(by_entity(registry.QUERIES[name](spark, FOLDER))) <= 2
+
+
+@pytest.mark.parametrize("name", ["valuation_history", "rating", "full_history"])
+def test_ranks_alone_come_back_from_their_days(spark, name):
+    assert len(by_entity(registry.QUERIES[name](spark, FOLDER))) <= 3
