@@ -33,3 +33,11 @@ def test_a_fact_that_is_not_read_costs_its_days_only(spark, name):
 @pytest.mark.parametrize("name", ["valuation_history", "rating"])
 def test_ranks_alone_come_back_from_their_days(spark, name):
     assert len(by_entity(registry.QUERIES[name](spark, FOLDER))) <= 3
+
+
+def test_blocks_meet_without_copies(spark):
+    # a block went along once for every other block
+    df = registry.QUERIES["avg_pair_corr"](spark, FOLDER)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroupsInPandas" not in plan

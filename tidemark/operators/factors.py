@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +28,31 @@ def correlation(a: str, b: str) -> Column:
     return (n * xy - x * y) / F.nullif(F.sqrt((n * xx - x * x) * (n * yy - y * y)), F.lit(0.0))
 
 
-def _met_blocks(rows: DataFrame, name: str, day: str, value: str, block: int) -> DataFrame:
-    """Every two blocks of about `block` names with the values of both; a task holds two blocks over the calendar, however many names there are."""
+def _met_blocks(rows: DataFrame, name: str, day: str, value: str, block: int, names: int | None, run: Callable, schema: str) -> DataFrame:
+    """run(low, high, x) of every two blocks of about `block` names, with the values of both; a task holds two blocks over the calendar, however many names there are.
+
+    A block is packed into one row and dealt out once; blocks meet as a product, which reads them again instead of
+    copying them for each other. names: how many there are, about; counted if not given.
+    """
     held = rows.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
-    blocks = max(1, -(-held.select("name").distinct().count() // block))
-    own, other = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return held.withColumn("own", own).withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    blocks = max(1, -(-(names or held.select("name").distinct().count()) // block))
+
+    def pack(x: pa.Table) -> pa.Table:
+        x, sink = x.sort_by([("name", "ascending"), ("day", "ascending")]), io.BytesIO()
+        own = x.column("own").slice(0, 1)
+        with pa.ipc.new_stream(sink, x.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(x)
+        return pa.table({"own": own, "data": pa.array([sink.getvalue()], pa.binary())})
+
+    def meet(batches):
+        for batch in batches:
+            for low, high, a, b in zip(*[batch[c] for c in ("low", "high", "a", "b")], strict=True):
+                both = [pa.ipc.open_stream(x).read_all().to_pandas() for x in ((a,) if low == high else (a, b))]
+                yield run(low, high, pd.concat(both))
+
+    packed = held.withColumn("own", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).groupBy("own").applyInArrow(pack, "own int, data binary").repartition(blocks, "own")
+    left, right = packed.select(F.col("own").alias("low"), F.col("data").alias("a")), packed.select(F.col("own").alias("high"), F.col("data").alias("b"))
+    return left.join(right, F.col("low") <= F.col("high")).mapInPandas(meet, schema)
 
 
 def _block_pairs(low: int, high: int, x: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,40 +76,38 @@ def _block_pairs(low: int, high: int, x: pd.DataFrame, least: int) -> tuple[np.n
     return names[a][i], names[b][j], n[i, j].astype(np.int64), c[i, j]
 
 
-def pair_correlations(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
+def pair_correlations(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 1024) -> DataFrame:
     """(a, b, n, c): Pearson correlation of each pair of names, a < b, over the `least` days or more that both have.
 
     Names are dealt to blocks, and every two blocks meet once. c is null where one doesn't vary.
     """
-    met = _met_blocks(rows, name, day, value, block)
-    kind = dict(met.dtypes)["name"]
+    kind = dict(rows.dtypes)[name]
 
-    def run(key, x: pd.DataFrame) -> pd.DataFrame:
-        left, right, n, c = _block_pairs(*key, x, least)
+    def run(low: int, high: int, x: pd.DataFrame) -> pd.DataFrame:
+        left, right, n, c = _block_pairs(low, high, x, least)
         swap = left > right
         return pd.DataFrame({"a": np.where(swap, right, left), "b": np.where(swap, left, right), "n": n, "c": c})
 
-    return met.groupBy("low", "high").applyInPandas(run, f"a {kind}, b {kind}, n long, c double")
+    return _met_blocks(rows, name, day, value, block, None, run, f"a {kind}, b {kind}, n long, c double")
 
 
-def correlation_sums(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
+def correlation_sums(rows: DataFrame, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 1024, names: int | None = None) -> DataFrame:
     """(name, pairs, known, total): of each name, its pairs over `least` days or more, those with a correlation, and the sum of these.
 
-    The sums are made where two blocks meet, so that no pair leaves its task.
+    The sums are made where two blocks meet, so that no pair leaves its task. names: how many there are, about.
     """
-    met = _met_blocks(rows, name, day, value, block)
-    kind = dict(met.dtypes)["name"]
+    kind = dict(rows.dtypes)[name]
 
-    def run(key, x: pd.DataFrame) -> pd.DataFrame:
-        left, right, _, c = _block_pairs(*key, x, least)
+    def run(low: int, high: int, x: pd.DataFrame) -> pd.DataFrame:
+        left, right, _, c = _block_pairs(low, high, x, least)
         both = pd.DataFrame({"name": np.concatenate([left, right]), "pairs": 1, "known": np.tile(~np.isnan(c), 2).astype(np.int64), "total": np.tile(np.nan_to_num(c), 2)})
         return both.groupby("name", as_index=False).sum()
 
-    sums = met.groupBy("low", "high").applyInPandas(run, f"name {kind}, pairs long, known long, total double")
+    sums = _met_blocks(rows, name, day, value, block, names, run, f"name {kind}, pairs long, known long, total double")
     return sums.groupBy(F.col("name").alias(name)).agg(F.sum("pairs").alias("pairs"), F.sum("known").alias("known"), F.sum("total").alias("total"))
 
 
-def low_correlation_names(rows: DataFrame, size: int, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 256) -> DataFrame:
+def low_correlation_names(rows: DataFrame, size: int, name: str = "id", day: str = "d", value: str = "r", least: int = 20, block: int = 1024) -> DataFrame:
     """(place, name): `size` names by greedy choice, each the one of least summed correlation with those chosen before it.
 
     The first is the one of least mean correlation with all others. A pair without a correlation counts as 1; of equals
@@ -97,7 +118,7 @@ def low_correlation_names(rows: DataFrame, size: int, name: str = "id", day: str
     try:
         names = held.select(name).distinct()
         n = names.count()
-        sums = names.join(correlation_sums(held, name, day, "_v", least, block), name, "left")
+        sums = names.join(correlation_sums(held, name, day, "_v", least, block, n), name, "left")
         missing = n - 1 - F.coalesce("known", F.lit(0))
         seed = sums.orderBy(F.coalesce("total", F.lit(0.0)) + missing, name).first()
         chosen = [seed[name]] if seed else []

@@ -11,7 +11,7 @@ from tidemark.operators import factors as X
 from tidemark.operators.asof import asof_join
 from tidemark.operators.windows import Series, latest_row
 
-from .base import R4, query, r4
+from .base import R4, dealt, query, r4
 from .technicals import avg_rank_sql, roll
 
 S = Series()
@@ -167,7 +167,8 @@ def rank_agree(p):
     SELECT COUNT(*) AS pairs, {R4("AVG(c)")} AS mean FROM p""",
 )
 def avg_pair_corr(p):
-    sums = X.correlation_sums(p.sbars.select("id", "d", S.change("close").alias("r")))
+    rows = dealt(p).sbars.select("id", "d", S.change("close").alias("r"))
+    sums = X.correlation_sums(rows, names=p.dim.count() if hasattr(p, "dim") else None)
     # every pair stands in the sums of both its names
     return sums.agg((F.coalesce(F.sum("pairs"), F.lit(0)) / 2).cast("long").alias("pairs"), r4(F.sum("total") / F.nullif(F.sum("known"), F.lit(0))).alias("mean"))
 
