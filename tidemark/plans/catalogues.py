@@ -12,7 +12,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.operators.windows import Series
 from tidemark.sources import readers, store
 
-from .base import R4, query, r4
+from .base import R4, dealt, query, r4
 from .factors import COHORT, SCORED, cohorts, scored
 from .portfolios import nets
 from .snapshot import FEATURES, features
@@ -145,7 +145,7 @@ def factor_loo(p):
 @query("low_corr_pool")
 def low_corr_pool(p, k=8):
     """Greedy pool of the least correlated of all entities."""
-    return X.low_correlation_names(p.sbars.select("id", "d", S.change("close").alias("r")), k)
+    return X.low_correlation_names(dealt(p).sbars.select("id", "d", S.change("close").alias("r")), k)
 
 
 @query("random_pools")
